@@ -12,6 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 VIEWS: dict[str, str] = {}
+TIE_GUARD = 1.3e-10
 
 
 def query(name: str, sql: str | None = None):
@@ -51,9 +52,13 @@ def with_views(sql: str) -> str:
 
 
 def r(x, digits: int = 6) -> Column:
-    """Rounded double without a negative zero, for comparison across engines."""
+    """Rounded double without a negative zero, for comparison across engines.
+
+    Exact ties of the last digit (1/128 at six digits) would fall either way with the
+    last bit of a sum; the guard lifts them off the edge in both engines.
+    """
     x = F.col(x) if isinstance(x, str) else x
-    return F.round(x.cast("double"), digits) + F.lit(0.0)
+    return F.round(x.cast("double") + F.lit(TIE_GUARD), digits) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -63,7 +68,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def R(expr: str, name: str | None = None, digits: int = 6) -> str:
     """SQL twin of ``r``."""
-    return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0e0 AS {name or expr.split('.')[-1]}"
+    return f"round(CAST({expr} AS DOUBLE) + {TIE_GUARD!r}, {digits}) + 0.0e0 AS {name or expr.split('.')[-1]}"
 
 
 def rs(*names: str, digits: int = 6) -> str:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardwise.functions import clamp, try_div
@@ -63,43 +65,48 @@ def bounds(units: DataFrame) -> DataFrame:
     })
 
 
-def _posterior(grid: int) -> Column:
-    """Weighted moments of a precinct's rates over its grid, as one struct.
+def _moments(grid: int):
+    """Posterior moments of a precinct's rates over its grid, vectorised per Arrow batch.
 
-    The grid is walked inside the row with a running struct, so the E step needs no
-    shuffle and no extra rows. A precinct of one group identifies that group only.
+    A row's grid has a fixed, small number of points, so a batch is one matrix and the
+    E step needs no shuffle and no extra rows. Higher-order functions can express the
+    same sum, but are interpreted point by point.
     """
-    lo, hi, x, t = (F.col(c) for c in ("lo", "hi", "x", "t"))
-    k_b, k_w, c0 = F.col("i_bb"), F.col("i_ww"), F.col("i_bw")
-
-    def step(acc, k):
-        b = lo + (hi - lo) * k / F.lit(float(grid))
-        w = (t - x * b) / (F.lit(1.0) - x)
-        db, dw = b - F.col("mu_b"), w - F.col("mu_w")
-        weight = F.exp(F.lit(-0.5) * (k_b * db * db + F.lit(2.0) * c0 * db * dw + k_w * dw * dw))
-        return F.struct(
-            (acc["z"] + weight).alias("z"),
-            (acc["b"] + weight * b).alias("b"), (acc["w"] + weight * w).alias("w"),
-            (acc["bb"] + weight * b * b).alias("bb"), (acc["ww"] + weight * w * w).alias("ww"),
-            (acc["bw"] + weight * b * w).alias("bw"),
-        )
 
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("z", "b", "w", "bb", "ww", "bw")])
-    steps = F.transform(F.sequence(F.lit(0), F.lit(grid)), lambda k: k.cast("double"))
-    return F.aggregate(steps, zero, step)
+    @F.pandas_udf("b double, w double, bb double, ww double, bw double")
+    def moments(
+        lo: pd.Series, hi: pd.Series, x: pd.Series, t: pd.Series, mu_b: pd.Series, mu_w: pd.Series,
+        i_bb: pd.Series, i_ww: pd.Series, i_bw: pd.Series,
+    ) -> pd.DataFrame:
+        col = lambda s: s.to_numpy(dtype="float64")[:, None]
+        b = col(lo) + (col(hi) - col(lo)) * np.arange(grid + 1)[None, :] / grid
+        with np.errstate(divide="ignore", invalid="ignore"):
+            w = (col(t) - col(x) * b) / (1.0 - col(x))
+            db, dw = b - col(mu_b), w - col(mu_w)
+            weight = np.exp(-0.5 * (col(i_bb) * db * db + 2.0 * col(i_bw) * db * dw + col(i_ww) * dw * dw))
+            total = weight.sum(axis=1)
+            mean = {n: (weight * v).sum(axis=1) / total
+                    for n, v in (("b", b), ("w", w), ("bb", b * b), ("ww", w * w), ("bw", b * w))}
+        return pd.DataFrame(mean)
+
+    return moments
 
 
 def _e_step(base: DataFrame, params: DataFrame, keys: Sequence[str], grid: int) -> DataFrame:
+    """Precinct moments under the current district parameters.
+
+    A precinct of one group identifies that group's rate only.
+    """
     mixed = F.col("lo").isNotNull()
-    out = base.join(params, list(keys)).withColumn("_m", F.when(mixed, _posterior(grid)))
+    inputs = ("lo", "hi", "x", "t", "mu_b", "mu_w", "i_bb", "i_ww", "i_bw")
+    out = base.join(params, list(keys)).withColumn("_m", _moments(grid)(*inputs))
     one_b, one_w = F.when(F.col("x") == 1, F.col("t")), F.when(F.col("x") == 0, F.col("t"))
-    z = F.col("_m.z")
     return out.withColumns({
-        "e_b": F.when(mixed, F.try_divide(F.col("_m.b"), z)).otherwise(one_b),
-        "e_w": F.when(mixed, F.try_divide(F.col("_m.w"), z)).otherwise(one_w),
-        "e_bb": F.when(mixed, F.try_divide(F.col("_m.bb"), z)).otherwise(one_b * one_b),
-        "e_ww": F.when(mixed, F.try_divide(F.col("_m.ww"), z)).otherwise(one_w * one_w),
-        "e_bw": F.when(mixed, F.try_divide(F.col("_m.bw"), z)),
+        "e_b": F.when(mixed, F.col("_m.b")).otherwise(one_b),
+        "e_w": F.when(mixed, F.col("_m.w")).otherwise(one_w),
+        "e_bb": F.when(mixed, F.col("_m.bb")).otherwise(one_b * one_b),
+        "e_ww": F.when(mixed, F.col("_m.ww")).otherwise(one_w * one_w),
+        "e_bw": F.when(mixed, F.col("_m.bw")),
     }).drop("_m")
 
 
