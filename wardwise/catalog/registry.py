@@ -36,19 +36,26 @@ def view(name: str, sql: str) -> None:
 def with_views(sql: str) -> str:
     """``sql`` preceded by the views it reads, directly or through other views."""
     order: list[str] = []
+    path: list[str] = []
+    recursive: set[str] = set()
 
     def visit(text: str) -> None:
         for name in dict.fromkeys(re.findall(r"\bfx_\w+", text)):
             if name in VIEWS and name not in order:
+                if name in path:
+                    recursive.add(name)
+                    continue
+                path.append(name)
                 visit(VIEWS[name])
+                path.pop()
                 if name not in order:
                     order.append(name)
 
     visit(sql)
     if not order:
         return sql.strip()
-    ctes = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in order)
-    return f"WITH {ctes}\n{sql.strip()}"
+    ctes = ",\n".join(f"{n} AS {'' if n in recursive else 'MATERIALIZED '}({VIEWS[n]})" for n in order)
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{sql.strip()}"
 
 
 def r(x, digits: int = 6) -> Column:
