@@ -6,7 +6,7 @@ from importlib import import_module
 
 from wardwise.catalog.registry import QUERIES, SQL  # noqa: F401
 
-SECTIONS = ["truth", "estimates", "tables", "bins", "representation", "order", "metrics", "space"]
+SECTIONS = ["truth", "estimates", "tables", "bins", "representation", "order", "metrics", "space", "samples", "shapes", "census"]
 
 
 def load() -> None:
