@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from importlib import import_module
 
-from wardwise.catalog.registry import QUERIES, SQL  # noqa: F401
+from wardwise.catalog.registry import QUERIES, SQL, compose  # noqa: F401
 
-SECTIONS = ["truth", "estimates", "tables", "bins", "representation", "order", "metrics", "space", "samples", "shapes", "census"]
+SECTIONS = [
+    "scans", "joins", "truth", "estimates", "tables", "bins", "representation", "order", "samples", "shapes",
+    "metrics", "space", "census", "models", "resume",
+]
 
 
 def load() -> None:
     """Imports every section, which registers its queries."""
     for section in SECTIONS:
         import_module(f"wardwise.catalog.{section}")
+    compose()

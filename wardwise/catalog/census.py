@@ -11,9 +11,9 @@ from wardwise.functions import clamp
 from wardwise.operators import census, ordered
 
 STATES = {
-    "low": ["BRAZIL", "CANADA", "FRANCE", "NATION_0", "NATION_1", "NATION_2"],
-    "medium": ["CHINA", "INDIA", "JAPAN", "NATION_3", "NATION_4", "NATION_5", "NATION_6"],
-    "high": ["KENYA", "PERU", "RUSSIA", "NATION_7", "NATION_8", "NATION_9", "NATION_10"],
+    "low": [f"NATION_{i}" for i in range(0, 6)],
+    "medium": [f"NATION_{i}" for i in range(6, 12)],
+    "high": [f"NATION_{i}" for i in range(12, 20)],
 }
 
 

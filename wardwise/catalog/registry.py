@@ -12,6 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 VIEWS: dict[str, str] = {}
+_BODIES: dict[str, str] = {}
 TIE_GUARD = 1.3e-10
 
 
@@ -23,12 +24,17 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            SQL[name] = with_views(sql)
+            _BODIES[name] = sql
         return fn
 
     return wrap
 
 
+def compose() -> None:
+    """Puts the views in front of every check query, once all are registered."""
+    SQL.update({name: with_views(body) for name, body in _BODIES.items()})
+
+
 def view(name: str, sql: str) -> None:
     VIEWS[name] = sql.strip()
 
