@@ -106,10 +106,17 @@ def test_bootstrap_stops_at_the_total(skewed):
     assert total[0] == total[1] and 5000 - 17 <= total[0] <= 5000
 
 
-def test_raking_moves_the_mean(skewed):
-    out = sampling.rake(skewed.withColumn("p", F.lit(1.0)), "x", "p", 0.5, max_iter=60)
-    mean = out.agg(F.sum(F.col("x") * F.col("rake_weight")) / F.sum("rake_weight")).first()[0]
-    assert abs(mean - 0.5) < 0.01
+@pytest.mark.parametrize("target", [0.3, 0.7])
+def test_raking_matches_a_loop(skewed, target):
+    out = {r.id: r.rake_weight for r in sampling.rake(skewed, "x", "n", target).collect()}
+    rows = [(r.id, r.x, r.n) for r in skewed.collect()]
+    w = dict.fromkeys(out, 1.0)
+    for _ in range(20):
+        mean = sum(n * x * w[i] for i, x, n in rows) / sum(n * w[i] for i, _, n in rows)
+        if abs(mean - target) < 0.001:
+            break
+        w = {i: max(0.1, min(10, w[i] * (1 + (target / mean - 1) * abs(x - target)))) for i, x, _ in rows}
+    assert out == pytest.approx(w, rel=1e-9)
 
 
 def test_calibration_leaves_a_close_mean_alone(skewed):

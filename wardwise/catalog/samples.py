@@ -57,7 +57,7 @@ view("fx_target_picks", """
 SELECT d.j, s.block_id, s.population FROM (
   SELECT j, floor(CAST((j * 7919 + 17) % 10007 AS DOUBLE) / 10007 * t) AS p
   FROM (SELECT unnest(range(1, (SELECT 3 * count(*) FROM fx_blocks))) AS j), (SELECT CAST(max(total) AS DOUBLE) AS t FROM fx_target_units) q) d
-ASOF JOIN (SELECT *, CAST(start AS DOUBLE) AS s0 FROM fx_target_units) s ON d.p >= s.s0
+JOIN (SELECT *, CAST(start AS DOUBLE) AS s0, CAST(start + wu AS DOUBLE) AS s1 FROM fx_target_units) s ON d.p >= s.s0 AND d.p < s.s1
 """)
 
 
@@ -169,7 +169,7 @@ view("fx_attempts", f"""
 SELECT d.attempt, d.j, s.block_id, s.population, s.per_minority FROM (
   SELECT attempt, j, floor({_U2.format(a='attempt')} * t) AS p FROM (SELECT unnest(range(1, 21)) AS attempt) a,
     (SELECT unnest(range(1, (SELECT count(*) // 4 FROM fx_blocks) + 1)) AS j) b, (SELECT CAST(sum(population) AS DOUBLE) AS t FROM fx_blocks) c) d
-ASOF JOIN (SELECT *, CAST(start AS DOUBLE) AS s0 FROM fx_lines) s ON d.p >= s.s0
+JOIN (SELECT *, CAST(start AS DOUBLE) AS s0, CAST(start + population AS DOUBLE) AS s1 FROM fx_lines) s ON d.p >= s.s0 AND d.p < s.s1
 """)
 
 

@@ -14,7 +14,7 @@ from wardwise.operators.frames import district_sums, truth_columns
 from wardwise.operators.regression import add_regression
 from wardwise.operators.rpv import residual_columns, rpv_flag
 from wardwise.schemas import DISTRICT
-from wardwise.session import materialise
+from wardwise.session import materialise, slices
 
 MAX_CORRELATION = 0.99
 
@@ -136,7 +136,10 @@ def grid_inference(
         clamp("er_majority_dem_share", 0.05, 0.95).alias("mu_w"),
         F.lit(0.01).alias("s_bb"), F.lit(0.01).alias("s_ww"), F.lit(0.0).alias("s_bw"),
     ))
-    base = materialise(bounds(units.select(*keys, "n_minority", "n_majority", "population", "dem_votes")), "bounds")
+    # Every round reads these rows: spread them evenly once, by precinct.
+    rows = units.select(*keys, "precinct_id", "n_minority", "n_majority", "population", "dem_votes")
+    spread = rows.repartition(slices(units.sparkSession), "precinct_id").drop("precinct_id")
+    base = materialise(bounds(spread).drop("population", "dem_votes"), "bounds")
     params = materialise(params, "params")
     for _ in range(rounds):
         fitted = _e_step(base, params, keys, grid)

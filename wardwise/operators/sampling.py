@@ -184,14 +184,15 @@ def rake(
     Each round is one aggregate; the weight stays an expression of the share and of
     the rounds' factors, so nothing is stored between rounds.
     """
-    x, w = F.col(share), F.lit(1.0)
+    x, w, (lo, hi) = F.col(share), F.lit(1.0), bounds
     for _ in range(max_iter):
         now = df.agg(F.sum(F.col(weight) * x * w) / F.sum(F.col(weight) * w)).first()[0]
         if abs(now - target) < tol:
             break
         step = F.lit(1.0) + F.lit(target / now - 1) * F.abs(x - F.lit(float(target)))
-        w = clamp(w * step, *bounds)
-    return df.withColumn(name, w)
+        # Each round names the weight once, so the expression grows by one step only.
+        w = F.greatest(F.least(w * step, F.lit(hi)), F.lit(lo))
+    return df.withColumn(name, F.when(x.isNotNull(), w))
 
 
 def bootstrap_until(

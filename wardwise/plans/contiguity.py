@@ -25,15 +25,14 @@ def components(nodes: DataFrame, links: DataFrame, keys: Sequence[str]) -> DataF
     live = materialise(both.where(F.col("a") != F.col("b")).select(*keys, "a", "b").distinct(), "links")
     labels = nodes.select(*keys, "node", F.col("node").alias("root"))
     while not live.isEmpty():
-        parent = live.groupBy(*keys, "a").agg(F.min("b").alias("_b")).select(
+        up = live.groupBy(*keys, "a").agg(F.min("b").alias("_b")).select(
             *keys, F.col("a").alias("root"), F.least("a", "_b").alias("up"))
-        parent = materialise(parent, "parents")
-        above = parent.select(*keys, F.col("root").alias("up"), F.col("up").alias("_top"))
-        jump = materialise(parent.join(above, [*keys, "up"], "left").select(
+        above = up.select(*keys, F.col("root").alias("up"), F.col("up").alias("_top"))
+        jump = materialise(up.join(above, [*keys, "up"], "left").select(
             *keys, "root", F.coalesce("_top", "up").alias("top")), "jumps")
+        # Few rounds are needed, so the nodes' own chain of joins is left to run once, at the end.
         labels = labels.join(jump, [*keys, "root"], "left").select(
             *keys, "node", F.coalesce("top", "root").alias("root"))
-        labels = materialise(labels, "labels")
         left = jump.select(*keys, F.col("root").alias("a"), F.col("top").alias("_ta"))
         right = jump.select(*keys, F.col("root").alias("b"), F.col("top").alias("_tb"))
         moved = live.join(left, [*keys, "a"]).join(right, [*keys, "b"])

@@ -52,6 +52,25 @@ DRAWS = StructType([
     StructField("beta_min", DoubleType()),
     StructField("beta_maj", DoubleType()),
 ])
+REGRESSION = StructType([
+    StructField("map_id", LongType()),
+    StructField("seg_level", StringType()),
+    StructField("redist_level", StringType()),
+    StructField("district_id", LongType()),
+    StructField("er_minority_dem_share", DoubleType()),
+    StructField("er_majority_dem_share", DoubleType()),
+    StructField("er_minority_se", DoubleType()),
+    StructField("er_majority_se", DoubleType()),
+    StructField("er_rpv", LongType()),
+    StructField("true_minority_dem_share", DoubleType()),
+    StructField("true_majority_dem_share", DoubleType()),
+    StructField("true_rpv", LongType()),
+    StructField("er_minority_resid", DoubleType()),
+    StructField("er_majority_resid", DoubleType()),
+    StructField("er_rpv_error", LongType()),
+    StructField("n_precincts", LongType()),
+    StructField("total_population", LongType()),
+])
 
 # Short attribute names used in shape files, and their long names.
 SHORT_TO_LONG = {

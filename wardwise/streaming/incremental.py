@@ -18,7 +18,7 @@ from pyspark.sql.utils import AnalysisException
 from wardwise.operators.frames import precinct_stats
 from wardwise.operators.regression import ecological_regression
 from wardwise.operators.sampling import first_n_per_group
-from wardwise.schemas import ASSIGNMENTS, PLAN, SCENARIO
+from wardwise.schemas import ASSIGNMENTS, PLAN, REGRESSION, SCENARIO
 
 TRIED = StructType([StructField("map_id", LongType()), StructField("seg_level", StringType()),
                     StructField("redist_level", StringType()), StructField("batch", StringType())])
@@ -43,12 +43,17 @@ def save_results(estimates: DataFrame, tried: DataFrame, path: str, batch: str)
             *SCENARIO, "batch").parquet(f"{path}/{name}")
 
 
-def load_results(spark: SparkSession, path: str, seg_level: str | None = None, redist_level: str | None = None) -> DataFrame:
+def load_results(
+    spark: SparkSession, path: str, seg_level: str | None = None, redist_level: str | None = None,
+    schema: StructType = REGRESSION,
+) -> DataFrame:
     """Results of all scenarios or of one; scenario filters skip the other folders.
 
+    ``schema`` is that of the estimator's output.
+
     Rows of a batch whose attempts were not written are left out: it will be redone.
     """
-    rows = spark.read.parquet(f"{path}/results")
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", StringType())])).parquet(f"{path}/results")
     if seg_level:
         rows = rows.where(F.col("seg_level") == seg_level)
     if redist_level:
