@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardwise.session import materialise, slices
+from wardwise.session import materialise
 
 SLICE = "_slice"
 
@@ -25,10 +25,13 @@ def _sorts(order_by) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in items]
 
 
-def cut_into_slices(df: DataFrame, order_by, keys: Sequence[str] = (), n: int | None = None) -> DataFrame:
-    """``df`` range-partitioned by keys and order, with its slice number, as a table."""
-    n = n or slices(df.sparkSession)
-    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *_sorts(order_by))
+def cut_into_slices(df: DataFrame, order_by, keys: Sequence[str] = ()) -> DataFrame:
+    """``df`` range-partitioned by keys and order, with its slice number, as a table.
+
+    The number of slices is left open, so that adaptive execution merges neighbours
+    when the table is small.
+    """
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *_sorts(order_by))
     return materialise(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
 
 
