@@ -96,6 +96,12 @@ def s08(spark, sf):
     return rounded(spark.read.parquet(f"{path}/districts").select("category", *schemas.DISTRICT, "population", "dem_voteshare"))
 
 
+@query("s09_required_columns", "SELECT precinct_id, population, n_minority FROM fx_precincts")
+def s09(spark, sf):
+    needed = ["precinct_id", "population", "n_minority"]
+    return schemas.require_columns(fx.precincts(spark, sf), needed).select(*needed)
+
+
 @query("s10_rename_short_names", f"""
 SELECT precinct_id AS pct_id, population AS pop, n_minority AS n_min, dem_votes AS dem_v, {R('per_minority', 'pct_min')}, {R('dem_voteshare', 'dem_vsh')},
   {R('coalesce(dem_voteshare_minority, 0)', 'dem_vsh_1')}, {R('coalesce(dem_voteshare_majority, 0)', 'dem_vsh_0')} FROM fx_precincts

@@ -60,7 +60,7 @@ def one_plan(assignments: DataFrame, map_id: int) -> DataFrame:
 
 def keep_plans(assignments: DataFrame, plans: DataFrame, on: Sequence[str] = ("map_id",)) -> DataFrame:
     """Assignments of the plans that occur in another table."""
-    return assignments.join(plans.select(*on).distinct(), list(on), "left_semi")
+    return assignments.join(plans.select(*on), list(on), "left_semi")
 
 
 def unmatched(assignments: DataFrame, precincts: DataFrame) -> DataFrame:

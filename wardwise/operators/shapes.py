@@ -67,13 +67,12 @@ def plans_to_long(
     numbers = {c: (int(m.group(1)) if (m := re.search(r"(\d+)$", c)) else i) for i, c in enumerate(plans, 1)}
     if len(set(numbers.values())) != len(plans):
         numbers = {c: i for i, c in enumerate(plans, 1)}
-    long = wide.select(id_col, *[F.col(f"`{c}`").cast("bigint").alias(c) for c in plans]).unpivot(
-        id_col, plans, "plan_name", "district_id")
-    numbered = F.create_map(*[F.lit(v) for pair in numbers.items() for v in pair])
-    return long.select(
-        numbered[F.col("plan_name")].cast("bigint").alias("map_id"), "plan_name", id_col,
-        (F.col("district_id") - F.lit(district_base)).alias("district_id"),
-    )
+    rows = F.array(*[
+        F.struct(F.lit(numbers[c]).cast("bigint").alias("map_id"), F.lit(c).alias("plan_name"),
+                 (F.col(f"`{c}`").cast("bigint") - F.lit(district_base)).alias("district_id"))
+        for c in plans
+    ])
+    return wide.select(id_col, F.inline(rows)).select("map_id", "plan_name", id_col, "district_id")
 
 
 def plans_to_wide(assignments: DataFrame, plan_ids: Sequence[int], id_col: str = "precinct_id",

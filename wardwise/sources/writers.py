@@ -20,18 +20,22 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
 
 
 def write_scenarios(df: DataFrame, path: str) -> None:
-    """One folder per scenario, each written by few tasks, so that readers prune and files stay large.
+    """One folder per scenario, in files of the session's advisory size.
 
-    Rows are spread by plan inside a scenario, so that a scenario with a third of
-    all rows is not one task.
+    Rebalancing gathers each scenario's rows, merges small pieces and splits a scenario
+    that holds most of the rows over as many tasks as its size asks for.
     """
-    spread = df.repartition(*[F.col(c) for c in SCENARIO], F.pmod(F.hash("map_id"), F.lit(32)))
-    write_table(spread, path, SCENARIO)
+    write_table(df.hint("rebalance", *[F.col(c) for c in SCENARIO]), path, SCENARIO)
 
 
-def write_assignments(df: DataFrame, table: str, buckets: int) -> None:
-    """Plan rows bucketed by precinct: the join with a large precinct table needs no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, "precinct_id").sortBy("precinct_id").saveAsTable(table)
+def write_assignments(df: DataFrame, table: str, buckets: int, by: str = "map_id") -> None:
+    """Plan rows stored in buckets, so that what is keyed on ``by`` needs no shuffle.
+
+    By plan: totals, estimates and plan metrics group within a bucket. By precinct: the
+    join with a precinct table too large to broadcast; choose this when one plan holds
+    a large part of all rows.
+    """
+    df.write.mode("overwrite").bucketBy(buckets, by).sortBy(by).saveAsTable(table)
 
 
 def write_tails(districts: DataFrame, maps: DataFrame, path: str) -> None:
