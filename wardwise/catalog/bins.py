@@ -183,6 +183,7 @@ def a47(spark, sf):
     return bins.line_bins(base.results(spark, sf), waste.dem_margin(), 0.02, SCENARIO)
 
 
+# Composition classes of precincts.
 _A1 = [0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0]
 _A1_LABELS = ["0-10%", "10-30%", "30-50%", "50-70%", "70-90%", "90-100%"]
 

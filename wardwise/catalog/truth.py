@@ -70,12 +70,17 @@ def a03(spark, sf):
     return rounded(frames.district_summary_from_shares(base.units(spark, sf)), 5)
 
 
-def map_table(spark, sf):
-    return frames.summarise_plans(fx.assignments(spark, sf), fx.precincts(spark, sf))[1]
+def summaries(spark, sf):
+    return frames.summarise_plans(fx.assignments(spark, sf), fx.precincts(spark, sf))
 
 
 def district_table(spark, sf):
-    return frames.summarise_plans(fx.assignments(spark, sf), fx.precincts(spark, sf))[0]
+    """District summaries, stored as a study stores them."""
+    return fx.stored(spark, sf, "district_summaries", lambda: summaries(spark, sf)[0])
+
+
+def map_table(spark, sf):
+    return fx.stored(spark, sf, "map_summaries", lambda: summaries(spark, sf)[1])
 
 
 @query("a04_map_summary", f"SELECT {MAPS}, {rs(*MAP_SHARES)} FROM fx_mapsum")
@@ -92,7 +97,7 @@ def a05(spark, sf):
 
 @query("a06_all_plan_summaries", f"SELECT seg_level, redist_level, {MAPS}, {rs(*MAP_SHARES)} FROM fx_mapsum")
 def a06(spark, sf):
-    return rounded(map_table(spark, sf))
+    return rounded(summaries(spark, sf)[1])
 
 
 @query("a18_plan_seat_columns", f"SELECT {DK}, n_dem_seats, n_rep_seats, n_maj_min FROM fx_seats")

@@ -12,6 +12,7 @@ from wardwise.operators.ordered import exact_quantiles, share_of_group
 from wardwise.operators.report import stack_estimators
 from wardwise.schemas import SCENARIO
 
+# Five-point bins with an open last bin, and twentieths of the unit interval, by rule.
 FIVE_TO_75 = [float(b) for b in range(0, 76, 5)] + [float("inf")]
 FIVE_TO_75_LABELS = [f"{b}-{b + 5}" for b in range(0, 75, 5)] + ["75+"]
 FIVE_TO_100 = [float(b) for b in range(0, 101, 5)] + [float("inf")]

@@ -180,11 +180,16 @@ def ecdf(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "ecdf"
     return df.join(ranks.select(*keys, value, name), [*keys, value])
 
 
+# Percent-rank limits of the density classes, and their names.
+DENSITY_CUTS = (0.95, 0.80, 0.50)
+DENSITY_CLASSES = ("urban_core", "urban", "suburban", "rural")
+
+
 def density_class(
     df: DataFrame,
     value: str,
-    cuts: Sequence[float] = (0.95, 0.80, 0.50),
-    labels: Sequence[str] = ("urban_core", "urban", "suburban", "rural"),
+    cuts: Sequence[float] = DENSITY_CUTS,
+    labels: Sequence[str] = DENSITY_CLASSES,
     name: str = "density_class",
 ) -> DataFrame:
     """Class by percent rank: above the first cut, above the second, ..., the rest."""

@@ -384,6 +384,7 @@ def sample_scorecard(samples: DataFrame, target: float, share: str = "per_minori
     })
 
 
+# The percentiles of a profile.
 PROFILE = [0, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 1]
 
 

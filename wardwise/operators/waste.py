@@ -141,22 +141,39 @@ def dem_margin() -> Column:
     return try_div(F.col("total_dem_votes") - F.col("total_rep_votes"), "total_population")
 
 
+# Lower limit and label of each margin class, from the top down.
+MARGIN_CATEGORIES = [
+    (0.1, "Safe Dem (>10%)"),
+    (0.05, "Likely Dem (5-10%)"),
+    (0.0, "Lean Dem (0-5%)"),
+    (-0.05, "Lean Rep (0-5%)"),
+    (-0.1, "Likely Rep (5-10%)"),
+    (None, "Safe Rep (>10%)"),
+]
+DISTRICT_TYPES = [
+    (10, "Safe Dem (>10%)"),
+    (5, "Likely Dem (5-10%)"),
+    (-5, "Competitive (±5%)"),
+    (-10, "Likely Rep (5-10%)"),
+    (None, "Safe Rep (>10%)"),
+]
+
+
+def _first_above(value, classes) -> Column:
+    """Label of the first limit that the value exceeds; the last label otherwise."""
+    x = F.col(value) if isinstance(value, str) else value
+    arms = [F.when(x > F.lit(limit), label) for limit, label in classes[:-1]]
+    return F.coalesce(*arms, F.lit(classes[-1][1]))
+
+
 def margin_category(margin) -> Column:
     """Six margin classes at 0, 5 and 10 points. An unknown margin is in the last."""
-    m = F.col(margin) if isinstance(margin, str) else margin
-    return (
-        F.when(m > 0.1, "Safe Dem (>10%)").when(m > 0.05, "Likely Dem (5-10%)").when(m > 0, "Lean Dem (0-5%)")
-        .when(m > -0.05, "Lean Rep (0-5%)").when(m > -0.1, "Likely Rep (5-10%)").otherwise("Safe Rep (>10%)")
-    )
+    return _first_above(margin, MARGIN_CATEGORIES)
 
 
 def district_type(points) -> Column:
     """Five margin classes of a margin in points."""
-    m = F.col(points) if isinstance(points, str) else points
-    return (
-        F.when(m > 10, "Safe Dem (>10%)").when(m > 5, "Likely Dem (5-10%)").when(m > -5, "Competitive (±5%)")
-        .when(m > -10, "Likely Rep (5-10%)").otherwise("Safe Rep (>10%)")
-    )
+    return _first_above(points, DISTRICT_TYPES)
 
 
 def margin_columns() -> dict[str, Column]:

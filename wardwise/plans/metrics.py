@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wardwise.functions import indicator, soft_step, try_div
 from wardwise.operators.ordered import running
 from wardwise.schemas import PLAN
+from wardwise.session import materialise
 
 
 def _share(votes: str = "counts") -> Column:
@@ -51,7 +52,14 @@ def mean_median(d: DataFrame, keys: Sequence[str] = PLAN, votes: str = "counts")
 
 
 def _with_mean(d: DataFrame, keys: Sequence[str], votes: str) -> DataFrame:
-    shares = d.withColumn("_s", _share(votes))
+    """District shares beside their plan's mean share.
+
+    The districts are needed twice, so their few columns are written first: the plan
+    rows behind them are then read once.
+    """
+    if "_mean" in d.columns:
+        return d
+    shares = materialise(d.select(*keys, "district_id", "dem_votes", "rep_votes", _share(votes).alias("_s")), "shares")
     return shares.join(shares.groupBy(*keys).agg(F.avg("_s").alias("_mean")), list(keys))
 
 
@@ -73,15 +81,15 @@ def partisan_gini(d: DataFrame, keys: Sequence[str] = PLAN, votes: str = "counts
         F.avg(F.abs(2 * F.col("_mean") - F.col("_s") - F.col("_s2"))).alias("partisan_gini"))
 
 
-def _soft(party: str, k: float, votes: str) -> Column:
-    s = _share(votes) if party == "democratic" else 1 - _share(votes)
+def _soft(party: str, k: float, share: Column) -> Column:
+    s = share if party == "democratic" else 1 - share
     return F.sum(soft_step(s, k)) + F.lit(0.01) * (F.avg(s) - 0.5)
 
 
 def soft_seats(d: DataFrame, party: str = "democratic", k: float = 60.0, keys: Sequence[str] = PLAN,
                votes: str = "counts") -> DataFrame:
     """Smooth seat count: a logistic step per district plus a small pull of the mean."""
-    return d.groupBy(*keys).agg(_soft(party, k, votes).alias("soft_seats"))
+    return d.groupBy(*keys).agg(_soft(party, k, _share(votes)).alias("soft_seats"))
 
 
 def pair_districts(assignments: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -122,13 +130,13 @@ def plan_metrics(
     objective: str = "efficiency_gap", keys: Sequence[str] = PLAN, votes: str = "counts", soft_k: float = 60.0,
 ) -> DataFrame:
     """All metrics of each plan in one row, with the chosen objective as its score."""
-    s = F.col("_s")
-    base = _with_mean(d, keys, votes).groupBy(*keys).agg(
+    s, shares = F.col("_s"), _with_mean(d, keys, votes)
+    base = shares.groupBy(*keys).agg(
         *[e.alias(n) for n, e in _seats().items()], _gap().alias("efficiency_gap"),
         (F.percentile(s, F.lit(0.5)) - F.avg(s)).alias("mean_median"),
         (F.avg(indicator(s > F.col("_mean"))) - 0.5).alias("partisan_bias"),
-        _soft("democratic", soft_k, votes).alias("soft_seats"),
-    ).join(partisan_gini(d, keys, votes), list(keys))
+        _soft("democratic", soft_k, s).alias("soft_seats"),
+    ).join(partisan_gini(shares, keys), list(keys))
     if edges is not None and assignments is not None:
         base = base.join(cut_edges(assignments, edges, keys), list(keys), "left")
     return base.withColumn("optimization_score", OBJECTIVES.get(objective, OBJECTIVES["efficiency_gap"])())
@@ -147,8 +155,9 @@ def ideal_population(precincts: DataFrame, num_districts: int | None = None, tar
 
 def population_deviation(d: DataFrame, keys: Sequence[str] = PLAN) -> DataFrame:
     """Deviation of each district from its plan's mean size."""
-    ideal = d.groupBy(*keys).agg(F.avg("population").alias("ideal_population"))
-    return d.select(*keys, "district_id", "population").join(ideal, list(keys)).withColumn(
+    sizes = materialise(d.select(*keys, "district_id", "population"), "sizes")
+    ideal = sizes.groupBy(*keys).agg(F.avg("population").alias("ideal_population"))
+    return sizes.join(ideal, list(keys)).withColumn(
         "deviation", try_div("population", "ideal_population") - 1)
 
 

@@ -16,6 +16,8 @@ def local_session(cpus: int | str = 8, app: str = "wardwise", **conf: str) -> Sp
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Hash instead of sort joins where every shuffled partition is known to be small.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
     )
     settings = {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", **conf}
     for key, value in settings.items():
