@@ -23,6 +23,14 @@ PLANS = int(os.environ.get("BENCH_PLANS", "100"))
 REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
 
 
+def scale_of(sf_dir: str) -> float | str:
+    name = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -66,7 +74,7 @@ def main() -> None:
         print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "total_seconds_headline_queries", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+        "queries": times, "sf": scale_of(sf_dir),
         "plans": PLANS, "plan_rows": plans.count(),
     }))
     spark.stop()
