@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardwise.llm import decontaminate, substring
-from wardwise.llm.common import table
+from wardwise.llm import decontaminate, pii, secrets, substring, warc
+from wardwise.llm.common import Steps, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,3 +70,59 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = found.select("doc_id", "n_words", decontaminate.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                        F.sha2(ids, 256).alias("items_sha256"))
     return hit.withColumn("contaminated", decontaminate.contaminated(F.col("n_hit"), F.col("n_words")))
+
+
+def digest(spans):
+    """SHA-256 of kind:start:end, comma-joined."""
+    return F.sha2(written(spans), 256)
+
+
+def written(spans):
+    one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(spans, one), ",")
+
+
+def kind_counts(spans, kinds):
+    def own(kind: str):
+        return lambda s: s["kind"] == kind
+
+    return [F.size(F.filter(spans, own(kind))).cast("long").alias(f"n_{kind}") for kind in kinds]
+
+
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["base"])
+    return found.select("doc_id", *kind_counts(base, secrets.KINDS), digest(base).alias("base_sha256"), written("secrets").alias("spans"), "layers")
+
+
+@query(
+    "op5_warc",
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT i, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', i + 1, 1) AS letter FROM (SELECT unnest(range(0, 32)) AS i) s),
+n AS (SELECT page_id, g, """
+    + " + ".join(f"(strpos('0123456789abcdef', substr(hex, 5 * g + {k}, 1)) - 1) * {16 ** (5 - k)}" for k in range(1, 6))
+    + """ AS bits FROM p, (SELECT unnest(range(0, 8)) AS g) s),
+d AS (SELECT page_id, string_agg(letter, '' ORDER BY g, k) AS payload_digest
+  FROM n, (SELECT unnest(range(0, 4)) AS k) s, b WHERE b.i = (bits // CAST(pow(32, 3 - k) AS BIGINT)) % 32 GROUP BY page_id),
+f AS (SELECT p.page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, payload_digest,
+    min(p.page_id) OVER (PARTITION BY html) AS first FROM p JOIN d ON d.page_id = p.page_id)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to FROM f
+""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = Steps(spark, "warc")
+    archive = f"{steps.folder}/archive"
+    warc.write_warc(warc.plan_records(table(spark, sf_dir, "pages")), archive)
+    back = warc.read_warc(spark, archive, payload=False)
+    return back.select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to")
+    )
+
+
+@query("op2_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *kind_counts(F.col("base_spans"), pii.KINDS), digest("base_spans").alias("base_sha256"), written("pii_spans").alias("spans"))
