@@ -27,6 +27,11 @@ WIDE = {
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+.-])(?:00[0-9]{1,3}[\x20-])?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
 }
+#: A match of a pattern holds one of these; texts without any are passed over.
+NEEDS = {
+    BASE["email"]: ("@",), BASE["phone"]: ("+",),
+    WIDE["email"]: ("(at)", "[at]"), WIDE["ip"]: ("[.]", "(.)", " . "),
+}
 CONTEXT = r"(?i)\b(?:e-?mail|mail|contact|write|reach|call|phone|tel|mobile|fax|card|visa|credit|payment|ip|host|address|server)\b"
 #: Characters of context before a candidate.
 BEFORE = 24
@@ -51,7 +56,10 @@ def _spans(text: Column, pattern: str) -> Column:
 
     pairs = F.transform(found, lambda v, i: F.struct(v.alias("value"), F.get(pieces, i).alias("piece")))
     none = F.array().cast("array<struct<value:string,start:int,end:int>>")
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+    hint = F.lit(True)
+    for i, needed in enumerate(NEEDS.get(pattern, ())):
+        hint = text.contains(needed) | hint if i else text.contains(needed)
+    return F.when(hint & text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
 
 
 def _digits(value: Column) -> Column:
