@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardwise.llm import decontaminate, pii, secrets, substring, warc
+from wardwise.llm import decontaminate, pii, quality, secrets, substring, toxicity, warc
 from wardwise.llm.common import Steps, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *kind_counts(F.col("base_spans"), pii.KINDS), digest("base_spans").alias("base_sha256"), written("pii_spans").alias("spans"))
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return quality.score_quality(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return toxicity.score_toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted", "ratio")
