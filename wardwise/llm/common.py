@@ -46,16 +46,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Names like ``names`` that clash with no column of ``df``."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name = "_" + name
-        taken.add(name.lower())
-        out.append(name)
-    return out
+def without(docs: DataFrame, *results: str) -> DataFrame:
+    """``docs`` without the columns that a result column of the same name replaces."""
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in results])
 
 
 def components(edges: DataFrame, steps: Steps, name: str = "components") -> DataFrame:

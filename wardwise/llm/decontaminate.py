@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardwise.llm import tokens
-from wardwise.llm.common import Steps
+from wardwise.llm.common import Steps, without
 
 SIZE = 13
 SHINGLE = 4
@@ -180,6 +180,7 @@ def find_contamination(
     a larger benchmark takes more passes. NULL or empty texts have no words and no hits, NULL item ids are ignored,
     repeated rows are judged each by themselves, an empty benchmark hits nothing.
     """
+    docs = without(docs, "n_words", "spans", "items")
     spark = docs.sparkSession
     steps = Steps(spark, "decontaminate")
     row_of = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")

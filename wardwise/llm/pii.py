@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardwise.llm.common import without
+
 #: Kinds in their listed order.
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Possessive repeats and the look-behind only spare retries that cannot match.
@@ -186,6 +188,7 @@ def find_pii(docs: DataFrame, selected: list[int] | None = None) -> DataFrame:
     overlap no base span. Places are code points, end exclusive. NULL and empty texts have no spans; every row gets its own result.
     ``selected`` is learnt from ``docs`` if not given.
     """
+    docs = without(docs, "base_spans", "pii_spans")
     taken = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     if selected is None:

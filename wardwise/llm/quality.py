@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardwise.llm import tokens
+from wardwise.llm.common import without
 from wardwise.llm.labelled import held_out, labelled_rows, sample
 
 #: Word buckets and dimensions of the vectors: the table has WORDS x DIMS numbers whatever the corpus.
@@ -189,6 +190,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     Scores depend on the text alone. NULL and empty texts are scored as texts without words; repeated rows get
     equal scores; without labels of both classes the score is their smoothed share. No text is shuffled.
     """
+    docs = without(docs, "held_out", "score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
     columns = docs.select(row, F.col("text").cast("string").alias("text"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardwise.llm import decontaminate, pii, quality, secrets, substring, toxicity, warc
+import corpus_pipeline
+from wardwise.llm import decontaminate, embed_dedup, ngram_join, packing, pii, quality, secrets, substring, toxicity, warc
 from wardwise.llm.common import Steps, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +139,59 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     return toxicity.score_toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted", "ratio")
+
+
+def components_sql(links: str, nodes: str) -> str:
+    """Views ``walk`` and ``root``: the smallest node that each node of ``nodes`` reaches by the pairs (a, b) of ``links``, both ways."""
+    return f"""
+walk(a, b) AS (SELECT id AS a, id AS b FROM {nodes} UNION SELECT walk.a, {links}.b FROM walk JOIN {links} ON walk.b = {links}.a),
+root AS (SELECT a AS id, min(b) AS root FROM walk GROUP BY a)"""
+
+
+@query(
+    "op1_ngram_join",
+    """
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS h FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS hits FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+link AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * hits >= 8 * (x.n + y.n - hits)),
+node AS (SELECT doc_id AS id FROM documents),"""
+    + components_sql("link", "node")
+    + """,
+k AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT id AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, root AS component_id, id = root AS kept FROM root LEFT JOIN k ON k.a = id
+""",
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_near_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("digest")
+
+
+@query(
+    "op7_embedding_dedup",
+    """
+WITH RECURSIVE c AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM embeddings),
+l AS (SELECT vec_id, sqrt(sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS norm FROM c GROUP BY vec_id),
+d AS (SELECT x.vec_id AS a, y.vec_id AS b, sum(CAST(x.x AS DOUBLE) * CAST(y.x AS DOUBLE)) AS dot FROM c x JOIN c y
+  ON x.label = y.label AND x.i = y.i AND x.vec_id <> y.vec_id GROUP BY x.vec_id, y.vec_id),
+link AS (SELECT a, b FROM d JOIN l x ON x.vec_id = a JOIN l y ON y.vec_id = b WHERE dot / (x.norm * y.norm) >= 0.98),
+node AS (SELECT vec_id AS id FROM embeddings),"""
+    + components_sql("link", "node")
+    + """,
+k AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT id AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, root AS component_id, id = root AS kept FROM root LEFT JOIN k ON k.a = id
+""",
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

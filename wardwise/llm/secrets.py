@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardwise.llm.common import without
+
 #: Kinds in their listed order.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -242,6 +244,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     compressed layer was longer than LAYER_BYTES and was read up to there.
     NULL and empty texts have no secrets; repeated rows each get their own result; no shuffle is needed.
     """
+    docs = without(docs, "secrets", "layers", "cut")
     names = [c for c in docs.columns if c != "text"]
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row") if names else F.struct(F.lit(0).alias("none")).alias("row")
     columns = docs.select(row, F.col("text").cast("string").alias("text"))
