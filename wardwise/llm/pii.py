@@ -19,7 +19,7 @@ KINDS = ("email", "ip", "card", "phone")
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",  # runs of fewer digits fail the check and touch no other run
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Wider patterns of the same kinds: written-out or broken-up forms.
@@ -56,7 +56,8 @@ def _spans(text: Column, pattern: str) -> Column:
         one = F.struct(pair["value"].alias("value"), a.alias("start"), b.alias("end"))
         return F.struct(b.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    pairs = F.transform(found, lambda v, i: F.struct(v.alias("value"), F.get(pieces, i).alias("piece")))
+    # The last piece follows the last match.
+    pairs = F.slice(F.arrays_zip(found.alias("value"), pieces.alias("piece")), F.lit(1), F.size(found))
     none = F.array().cast("array<struct<value:string,start:int,end:int>>")
     hint = F.lit(True)
     for i, needed in enumerate(NEEDS.get(pattern, ())):

@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
         _pooled(shared), "row struct<doc_id:long,label:int,fold:int>, x array<double>"
     )
     rows = lessons.select("row.*", "x").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-    x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), -1)
+    x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), 2 * DIMS + 1)
     return vectors, Network(x, rows["label"].to_numpy(), rows["fold"].to_numpy() == 4)
 
 

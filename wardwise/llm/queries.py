@@ -117,10 +117,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = Steps(spark, "warc")
     archive = f"{steps.folder}/archive"
     warc.write_warc(warc.plan_records(table(spark, sf_dir, "pages")), archive)
-    back = warc.read_warc(spark, archive, payload=False)
-    return back.select(
-        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to")
-    )
+    full = warc.read_warc(spark, archive).where("record_type = 'response'")
+    short = warc.read_warc(spark, archive, payload=False).where("record_type = 'revisit'")
+    columns = lambda size, digest: (
+        warc.page_of("record_id").alias("page_id"), size.cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type",
+        warc.page_of("refers_to").alias("refers_to"))
+    read = full.select(*columns(F.octet_length("payload"), warc.base32_sha1(F.col("payload"))))
+    return read.union(short.select(*columns(F.col("payload_bytes"), F.col("payload_digest"))))
 
 
 @query("op2_pii")

@@ -125,7 +125,7 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition):
         store, _ = self._filesystem()
-        for name, _ in partition.files:
+        for name, _ in partition.files if partition else ():  # no files: Spark plans one empty partition
             with store.open_input_file(name) as raw:
                 yield from self._records(raw)
 
