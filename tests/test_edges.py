@@ -115,3 +115,17 @@ def test_plan_in_two_scenarios_keeps_one(spark):
     assert results.plans_in_several_scenarios(rows).first().redist_levels == "dem, middle"
     kept = results.one_scenario_per_plan(rows)
     assert sorted((r.map_id, r.redist_level) for r in kept.collect()) == [(1, "dem"), (2, "rep")]
+
+
+def test_null_rows_stay(spark):
+    """NULL keys form a group, NULL values get a NULL result; no row is lost."""
+    from wardwise.operators import frames, ordered
+
+    df = spark.createDataFrame([(1, "a", 1.0), (2, None, 2.0), (3, None, 3.0), (4, "a", None)], "id long, k string, v double")
+    running = {r.id: r.n for r in ordered.running(df, ["id"], ["k"], row_number="n").collect()}
+    assert running == {1: 1, 4: 2, 2: 1, 3: 2}
+    assert {r.id: r.ecdf for r in ordered.ecdf(df, "v").collect()} == {1: 1 / 3, 2: 2 / 3, 3: 1.0, 4: None}
+    assert {r.id: r.density_class is None for r in ordered.density_class(df, "v").collect()} == {1: False, 2: False, 3: False, 4: True}
+    assert {r.id: r.s for r in ordered.share_of_group(df, "v", ["k"], "s").collect()} == {1: 1.0, 2: 0.4, 3: 0.6, 4: None}
+    plans = spark.createDataFrame([(1, 1), (1, 1)], "map_id long, precinct_id long")
+    assert not frames.unmatched(plans, spark.createDataFrame([(1,), (2,)], "precinct_id long")).isEmpty()

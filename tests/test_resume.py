@@ -43,3 +43,18 @@ def test_failed_batch_leaves_plans_remaining(spark, sf_dir, tmp_path):
     assert incremental.remaining_plans(plans, path).count() == fx.N_PLANS
     incremental.process_remaining(plans, cast, path)
     assert rows(incremental.load_results(spark, path)) == rows(incremental.regress(plans, cast))
+
+
+def test_sent_again_and_fresh_checkpoint(spark, sf_dir, tmp_path):
+    """A plan file that comes again adds nothing, and a new checkpoint deletes no results."""
+    plans, cast = fx.assignments(spark, sf_dir), fx.precincts(spark, sf_dir)
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    plans.where("map_id = 1").coalesce(1).write.mode("append").parquet(source)
+    incremental.process_stream(spark, source, cast, path, str(tmp_path / "c1"))
+    first = rows(incremental.load_results(spark, path))
+    plans.where("map_id = 1").coalesce(1).write.mode("append").parquet(source)
+    incremental.process_stream(spark, source, cast, path, str(tmp_path / "c1"))
+    assert rows(incremental.load_results(spark, path)) == first
+    plans.where("map_id = 2").coalesce(1).write.mode("append").parquet(source)
+    incremental.process_stream(spark, source, cast, path, str(tmp_path / "c2"))
+    assert rows(incremental.load_results(spark, path)) == rows(incremental.regress(plans.where("map_id <= 2"), cast))

@@ -27,9 +27,11 @@ def two_each(spark, sf) -> str:
     return path
 
 
-@query("c01_save_results", f"SELECT {DK}, {rs(*EST)} FROM fx_er JOIN fx_plan_list USING ({MK}) WHERE k <= 2")
+@query("c01_save_results", f"SELECT {DK}, {rs(*EST)} FROM fx_er JOIN fx_plan_list USING ({MK})")
 def c01(spark, sf):
-    return rounded(incremental.load_results(spark, two_each(spark, sf)).select(*DISTRICT, *EST))
+    path = two_each(spark, sf)
+    incremental.process_remaining(*inputs(spark, sf), path)
+    return rounded(incremental.load_results(spark, path).select(*DISTRICT, *EST))
 
 
 @query("c02_remaining_plans", f"SELECT {MK} FROM fx_plan_list WHERE k > 2")

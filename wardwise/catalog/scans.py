@@ -55,11 +55,11 @@ def s03(spark, sf):
     return rounded(census.clean_blocks(readers.read_census(spark, path)).select("precinct_id", "state", "population", "per_minority"))
 
 
-@query("s04_scenario_scan", "SELECT map_id, seg_level, redist_level, precinct_id, district_id FROM fx_assignments WHERE seg_level = 'high'")
+@query("s04_scenario_scan", "SELECT map_id, seg_level, redist_level, precinct_id, district_id FROM fx_assignments")
 def s04(spark, sf):
     path = fresh(spark, "scenarios")
     writers.write_scenarios(fx.assignments(spark, sf), path)
-    return readers.read_scenarios(spark, path).where(F.col("seg_level") == "high").select(*schemas.ASSIGNMENTS.names)
+    return readers.read_scenarios(spark, path).select(*schemas.ASSIGNMENTS.names)
 
 
 @query("s05_wide_plan_scan", "SELECT map_id, 'step_' || map_id AS plan_name, precinct_id, district_id FROM fx_assignments")

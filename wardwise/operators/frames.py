@@ -64,14 +64,15 @@ def keep_plans(assignments: DataFrame, plans: DataFrame, on: Sequence[str] = ("m
 
 
 def unmatched(assignments: DataFrame, precincts: DataFrame) -> DataFrame:
-    """Plan rows whose precinct is unknown, and precincts absent from a plan."""
+    """Plan rows whose precinct is unknown or listed twice, and plans that lack precincts."""
     unknown = assignments.join(precincts, "precinct_id", "left_anti").select("map_id", "precinct_id")
     counts = assignments.join(precincts, "precinct_id", "left_semi").groupBy("map_id").agg(
-        F.count(F.lit(1)).alias("n_known")
+        F.countDistinct("precinct_id").alias("n_known")
     )
     n = precincts.agg(F.count(F.lit(1)).alias("n")).scalar()
     short = counts.where(F.col("n_known") < n).select("map_id", F.lit(None).cast("bigint").alias("precinct_id"))
-    return unknown.unionByName(short)
+    twice = assignments.groupBy("map_id", "precinct_id").count().where("count > 1").select("map_id", "precinct_id")
+    return unknown.unionByName(short).unionByName(twice)
 
 
 def align(assignments: DataFrame, precincts: DataFrame) -> DataFrame:

@@ -25,6 +25,13 @@ def _sorts(order_by) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in items]
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where NULL equals NULL; ``right`` brings its other columns."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(named, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def cut_into_slices(df: DataFrame, order_by, keys: Sequence[str] = ()) -> DataFrame:
     """``df`` range-partitioned by keys and order, with its slice number, as a table.
 
@@ -47,8 +54,8 @@ def running(
     """Adds running sums, running maxima, a row number and the group size.
 
     ``order_by`` must order rows uniquely within ``keys`` (add the id as the last
-    item). ``sums`` and ``maxes`` map output names to input columns. Keys must not
-    be NULL.
+    item). ``sums`` and ``maxes`` map output names to input columns. NULL keys form
+    groups of their own.
     """
     keys, sums, maxes = list(keys), dict(sums or {}), dict(maxes or {})
     cut = cut_into_slices(df, order_by, keys)
@@ -73,7 +80,7 @@ def running(
 
     inside = Window.partitionBy(*keys, SLICE).orderBy(*_sorts(order_by))
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = cut.join(starts, [*keys, SLICE])
+    joined = join_same(cut, starts, [*keys, SLICE])
     added: dict[str, Column] = {}
     for o, c in sums.items():
         start = F.coalesce(F.col(f"_s_{o}"), F.lit(0))
@@ -175,9 +182,9 @@ def with_row_id(df: DataFrame, order_by, name: str = "row_id", keys: Sequence[st
 
 
 def ecdf(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "ecdf") -> DataFrame:
-    """Share of rows at or below each row's value."""
-    ranks = peer_ranks(df, value, keys).withColumn(name, F.col("n_upto") / F.col("n_all"))
-    return df.join(ranks.select(*keys, value, name), [*keys, value])
+    """Share of rows at or below each row's value; NULL values have none and are not counted."""
+    ranks = peer_ranks(df.where(F.col(value).isNotNull()), value, keys).withColumn(name, F.col("n_upto") / F.col("n_all"))
+    return join_same(df, ranks.select(*keys, value, name), [*keys, value], "left")
 
 
 # Percent-rank limits of the density classes, and their names.
@@ -192,13 +199,13 @@ def density_class(
     labels: Sequence[str] = DENSITY_CLASSES,
     name: str = "density_class",
 ) -> DataFrame:
-    """Class by percent rank: above the first cut, above the second, ..., the rest."""
-    ranks = peer_ranks(df, value)
+    """Class by percent rank: above the first cut, above the second, ..., the rest; NULL values have no class."""
+    ranks = peer_ranks(df.where(F.col(value).isNotNull()), value)
     pct = F.when(F.col("n_all") > 1, F.col("n_below") / (F.col("n_all") - 1)).otherwise(F.lit(0.0))
     chain = F.when(pct > cuts[0], labels[0])
     for c, label in zip(cuts[1:], labels[1:], strict=False):
         chain = chain.when(pct > c, label)
-    return df.join(ranks.select(value, chain.otherwise(labels[-1]).alias(name)), value)
+    return join_same(df, ranks.select(value, chain.otherwise(labels[-1]).alias(name)), [value], "left")
 
 
 def min_max(df: DataFrame, cols: Sequence[str], suffix: str = "_std") -> DataFrame:
@@ -241,7 +248,7 @@ def share_of_group(df: DataFrame, value: str, keys: Sequence[str], name: str, ho
         return df.withColumn(name, F.try_divide(part, whole.cast("double")) * F.lit(float(scale)))
     whole = df.groupBy(*keys).agg(fold(value).alias("_w"))
     ratio = F.try_divide(part, F.col("_w").cast("double")) * F.lit(float(scale))
-    return df.join(whole, list(keys)).withColumn(name, ratio).drop("_w")
+    return join_same(df, whole, list(keys)).withColumn(name, ratio).drop("_w")
 
 
 def decile_profile(df: DataFrame, value: str, id_col: str, n: int = 10) -> DataFrame:

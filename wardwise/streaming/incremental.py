@@ -101,8 +101,8 @@ def process_stream(
 ) -> None:
     """Processes the plan files that arrived since the last call, then stops.
 
-    The stream's checkpoint takes the place of a test for existing results. Nothing is
-    kept between files, so every plan must be complete within a file (or within a
+    A plan that was tried before, by any stream or call on the same path, is left out. Nothing
+    is kept between files, so every plan must be complete within a file (or within a
     micro-batch, when ``max_files`` is not set).
     """
     reader = spark.readStream.schema(ASSIGNMENTS)
@@ -110,8 +110,13 @@ def process_stream(
         reader = reader.option("maxFilesPerTrigger", max_files)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        plans = batch.select(*PLAN).distinct()
-        save_results(estimator(batch, precincts), plans, path, f"s{batch_id}")
+        # Plans that were tried before are not taken twice. The name is a fingerprint of the plans, so that a repeated
+        # batch replaces itself and a new checkpoint's batches replace no others.
+        new = batch.select(*PLAN).distinct().join(tried_plans(spark, path), PLAN, "left_anti").persist()
+        n, print_ = new.agg(F.count(F.lit(1)), F.hex(F.bit_xor(F.xxhash64(*PLAN)))).first()
+        if n:
+            save_results(estimator(batch.join(new, PLAN, "left_semi"), precincts), new, path, f"s{n}-{print_}")
+        new.unpersist()
 
     query = (
         reader.parquet(source).writeStream.foreachBatch(handle)
