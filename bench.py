@@ -75,7 +75,7 @@ def main() -> None:
     print(json.dumps({
         "metric": "total_seconds_headline_queries", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": scale_of(sf_dir),
-        "plans": PLANS, "plan_rows": plans.count(),
+        "plans": PLANS, "plan_rows": plans.count(), "plans_d10_g12": 10, "plans_d07_d09": fx.N_PLANS,
     }))
     spark.stop()
 

@@ -186,7 +186,7 @@ def k13(spark, sf):
 
 
 view("fx_rake0", "SELECT block_id, population, per_minority, 1e0 AS w FROM fx_blocks")
-RAKES = 5
+RAKES = 20
 for _i in range(RAKES):
     view(f"fx_rake{_i + 1}", f"""
 SELECT block_id, population, per_minority, CASE WHEN abs(m - 0.5e0) < 0.001e0 THEN w
