@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
+from wardwise.llm.common import Steps
+
 #: The base32 alphabet of RFC 4648.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -44,6 +46,8 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = rows.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": base32_sha1(F.col("html"))})
     groups = pages.select(F.col("page_id").cast("long").alias("page_id"), base32_sha1(html).alias("payload_digest")).groupBy("payload_digest")
     first = groups.agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("payload_digest", "first")
+    # Stored, so that the planner knows how many payloads repeat: pages are shuffled only where that is much.
+    first = Steps(pages.sparkSession, "payloads").write(first, "first")
     joined = rows.join(first, "payload_digest", "left")
     revisit = (F.col("page_id") > F.col("first")) & (F.col("payload_bytes") >= min_bytes)
     return joined.select(
