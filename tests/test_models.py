@@ -26,7 +26,27 @@ def test_ols(table):
     for i, t in enumerate(["(Intercept)", "a", "b"]):
         assert got[t].estimate == pytest.approx(beta[i], abs=1e-8) and got[t].std_error == pytest.approx(se[i], rel=1e-6)
     assert fit["n"] == 400 and fit["r2"] == pytest.approx(1 - rss / ((z - z.mean()) ** 2).sum())
-    assert models.t_quantile(0.975, 10) == pytest.approx(2.228139, abs=1e-3)
+
+
+@pytest.mark.parametrize(("dof", "t"), [(1, 12.706205), (2, 4.302653), (10, 2.228139), (1e6, 1.959966)])
+def test_t_quantile(dof, t):
+    assert models.t_quantile(0.975, dof) == pytest.approx(t, abs=1e-5)
+    assert models.t_quantile(0.025, dof) == pytest.approx(-t, abs=1e-5)
+
+
+def test_regression_table_has_fit_rows(table):
+    tidy, fit = models.ols(table[0], "z", ["a", "b"])
+    got = {r.term: r.one for r in models.regression_table({"one": tidy}, {"one": fit}).collect()}
+    assert set(got) == {"(Intercept)", "a", "b", "N", "R2", "Adjusted R2"}
+    assert got["N"] == "400" and got["R2"] == f"{fit['r2']:.3f}" and got["Adjusted R2"] == f"{fit['adj_r2']:.3f}"
+
+
+def test_logit_by_scenario_takes_any_key(table):
+    from pyspark.sql import functions as F
+
+    df = table[0].withColumns({"k": F.when(F.col("a") > 0, F.lit("o'k")), "l": F.lit("x")})
+    got = models.logit_by_scenario(df, "y", "b", ["k", "l"]).collect()
+    assert {r.k for r in got} == {"o'k", None} and len(got) == 4
 
 
 def test_logit_and_marginal_effects(table):

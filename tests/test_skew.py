@@ -150,8 +150,11 @@ def test_repair_matches_brute_force(spark):
         neighbours[b].append(a)
     units = spark.createDataFrame(list(region.items()), "precinct_id bigint, geog_id bigint")
     links = spark.createDataFrame(edges, "src bigint, dst bigint")
-    got = {r.precinct_id: r.geog_id for r in space.repair_isolated(units, links, "geog_id", 10).collect()}
-    assert got == brute_repair(region, neighbours, 10)
+    for rounds in (0, 10):
+        rows = space.repair_isolated(units, links, "geog_id", rounds).collect()
+        got = {r.precinct_id: r.geog_id for r in rows}
+        assert got == brute_repair(region, neighbours, rounds)
+        assert {r.precinct_id for r in rows if r.isolated} == {i for i in got if got[i] not in [got[j] for j in neighbours[i]]}
 
 
 def test_moran_of_a_checkerboard_is_minus_one(spark):

@@ -89,8 +89,8 @@ def m06(spark, sf):
 @query("m07_regression_table")
 def m07(spark, sf):
     data = frame(spark, sf)
-    return models.regression_table({f"{s}_{m}": models.ols(data, f"error_minority_{m}", models.SPECIFICATIONS[s])[0]
-                                    for s in ("base", "interactions") for m in ("er", "ei")})
+    fits = {f"{s}_{m}": models.ols(data, f"error_minority_{m}", models.SPECIFICATIONS[s]) for s in ("base", "interactions") for m in ("er", "ei")}
+    return models.regression_table({k: tidy for k, (tidy, _) in fits.items()}, {k: fit for k, (_, fit) in fits.items()})
 
 
 @query("m08_logit_by_scenario")

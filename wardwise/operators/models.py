@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -105,18 +108,23 @@ def logit(df: DataFrame, response: str, terms: Sequence[str]) -> tuple[DataFrame
 
 
 def t_quantile(p: float, dof: float) -> float:
-    """Student t quantile by the Cornish-Fisher expansion about the normal one."""
-    z = 1.959963984540054 if p == 0.975 else _normal_quantile(p)
-    g1 = (z**3 + z) / 4
-    g2 = (5 * z**5 + 16 * z**3 + 3 * z) / 96
-    g3 = (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
-    return z + g1 / dof + g2 / dof**2 + g3 / dof**3
+    """Student t quantile: with t = sqrt(dof) tan(a), the density is a power of cos(a), summed by Simpson's rule and bisected."""
+    if p < 0.5:
+        return -t_quantile(1 - p, dof)
+    scale = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(math.pi)
+    weights = np.array([1.0, *[4.0, 2.0] * 499, 4.0, 1.0]) / 3
 
+    def below(t: float) -> float:
+        end = math.atan(t / math.sqrt(dof))
+        return 0.5 + scale * float(weights @ np.cos(np.linspace(0, end, 1001)) ** (dof - 1)) * end / 1000
 
-def _normal_quantile(p: float) -> float:
-    from statistics import NormalDist
-
-    return NormalDist().inv_cdf(p)
+    low, high = 0.0, 1.0
+    while below(high) < p:
+        low, high = high, 2 * high
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if below(mid) < p else (low, mid)
+    return (low + high) / 2
 
 
 def coefficient_table(tables: dict[str, DataFrame]) -> DataFrame:
@@ -132,12 +140,19 @@ def coefficient_table(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def regression_table(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per term, one column per model: coefficient with stars and (standard error)."""
+def regression_table(tables: dict[str, DataFrame], fits: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """One row per term, one column per model: coefficient with stars and (standard error).
+
+    ``fits`` (the second result of ``ols``, by model) adds rows N, R2 and Adjusted R2.
+    """
     out = None
     for name, tidy in tables.items():
         text = F.concat(add_stars("estimate", "p_value"), F.lit(" ("), fixed("std_error", 3), F.lit(")"))
         rows = tidy.select("term", F.lit(name).alias("model"), text.alias("cell"))
+        if fits:
+            f = fits[name]
+            cells = [("N", name, f"{f['n']:.0f}"), ("R2", name, f"{f['r2']:.3f}"), ("Adjusted R2", name, f"{f['adj_r2']:.3f}")]
+            rows = rows.unionByName(tidy.sparkSession.createDataFrame(cells, "term string, model string, cell string"))
         out = rows if out is None else out.unionByName(rows)
     return out.groupBy("term").pivot("model", list(tables)).agg(F.max("cell"))
 
@@ -177,7 +192,8 @@ def logit_by_scenario(df: DataFrame, response: str, value: str, keys: Sequence[s
     """One-variable logit per scenario: a small fit for each of the few scenarios."""
     out = None
     for row in df.select(*keys).distinct().collect():
-        part = df.where(" AND ".join(f"{k} = '{row[k]}'" for k in keys)).where(F.col(response).isNotNull())
+        own = reduce(and_, [F.col(k).eqNullSafe(F.lit(row[k])) for k in keys])
+        part = df.where(own & F.col(response).isNotNull())
         ends = part.agg(F.min(response), F.max(response)).first()
         if ends[0] == ends[1]:
             continue  # one outcome only: no slope exists

@@ -140,11 +140,13 @@ def repair_isolated(units: DataFrame, edges: DataFrame, region: str, rounds: int
     """Units without a neighbour in their region take the most common neighbouring region.
 
     All units are judged together in each round (ties: the lowest region), so two
-    isolated neighbours may swap; the loop stops when nothing changes.
+    isolated neighbours may swap; the loop stops when nothing changes, or after ``rounds``.
+    ``isolated`` marks the units that still have neighbours, but none in their region, when it stops.
     """
     links = materialise(both_directions(edges), "links")
     now = materialise(units.select(id_col, region), "regions")
-    for _ in range(rounds):
+
+    def to_move() -> DataFrame:
         mine = now.select(F.col(id_col).alias("src"), F.col(region).alias("_own"))
         theirs = now.select(F.col(id_col).alias("dst"), F.col(region).alias("_other"))
         seen = links.join(mine, "src").join(theirs, "dst").groupBy("src", "_own", "_other").agg(
@@ -153,9 +155,14 @@ def repair_isolated(units: DataFrame, edges: DataFrame, region: str, rounds: int
             F.max(F.col("_own") == F.col("_other")).alias("_kept"),
             F.min(F.struct((-F.col("_n")).alias("n"), F.col("_other").alias("r"))).alias("_best"))
         moves = best.where(~F.col("_kept")).select(F.col("src").alias(id_col), F.col("_best.r").alias("_to"))
-        moves = materialise(moves, "moves")
+        return materialise(moves, "moves")
+
+    moves = to_move()
+    for _ in range(rounds):
         if moves.isEmpty():
             break
         now = materialise(now.join(moves, id_col, "left").select(
             id_col, F.coalesce("_to", region).alias(region)), "regions")
-    return units.drop(region).join(now, id_col)
+        moves = to_move()
+    left = moves.select(id_col, F.lit(True).alias("isolated"))
+    return units.drop(region).join(now, id_col).join(left, id_col, "left").withColumn("isolated", F.coalesce("isolated", F.lit(False)))
