@@ -69,6 +69,19 @@ def test_grid_inference_with_single_group_precincts(spark):
     assert 0 <= row.ei_minority_dem_share <= 1 and 0 <= row.ei_majority_dem_share <= 1
 
 
+def test_grid_inference_keeps_districts_without_a_regression(spark):
+    same = [unit(2, 10 + i, 40, 60, 10 + 2 * i, 30 - i) for i in range(4)]
+    one_group = [unit(3, 20 + i, 0, 10, 0, 4 + i) for i in range(3)]
+    small = [unit(4, 30 + i, 4, 6, 2, 3) for i in range(2)]
+    units = frame(spark, [*constant_rates(spark).collect(), *same, *one_group, *small])
+    got = {r.district_id: r for r in grid_inference(units).collect()}
+    assert set(got) == {1, 2, 3}
+    assert 0 < got[2].ei_minority_dem_share < 1 and 0 < got[2].ei_majority_dem_share < 1
+    assert got[3].ei_minority_dem_share is None and got[3].ei_minority_sd is None
+    assert got[3].ei_majority_dem_share == pytest.approx(0.5) and got[3].ei_rpv is None
+    assert set(r.district_id for r in grid_inference(units, min_precincts=2).collect()) == {1, 2, 3, 4}
+
+
 def test_tie_rule_differs_by_operator(spark):
     units = frame(spark, [unit(1, i, 5, 5, 3, 2) for i in range(4)])
     assert district_summary(units).first().dem_district is True

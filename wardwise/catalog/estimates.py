@@ -51,8 +51,10 @@ SELECT {DK}, precinct_id, n_minority, n_majority, x, t,
 FROM (SELECT *, {_X} AS x, {_T} AS t FROM fx_units WHERE population > 0) u
 """)
 view("fx_em_p0", f"""
-SELECT {DK}, greatest(0.05e0, least(0.95e0, er_minority_dem_share)) AS mu_b,
-  greatest(0.05e0, least(0.95e0, er_majority_dem_share)) AS mu_w, 0.01e0 AS s_bb, 0.01e0 AS s_ww, 0e0 AS s_bw FROM fx_er
+SELECT {DK}, greatest(0.05e0, least(0.95e0, coalesce(er_minority_dem_share, overall))) AS mu_b,
+  greatest(0.05e0, least(0.95e0, coalesce(er_majority_dem_share, overall))) AS mu_w, 0.01e0 AS s_bb, 0.01e0 AS s_ww, 0e0 AS s_bw
+FROM (SELECT {DK}, CAST(sum(dem_votes) AS DOUBLE) / nullif(sum(population), 0) AS overall
+  FROM fx_units GROUP BY {DK} HAVING count(*) >= 3) u LEFT JOIN fx_er USING ({DK})
 """)
 ROUNDS = 5
 for _i in range(ROUNDS + 1):
@@ -80,7 +82,7 @@ SELECT {DK}, mu_b, mu_w, s_bb, s_ww,
 FROM (SELECT {DK}, avg(e_b) AS mu_b, avg(e_w) AS mu_w, avg(e_bb) - avg(e_b) * avg(e_b) + 1e-4 AS s_bb,
     avg(e_ww) - avg(e_w) * avg(e_w) + 1e-4 AS s_ww,
     avg(e_bw) - avg(e_b) FILTER (WHERE e_bw IS NOT NULL) * avg(e_w) FILTER (WHERE e_bw IS NOT NULL) AS cov
-  FROM fx_em_e{_i} GROUP BY {DK}) q WHERE mu_b IS NOT NULL AND mu_w IS NOT NULL
+  FROM fx_em_e{_i} GROUP BY {DK}) q
 """)
 
 

@@ -118,7 +118,8 @@ def _with_inverse(params: DataFrame) -> DataFrame:
 
 
 def grid_inference(
-    units: DataFrame, keys: Sequence[str] = DISTRICT, rounds: int = 5, grid: int = 20, ridge: float = 1e-4
+    units: DataFrame, keys: Sequence[str] = DISTRICT, rounds: int = 5, grid: int = 20, ridge: float = 1e-4,
+    min_precincts: int = 3,
 ) -> DataFrame:
     """District rates under a normal prior on the precinct rates, fitted by EM on a grid.
 
@@ -127,10 +128,15 @@ def grid_inference(
     the normal to the unit square is ignored, so this approximates the posterior of
     the sampling model and does not reproduce its draws. Plan rows are prepared and
     written once; per round, only the district parameters are written.
+    Every district of ``min_precincts`` rows or more is estimated. EM starts from its regression, or where there is
+    none, from its overall share. A group that lives in no precinct of the district has NULL rates.
     """
     keys = list(keys)
     start = add_regression(district_sums(units, keys, moments=True))
-    params = _with_inverse(start.where(F.col("er_minority_dem_share").isNotNull()).select(
+    overall = try_div("total_dem_votes", "total_population")
+    begin = start.where(F.col("n_precincts") >= min_precincts).withColumns({
+        c: F.coalesce(c, overall) for c in ("er_minority_dem_share", "er_majority_dem_share")})
+    params = _with_inverse(begin.select(
         *keys,
         clamp("er_minority_dem_share", 0.05, 0.95).alias("mu_b"),
         clamp("er_majority_dem_share", 0.05, 0.95).alias("mu_w"),
@@ -149,7 +155,7 @@ def grid_inference(
             F.avg(F.when(F.col("e_bw").isNotNull(), F.col("e_b"))).alias("j_b"),
             F.avg(F.when(F.col("e_bw").isNotNull(), F.col("e_w"))).alias("j_w"),
         )
-        known = means.where("mu_b IS NOT NULL AND mu_w IS NOT NULL").withColumns({
+        known = means.withColumns({
             "s_bb": F.col("m_bb") - F.col("mu_b") * F.col("mu_b") + F.lit(float(ridge)),
             "s_ww": F.col("m_ww") - F.col("mu_w") * F.col("mu_w") + F.lit(float(ridge)),
             "_cov": F.coalesce(F.col("m_bw") - F.col("j_b") * F.col("j_w"), F.lit(0.0)),
