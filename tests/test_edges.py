@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wardwise.operators import bins
 from wardwise.operators.frames import align, district_summary, district_truth, one_plan
 from wardwise.operators.inference import grid_inference
 from wardwise.operators.regression import ecological_regression
@@ -82,6 +83,14 @@ def test_grid_inference_keeps_districts_without_a_regression(spark):
     assert set(r.district_id for r in grid_inference(units, min_precincts=2).collect()) == {1, 2, 3, 4}
 
 
+def test_margin_bins_are_closed_on_the_left(spark):
+    want = {0.0: "50+ (R)", 0.25: "40-50 (R)", 0.46875: "0-10 (R)", 0.5: "0-10 (D)", 0.75: "50+ (D)", 1.0: "50+ (D)"}
+    rows = [("low", "dem", s, True) for s in [*want, None]]
+    df = spark.createDataFrame(rows, "seg_level string, redist_level string, s double, ok boolean")
+    got = {r.bin: r.n_obs for r in bins.accuracy_by_margin(df, {"ok": "ER"}, "s").collect()}
+    assert got == {"50+ (R)": 1, "40-50 (R)": 1, "0-10 (R)": 1, "0-10 (D)": 1, "50+ (D)": 2}
+
+
 def test_tie_rule_differs_by_operator(spark):
     units = frame(spark, [unit(1, i, 5, 5, 3, 2) for i in range(4)])
     assert district_summary(units).first().dem_district is True

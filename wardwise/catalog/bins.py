@@ -35,6 +35,18 @@ def a25v(spark, sf):
         F.col("true_overall_dem_share") * 100, 100))
 
 
+MARGIN = cut_sql("(true_overall_dem_share - (1e0 - true_overall_dem_share)) * 100", [-1000.0, *bins.TEN_POINTS[1:]], bins.TEN_POINTS_LABELS, right=False)
+
+
+@query("a25_accuracy_by_margin", f"""
+SELECT {G}, {MARGIN} AS bin, method AS model, {R(savg('ok * 100'), 'pct_correct')}, count(*) AS n_obs
+FROM fx_stacked WHERE true_overall_dem_share IS NOT NULL GROUP BY {G}, bin, method
+""")
+def a25m(spark, sf):
+    return rounded(bins.accuracy_by_margin(
+        base.results(spark, sf), {"er_rpv_correct": "ER", "ei_rpv_correct": "EI"}, "true_overall_dem_share"))
+
+
 @query("a25_precinct_accuracy", f"""
 SELECT {G}, bin, model, {R(savg('ok * 100'), 'pct_correct')}, count(*) AS n_obs FROM (
   SELECT {G}, {BIN75('prop_minority_precinct * 100')} AS bin, 'ER' AS model, er_rpv_correct_precinct AS ok FROM fx_rows

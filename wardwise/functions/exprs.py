@@ -78,6 +78,10 @@ def cut_index(
     ``right=True`` closes intervals on the right, (a, b]; ``right=False`` on the
     left, [a, b). ``include_lowest`` also closes the outermost open end.
     """
+    return _by_interval(x, breaks, range(1, len(breaks)), right, include_lowest)
+
+
+def _by_interval(x, breaks: Sequence[float], values: Sequence, right: bool, include_lowest: bool) -> Column:
     x = _col(x)
     edges = [float(b) for b in breaks]
     last = len(edges) - 1
@@ -88,7 +92,7 @@ def cut_index(
             inside = ((x >= lo) if include_lowest and i == 1 else (x > lo)) & (x <= hi)
         else:
             inside = (x >= lo) & ((x <= hi) if include_lowest and i == last else (x < hi))
-        out = F.when(inside, F.lit(i)) if out is None else out.when(inside, F.lit(i))
+        out = F.when(inside, F.lit(values[i - 1])) if out is None else out.when(inside, F.lit(values[i - 1]))
     return out
 
 
@@ -100,12 +104,11 @@ def cut(
     include_lowest: bool = False,
 ) -> Column:
     """Interval label of x (see ``cut_index``)."""
-    index = cut_index(x, breaks, right, include_lowest)
     if labels is None:
-        return index
+        return cut_index(x, breaks, right, include_lowest)
     if len(labels) != len(breaks) - 1:
         raise ValueError("one label per interval is needed")
-    return F.element_at(F.array(*[F.lit(v) for v in labels]), index)
+    return _by_interval(x, breaks, labels, right, include_lowest)
 
 
 def stars(p) -> Column:

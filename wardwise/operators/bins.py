@@ -17,6 +17,9 @@ FIVE_TO_75 = [float(b) for b in range(0, 76, 5)] + [float("inf")]
 FIVE_TO_75_LABELS = [f"{b}-{b + 5}" for b in range(0, 75, 5)] + ["75+"]
 FIVE_TO_100 = [float(b) for b in range(0, 101, 5)] + [float("inf")]
 FIVE_TO_100_LABELS = [f"{b}-{b + 5}" for b in range(0, 100, 5)] + ["100+"]
+# Ten-point margin bins, open at both ends, by rule; fixed labels: distance from a tie, and the winner.
+TEN_POINTS = [float("-inf"), *[float(b) for b in range(-50, 51, 10)], float("inf")]
+TEN_POINTS_LABELS = ["50+ (R)", *[f"{b}-{b + 10} (R)" for b in range(40, -1, -10)], *[f"{b}-{b + 10} (D)" for b in range(0, 50, 10)], "50+ (D)"]
 TWENTIETHS = [i * 0.05 for i in range(21)]
 MIDPOINTS = [0.025 + i * 0.05 for i in range(20)]
 
@@ -29,9 +32,19 @@ def five_point_bin(percent, top: int = 75) -> Column:
 
 def accuracy_by_bin(df: DataFrame, flags: dict[str, str], percent: Column, top: int = 75,
                     keys: Sequence[str] = SCENARIO) -> DataFrame:
-    """Percent correct and count by bin and model; ``flags`` maps a column to a model name."""
+    """Percent correct and count by five-point bin and model; ``flags`` maps a column to a model name."""
+    return accuracy_by_class(df, flags, five_point_bin(percent, top), keys)
+
+
+def accuracy_by_margin(df: DataFrame, flags: dict[str, str], share: str, keys: Sequence[str] = SCENARIO) -> DataFrame:
+    """Percent correct and count by ten-point bin, closed on the left, of the Democratic margin that a vote share gives."""
+    points = (F.col(share) - (F.lit(1.0) - F.col(share))) * 100
+    return accuracy_by_class(df, flags, cut(points, TEN_POINTS, TEN_POINTS_LABELS, right=False), keys)
+
+
+def accuracy_by_class(df: DataFrame, flags: dict[str, str], bin_column: Column, keys: Sequence[str] = SCENARIO) -> DataFrame:
     parts = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("correct")) for c, m in flags.items()])
-    rows = df.select(*keys, five_point_bin(percent, top).alias("bin"), F.inline(parts)).where(F.col("bin").isNotNull())
+    rows = df.select(*keys, bin_column.alias("bin"), F.inline(parts)).where(F.col("bin").isNotNull())
     return rows.groupBy(*keys, "bin", "model").agg(
         (strict_avg(F.col("correct").cast("double")) * 100).alias("pct_correct"), F.count(F.lit(1)).alias("n_obs"))
 
