@@ -7,11 +7,12 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wardwise.llm import decontaminate, embed_dedup, ngram_join, packing, pii, quality, secrets, substring, toxicity, warc
+from wardwise.llm import decontaminate, embed_dedup, ngram_join, packing, pii, quality, secrets, substring, tokens, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -203,6 +204,23 @@ def test_classifiers_on_odd_rows(spark, odd, labels):
         assert score(odd.limit(0), labels).collect() == []
 
 
+def test_context_counts_follow_the_corpus(spark):
+    class Shared:
+        value = None
+
+    run = next(tokens.runs(pa.array(["often seldom"])))
+    Shared.value = np.sort(toxicity._words(run)[0])
+    seldom = int(np.searchsorted(Shared.value, toxicity._words(run)[0][1]))
+    for n in (5, 400, 30_000, 200_000):
+        parts = [[f"u{i} often" for i in range(first, n, 3)] + ["same seldom"] for first in range(3)]
+        maps = []
+        for part in parts * 2:  # repeated contexts count once
+            for out in toxicity._continuations(Shared)([pa.RecordBatch.from_pydict({"text": pa.array(part)})]):
+                maps += [tuple(r.values()) for r in out.to_pylist()]
+        found = {r.i: r.n for r in toxicity.context_counts(spark.createDataFrame(maps, "i long, level int, map long")).collect()}
+        assert abs(found[1 - seldom] - n) <= 0.3 * n and 0.9 < found[seldom] < 1.1
+
+
 def plain_best_fit(sizes, bits, capacity):
     bins, out = [], []
     for size, bit in zip(sizes, bits, strict=True):
