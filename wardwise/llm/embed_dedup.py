@@ -14,7 +14,7 @@ from wardwise.llm.common import Steps, components
 
 THRESHOLD = 0.98
 #: A band is BITS bits of the codes; vectors are compared if they agree in one of BANDS bands.
-BITS, BANDS = 16, 12
+BITS, BANDS = 16, 20
 #: Standard errors of the estimate within which a pair is computed exactly.
 CONFIDENCE = 4.0
 
@@ -109,7 +109,7 @@ def link_embeddings(vectors: DataFrame, cosine: float = THRESHOLD) -> DataFrame:
     Equal vectors of a label are represented by the one of smallest id. Representatives that share a band of their codes are compared
     in blocks: estimates and their confidence bounds drop pairs, the others are computed in double precision. Every link is counted once and no
     pair is emitted: blocks return each row's number of links and a spanning forest. A pair at the threshold shares a band with
-    probability 0.99, closer pairs more surely (tests measure the recall).
+    probability 0.9998, closer pairs more surely (tests measure the recall).
     Vectors that are NULL, empty, zero or hold NULL or non-finite components, and rows without label or id, link with nothing; vectors
     of different lengths never link. Rows that share a vec_id count as vectors of their own but as one node of a component. Other columns are ignored.
     """
