@@ -78,7 +78,7 @@ def brute_pick(rows, draws):
 def test_weighted_pick_matches_brute_force(spark, skewed):
     rows = skewed.select("id", F.when(F.col("id") == 5, 20000).otherwise(F.col("n")).alias("w"))
     draws = spark.range(1, 500).select(F.col("id").alias("draw"), (F.pmod(F.col("id") * 7919, F.lit(10007)) / 10007.0).alias("u"))
-    got = sorted((r.draw, r.id) for r in sampling.pick_weighted(rows, "w", draws, "id").collect())
+    got = sorted((r.draw, r.id) for r in sampling.pick_weighted(sampling.lay_weights(rows, "w", "id"), draws).collect())
     table = sorted((r.id, r.w) for r in rows.collect())
     assert got == sorted(brute_pick(table, [(r.draw, r.u) for r in draws.collect()]))
 
@@ -86,11 +86,29 @@ def test_weighted_pick_matches_brute_force(spark, skewed):
 def test_weighted_pick_follows_weights(spark, skewed):
     rows = skewed.select("id", F.when(F.col("id") == 7, F.lit(3000.0)).otherwise(F.lit(1.0)).alias("w"))
     draws = spark.range(1, 4001).select(F.col("id").alias("draw"), sampling.hash_noise(3, "id").alias("u"))
-    picks = sampling.pick_weighted(rows, "w", draws, "id")
+    picks = sampling.pick_weighted(sampling.lay_weights(rows, "w", "id"), draws)
     assert picks.count() == 4000
     assert abs(picks.where("id = 7").count() / 4000 - 0.5) < 0.04
 
 
+def test_heavy_and_tiny_weights_are_one_row_of_the_layout(spark):
+    rows = spark.createDataFrame([(i, 1e-18 if i == 2 else 3e5 if i == 9 else 1.0) for i in range(1, 3001)] + [(3001, 0.0), (3002, None)], "id long, w double")
+    laid = sampling.lay_weights(rows, "w", "id")
+    assert laid.count() == 3000
+    assert laid.where("id = 2 and _end - _start = 1").count() == 1
+    draws = spark.range(2000).select(F.col("id").alias("draw"), sampling.hash_noise(4, "id").alias("u"))
+    picks = sampling.pick_weighted(laid, draws)
+    assert picks.count() == 2000 and picks.where("id = 9").count() > 1900
+    assert sampling.pick_weighted(laid, draws.where("draw < 0")).collect() == []
+
+
+def test_draws_of_null_and_missing_groups(spark):
+    rows = spark.createDataFrame([(1, "a", 3), (2, "a", 1), (3, None, 5)], "id long, k string, w long")
+    draws = spark.createDataFrame([(1, "a", 0.0), (2, "a", 0.99), (3, None, 0.5), (4, "b", 0.5)], "draw long, k string, u double")
+    got = {(r.draw, r.id) for r in sampling.pick_weighted(sampling.lay_weights(rows, "w", "id", ["k"]), draws, ["k"]).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_samples_have_the_asked_size(skewed):
     assert sampling.hash_sample(skewed, 100, ["id"]).count() == 100
     assert sampling.hash_sample(skewed, 10**6, ["id"]).count() == 3000

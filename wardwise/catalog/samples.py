@@ -77,11 +77,14 @@ view("fx_strata", f"""
 SELECT *, sum(population) OVER (PARTITION BY stratum ORDER BY block_id ROWS UNBOUNDED PRECEDING) - population AS start, sum(population) OVER (PARTITION BY stratum) AS total
 FROM (SELECT *, {cut_sql('per_minority', TENTHS, include_lowest=True)} AS stratum FROM fx_blocks) a
 """)
+# As many rounds as the mean draw makes likely, and a tenth and ten more.
 view("fx_strata_picks", f"""
 SELECT d.j, d.stratum, s.block_id, s.population, s.per_minority FROM (
   SELECT stratum, j, floor({_U2.format(a='stratum')} * CAST(t AS DOUBLE)) AS p FROM (SELECT stratum, max(total) AS t FROM fx_strata GROUP BY stratum) g,
-    (SELECT unnest(range(1, (SELECT count(*) FROM fx_blocks))) AS j) r) d
-ASOF JOIN (SELECT *, CAST(start AS DOUBLE) AS s0 FROM fx_strata) s ON d.stratum = s.stratum AND d.p >= s.s0
+    (SELECT unnest(range(1, 11 + (SELECT CAST(floor(1.1e0 * u / sum(m)) AS BIGINT) FROM
+      (SELECT sum(CAST(population AS DOUBLE) * population) / sum(population) AS m FROM fx_strata GROUP BY stratum) x,
+      (SELECT floor(sum(population) / 2) AS u FROM fx_blocks) y GROUP BY u))) AS j) r) d
+ASOF JOIN (SELECT *, CAST(start AS DOUBLE) AS s0 FROM fx_strata WHERE population > 0) s ON d.stratum = s.stratum AND d.p >= s.s0
 """)
 view("fx_strata_kept", """
 SELECT * FROM fx_strata_picks WHERE j IN (SELECT j FROM (SELECT j, t, sum(t) OVER (ORDER BY j ROWS UNBOUNDED PRECEDING) AS cum
@@ -165,11 +168,16 @@ def a41(spark, sf):
 
 
 view("fx_lines", "SELECT *, sum(population) OVER (ORDER BY block_id ROWS UNBOUNDED PRECEDING) - population AS start FROM fx_blocks")
-view("fx_attempts", f"""
-SELECT d.attempt, d.j, s.block_id, s.population, s.per_minority FROM (
-  SELECT attempt, j, floor({_U2.format(a='attempt')} * t) AS p FROM (SELECT unnest(range(1, 21)) AS attempt) a,
-    (SELECT unnest(range(1, (SELECT count(*) // 4 FROM fx_blocks) + 1)) AS j) b, (SELECT CAST(sum(population) AS DOUBLE) AS t FROM fx_blocks) c) d
-JOIN (SELECT *, CAST(start AS DOUBLE) AS s0, CAST(start + population AS DOUBLE) AS s1 FROM fx_lines) s ON d.p >= s.s0 AND d.p < s.s1
+# Draws of equal noise fall on one row, so the places are looked up once for each value of the noise.
+view("fx_noise_rows", """
+SELECT n, block_id, population, per_minority FROM (
+  SELECT n, floor(CAST(n AS DOUBLE) / 10007 * t) AS p FROM (SELECT unnest(range(0, 10007)) AS n) a, (SELECT CAST(sum(population) AS DOUBLE) AS t FROM fx_blocks) c) d
+ASOF JOIN (SELECT *, CAST(start AS DOUBLE) AS s0 FROM fx_lines WHERE population > 0) s ON d.p >= s.s0
+""")
+view("fx_attempts", """
+SELECT attempt, j, block_id, population, per_minority FROM (
+  SELECT attempt, j, (j * 7919 + attempt * 104729 + 17) % 10007 AS n FROM (SELECT unnest(range(1, 1001)) AS attempt) a,
+    (SELECT unnest(range(1, (SELECT count(*) // 4 FROM fx_blocks) + 1)) AS j) b) d JOIN fx_noise_rows USING (n)
 """)
 
 
@@ -181,7 +189,7 @@ SELECT j AS draw, attempt, block_id FROM fx_attempts WHERE attempt = (
 def k13(spark, sf):
     blocks = fx.blocks(spark, sf)
     out = sampling.bootstrap_until(
-        blocks, "per_minority", "population", blocks.count() // 4, TARGET, "block_id", tol=0.002, attempts=20, noise=u_of_two)
+        blocks, "per_minority", "population", blocks.count() // 4, TARGET, "block_id", tol=0.002, attempts=1000, noise=u_of_two)
     return out.select("draw", "attempt", "block_id")
 
 

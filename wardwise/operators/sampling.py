@@ -7,13 +7,15 @@ it exactly. Every function takes its noise as a column, by default a hash.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from wardwise.functions import clamp, cut_index, hash_noise
-from wardwise.operators.ordered import running, with_ntile
+from wardwise.operators.ordered import join_same, running, with_ntile
+from wardwise.session import materialise
 
 UNITS = float(2**50)
 
@@ -55,42 +57,49 @@ def nearest_rows(df: DataFrame, value: str, probes: Sequence[float], id_col: str
 def _attach(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Group totals beside each row; without keys, the one row of totals as constants."""
     if keys:
-        return df.join(totals, list(keys))
+        return join_same(df, totals, keys)
     row = totals.select(F.struct(*totals.columns)).scalar()
     return df.withColumn("_row", row).select(*df.columns, "_row.*")
 
 
-def pick_weighted(
-    df: DataFrame, weight: str, draws: DataFrame, id_col: str, keys: Sequence[str] = ()
-) -> DataFrame:
-    """The row that each draw falls on, with probability in proportion to weight.
+def lay_weights(df: DataFrame, weight: str, id_col: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``df`` without rows of no weight, with the interval [_start, _end) of each row and its group's _total, as a table.
 
-    ``draws`` has a column ``u`` in [0, 1) and the ``keys``. Weights become whole
-    units laid end to end (integer arithmetic, so the result does not depend on the
-    order of summation). Both sides are cut into as many cells as there are rows and
-    joined on the cell, so that the interval match is an equi-join; a heavy row
-    simply spans many cells.
+    Weights become whole units laid end to end (integer arithmetic, so the result does not depend on the
+    order of summation). A positive weight is one unit at least.
     """
     keys = list(keys)
     if isinstance(df.schema[weight].dataType, IntegralType):
         units = df.withColumn("_w", F.col(weight).cast("bigint"))
     else:
         sums = df.groupBy(*keys).agg(F.sum(weight).alias("_sum"))
-        share = F.col(weight) / F.col("_sum") * F.lit(UNITS)
-        units = _attach(df, sums, keys).withColumn("_w", F.bround(share).cast("bigint")).drop("_sum")
+        share = F.bround(F.col(weight) / F.col("_sum") * F.lit(UNITS)).cast("bigint")
+        whole = F.when(F.col(weight) > 0, F.greatest(share, F.lit(1)))
+        units = _attach(df, sums, keys).withColumn("_w", whole).drop("_sum")
     laid = running(units.where(F.col("_w") > 0), [id_col], keys, sums={"_end": "_w"})
-    totals = laid.groupBy(*keys).agg(
-        F.max("_end").alias("_total"), F.greatest(F.ceil(F.max("_end") / F.count(F.lit(1))), F.lit(1)).alias("_width")
-    )
-    cell = lambda p: F.floor(p / F.col("_width")).cast("bigint")
-    start = F.col("_end") - F.col("_w")
-    rows = _attach(laid, totals, keys).withColumn("_start", start).withColumn(
-        "_cell", F.explode(F.sequence(cell(F.col("_start")), cell(F.col("_end") - 1)))
-    ).drop("_total", "_width", "_w")
-    points = _attach(draws, totals, keys).withColumn("_p", F.floor(F.col("u") * F.col("_total")).cast("bigint"))
-    points = points.withColumn("_cell", cell(F.col("_p"))).drop("_total", "_width")
-    hit = points.join(rows, [*keys, "_cell"]).where((F.col("_start") <= F.col("_p")) & (F.col("_p") < F.col("_end")))
-    return hit.drop("_cell", "_p", "_start", "_end")
+    laid = materialise(laid.withColumn("_start", F.col("_end") - F.col("_w")).drop("_w"), "laid")
+    return _attach(laid, laid.groupBy(*keys).agg(F.max("_end").alias("_total")), keys)
+
+
+def pick_weighted(laid: DataFrame, draws: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The row of ``lay_weights`` that each draw falls on, with probability in proportion to weight.
+
+    ``draws`` has a column ``u`` in [0, 1) and the ``keys``. Starts of rows and places of draws are sorted into one
+    line, and a draw falls on the last row that starts at or before it: a running maximum. A row of
+    any weight is one row of that line, and its draws spread over as many slices as they fill.
+    """
+    keys = list(keys)
+    own = [c for c in laid.columns if c not in (*keys, "_start", "_end", "_total")]
+    other = [c for c in draws.columns if c not in keys]
+    totals = laid.groupBy(*keys).agg(F.max("_total").alias("_total"))
+    row = F.struct("_start", *own).alias("_row")
+    draw = F.struct(*other).alias("_draw")
+    points = _attach(draws, totals, keys).select(
+        *keys, F.floor(F.col("u") * F.col("_total")).cast("bigint").alias("_at"), F.lit(1).alias("_kind"), draw)
+    starts = laid.select(*keys, F.col("_start").alias("_at"), F.lit(0).alias("_kind"), row)
+    line = starts.unionByName(points, allowMissingColumns=True)
+    found = running(line, ["_at", "_kind"], keys, maxes={"_hit": "_row"}).where("_kind = 1 and _hit is not null")
+    return found.select(*keys, *[F.col("_hit").getField(c).alias(c) for c in own], *[F.col("_draw").getField(c).alias(c) for c in other])
 
 
 def _draws(df: DataFrame, n: int, noise) -> DataFrame:
@@ -113,9 +122,9 @@ def weighted_bootstrap(
     noise = noise or (lambda j: hash_noise(seed, j))
     mean = df.agg(F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).first()[0]
     n = int(until / mean * 1.1) + 10
+    laid = lay_weights(df, weight, id_col)
     while True:
-        total = running(
-            pick_weighted(df, weight, _draws(df, n, noise), id_col), ["draw"], sums={"cum": value})
+        total = running(pick_weighted(laid, _draws(df, n, noise)), ["draw"], sums={"cum": value})
         if total.agg(F.max("cum")).first()[0] >= until:
             return total.where(F.col("cum") <= until).drop("u")
         n *= 2
@@ -131,10 +140,12 @@ def stratified_bootstrap(
     sizes = strata.groupBy("stratum").agg((F.sum(F.col(weight) * F.col(weight)) / F.sum(weight)).alias("m"))
     per_round = sizes.agg(F.sum("m")).first()[0]
     rounds = int(until / per_round * 1.1) + 10
+    names = F.array(*[F.lit(r.stratum) for r in sizes.where("m > 0").orderBy("stratum").collect()])  # the tenths, at most
+    laid = lay_weights(strata, weight, id_col, ["stratum"])
     while True:
-        draws = sizes.select("stratum", F.explode(F.sequence(F.lit(1), F.lit(rounds)).cast("array<bigint>")).alias("draw"))
+        draws = df.sparkSession.range(1, rounds + 1).select(F.explode(names).alias("stratum"), F.col("id").alias("draw"))
         draws = draws.withColumn("u", noise(F.col("stratum"), F.col("draw")))
-        picked = pick_weighted(strata, weight, draws, id_col, ["stratum"])
+        picked = pick_weighted(laid, draws, ["stratum"])
         totals = running(picked.groupBy("draw").agg(F.sum(weight).alias("t")), ["draw"], sums={"cum": "t"})
         if totals.agg(F.max("cum")).first()[0] >= until:
             break
@@ -155,8 +166,13 @@ def decile_bootstrap(
     sizes = numbered.groupBy("decile").agg(F.max("_size").alias("_size"))
     total = sizes.agg(F.sum("_size").alias("t")).scalar()
     wanted = F.bround(F.lit(n_target) * F.col("_size") / total).cast("bigint")
-    draws = sizes.withColumn("_want", wanted).where(F.col("_want") > 0).select(
-        "decile", "_size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_want"))).alias("draw"))
+    parts = sizes.withColumn("_want", wanted).where(F.col("_want") > 0).orderBy("decile").collect()  # n rows at most
+    ends = list(accumulate(r._want for r in parts))
+    line = df.sparkSession.range(ends[-1] if ends else 0)
+    part = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("id")))  # of so many parts the draw is past the end
+    first = lambda values: F.get(F.array(*[F.lit(v) for v in values]), part)
+    draws = line.select(first([r.decile for r in parts]).alias("decile"), first([r._size for r in parts]).alias("_size"),
+                        (F.col("id") - first([0, *ends[:-1]]) + 1).cast("bigint").alias("draw"))
     index = F.floor(noise(F.col("decile"), F.col("draw")) * F.col("_size")).cast("bigint") + 1
     return draws.withColumn("_rn", index).drop("_size").join(numbered.drop("_size"), ["decile", "_rn"]).drop("_rn")
 
@@ -201,16 +217,18 @@ def bootstrap_until(
 ) -> DataFrame:
     """Weighted bootstrap samples until one meets the target; the best one if none does.
 
-    Attempts are drawn in waves, a whole wave per job, and judged by one small
-    aggregate; only the winner is drawn again and returned.
+    The weights are laid out once. Attempts are drawn in waves, a whole wave per job and each twice as long as the one
+    before, and judged by one small aggregate; only the winner is drawn again and returned.
     """
     noise = noise or (lambda a, j: hash_noise(seed, a, j))
     spark, best, first = df.sparkSession, None, 1
 
+    laid = lay_weights(df, weight, id_col)
+
     def sample(lo: int, hi: int) -> DataFrame:
-        tries = spark.range(1, n + 1).withColumnRenamed("id", "draw").withColumn(
-            "attempt", F.explode(F.sequence(F.lit(lo), F.lit(hi)).cast("array<bigint>")))
-        return pick_weighted(df, weight, tries.withColumn("u", noise(F.col("attempt"), F.col("draw"))), id_col)
+        tries = spark.range((hi - lo + 1) * n).select(
+            (F.floor(F.col("id") / n) + lo).alias("attempt"), (F.col("id") % n + 1).alias("draw"))
+        return pick_weighted(laid, tries.withColumn("u", noise(F.col("attempt"), F.col("draw"))))
 
     while first <= attempts:
         last = min(first + wave - 1, attempts)
@@ -223,5 +241,5 @@ def bootstrap_until(
         if row.hit is not None:
             best = (0.0, row.hit)
             break
-        first = last + 1
+        first, wave = last + 1, 2 * wave
     return sample(best[1], best[1]).drop("u")
