@@ -128,14 +128,11 @@ def precinct_results(units: DataFrame, results: DataFrame) -> DataFrame:
 
 def plan_seat_counts(rows: DataFrame) -> DataFrame:
     """Districts won and majority-minority districts per plan, from precinct rows."""
-    def distinct_where(cond):
-        return F.countDistinct(F.when(cond, F.col("district_id")))
-
-    return rows.groupBy("map_id", *SCENARIO).agg(
-        distinct_where(F.col("prop_dem") > 0.5).alias("n_dem_seats"),
-        distinct_where(F.col("prop_dem") <= 0.5).alias("n_rep_seats"),
-        distinct_where(F.col("prop_minority") > 0.5).alias("n_maj_min"),
-    )
+    flags = {"n_dem_seats": F.col("prop_dem") > 0.5, "n_rep_seats": F.col("prop_dem") <= 0.5, "n_maj_min": F.col("prop_minority") > 0.5}
+    # One row per district, summed up in the map tasks, and then one per plan.
+    districts = rows.groupBy("map_id", *SCENARIO, "district_id").agg(*[F.max(flag).alias(name) for name, flag in flags.items()])
+    known = F.col("district_id").isNotNull()
+    return districts.groupBy("map_id", *SCENARIO).agg(*[F.count_if(F.col(name) & known).alias(name) for name in flags])
 
 
 def with_seats(results: DataFrame) -> DataFrame:
