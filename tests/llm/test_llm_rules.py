@@ -221,6 +221,20 @@ def test_context_counts_follow_the_corpus(spark):
         assert abs(found[1 - seldom] - n) <= 0.3 * n and 0.9 < found[seldom] < 1.1
 
 
+def test_toxicity_keeps_rare_words(spark):
+    """A word of one toxic text has a ratio of its own, by its contexts in all documents; the backoff is normalised over all words of them."""
+    rows = [(i, f"plain text number{i} here", "s") for i in range(40)] + [(100, "vile plain text", "s"), (101, "vileoften plain text", "s")]
+    rows += [(200 + i, f"elsewhere{i} vileoften", "s") for i in range(30)]
+    docs = docs_of(spark, rows)
+    lessons = docs.where("doc_id < 200").withColumn("label", (F.col("doc_id") >= 100).cast("int"))
+    models = toxicity.train_models(docs, lessons)
+    one = lambda text: models.features(next(tokens.runs(pa.array([text]))))[0, 0]
+    assert one("vile") > one("vileoften") + 0.1 > one("unseen") + 0.2
+    few = toxicity.train_models(docs.where("doc_id < 200"), lessons)  # less text around, so the backoff leaves each word more
+    same = next(tokens.runs(pa.array(["vile"])))
+    assert len(models.words) == len(few.words) and abs(models.features(same)[0, 0] - few.features(same)[0, 0]) > 0.05
+
+
 def plain_best_fit(sizes, bits, capacity):
     bins, out = [], []
     for size, bit in zip(sizes, bits, strict=True):
