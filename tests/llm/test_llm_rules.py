@@ -1,14 +1,18 @@
 """Small cases: nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
+import zlib
 
 import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -148,6 +152,23 @@ def test_secrets_in_layers(spark, odd):
     assert len(secrets.scan_secrets(odd).collect()) == 11 and secrets.scan_secrets(odd.limit(0)).collect() == []
 
 
+def test_compressed_layers_to_their_end():
+    """All members of each format, nested streams, and content beyond any window; before, 64 MB of the first member."""
+    secret = b" password=abcdefghijkl "
+    fill = bytes(range(32, 127)) + b"\n"
+    packs = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress, zstandard.ZstdCompressor(write_content_size=False).compress]
+    many = lambda pack: pack(b"x" * 50) + pack(secret)
+    cases = [many(pack) for pack in packs] + [gzip.compress(many(pack)) for pack in packs]
+    cases += [gzip.compress(b"a") + b"\0" * 512 + lzma.compress(secret), gzip.compress(b"a") + secret]
+    cases += [gzip.compress(b"\0" * (65 << 20) + secret), bz2.compress(b"A" * (6 << 20) + secret + fill * 70_000)]
+    inner = base64.b64encode(gzip.compress(secret + random.Random(1).randbytes(3 << 20)))
+    cases += [zlib.compress(fill * 30_000 + inner + fill * 30_000)]  # an encoded run across the border of two windows
+    for k, raw in enumerate(cases):
+        text = "x " + base64.b64encode(raw).decode() + " y"
+        spans = secrets.find_secrets(text)[0]
+        assert any(s["kind"] == "assign" and (s["start"], s["end"]) == (2, len(text) - 2) for s in spans), k
+
+
 def test_warc_round_trip(spark, tmp_path):
     tricky = "a\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\né\n"
     pages = spark.createDataFrame(

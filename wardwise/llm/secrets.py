@@ -6,6 +6,7 @@ import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -27,8 +28,14 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/]{16,})*={0,2}")
 URLSAFE = str.maketrans("-_", "+/")
-#: A compressed layer is read up to this many bytes, against decompression bombs; the row then says so.
-LAYER_BYTES = 64 << 20
+#: Compressed streams are inflated in pieces of at most this many bytes.
+PIECE = 1 << 20
+#: Inflated bytes are scanned in windows of about this size, each with the last OVERLAP bytes of the one before.
+WINDOW = 4 << 20
+OVERLAP = 1 << 16
+#: Bytes that no encoding spans: a window ends after one, or after four NULs (single ones are within UTF-16).
+BREAK = np.ones(256, dtype=bool)
+BREAK[[0x00, 0x0A, 0x0D, *range(0x21, 0x7F)]] = False
 FOUND = "array<struct<kind:string,start:int,end:int,base:boolean,path:string>>"
 
 
@@ -108,33 +115,126 @@ def _escape(m: re.Match):
     return [(chr(code), len(m[0]))] if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _inflate(raw: bytes) -> tuple[bytes | None, bool]:
-    """The bytes that a compressed stream holds, and whether they were cut at the limit."""
+def _decompressor(raw: bytes):
+    """A reader of the compressed stream that ``raw`` seems to begin with, or None."""
+    if raw[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 6 and (raw[0] * 256 + raw[1]) % 31 == 0:
+        return zlib.decompressobj(15)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if raw[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor(max_window_size=1 << 31).decompressobj()
+    return None
+
+
+def _broken(error: Exception) -> bool:
+    return isinstance(error, (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)) or type(error).__name__ == "ZstdError"
+
+
+def _member(d, pieces, left: list):
+    """The output of one compressed stream in bounded pieces; ``left`` gets the bytes behind it."""
+    bounded = isinstance(d, type(zlib.decompressobj()))
+    data = b""
+    while True:
+        if isinstance(d, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+            if not data and d.needs_input:
+                data = next(pieces, b"")
+                if not data:
+                    return
+            out, data = d.decompress(data, PIECE), b""
+        elif bounded:
+            data = d.unconsumed_tail or next(pieces, b"")
+            if not data:
+                if out := d.flush():
+                    yield out
+                return
+            out = d.decompress(data, PIECE)
+        else:  # zstandard bounds its output by its input only: one block of at most 128 KB each
+            data = next(pieces, b"")
+            if not data:
+                return
+            for i in range(0, len(data), 1 << 10):
+                if out := d.decompress(data[i : i + (1 << 10)]):
+                    yield out
+                if d.eof:
+                    left.append(d.unused_data + data[i + (1 << 10) :])
+                    return
+            continue
+        if out:
+            yield out
+        if d.eof:
+            left.append(d.unused_data)
+            return
+
+
+def _inflated(pieces):
+    """What all streams of ``pieces`` hold, one after another, in bounded pieces; bytes that are no stream follow as they are."""
+    pieces = iter(pieces)
+    head = next(pieces, b"")
+    while head:
+        while len(head) < 16 and (more := next(pieces, b"")):
+            head += more
+        padded = head.lstrip(b"\0")  # between gzip members and between xz streams
+        d = _decompressor(padded)
+        if d is None:
+            yield head
+            yield from pieces
+            return
+        left: list[bytes] = []
+        try:
+            yield from _member(d, itertools.chain([padded], pieces), left)
+        except Exception as error:
+            if not _broken(error):
+                raise
+            yield padded
+        head = left[0] if left else b""
+        head = head or next(pieces, b"")
+
+
+def _stream(raw: bytes) -> bool:
+    """Whether a compressed stream that holds something begins here."""
+    return _decompressor(raw) is not None and not raw.startswith(next(_inflated([raw]), b""))
+
+
+def _cut(raw: bytes):
+    for i in range(0, len(raw), PIECE):
+        yield raw[i : i + PIECE]
+
+
+def _windows(pieces):
+    """Overlapping windows that end where no encoding goes on. One without such a place grows: nothing is left out."""
+    held, looked = bytearray(), 0
+    for piece in pieces:
+        held += piece
+        if len(held) < WINDOW:
+            continue
+        looked = max(looked, OVERLAP)
+        last = np.flatnonzero(BREAK[np.frombuffer(bytes(held[looked:]), dtype=np.uint8)])
+        end = max(looked + int(last[-1]) + 1 if len(last) else 0, held.rfind(b"\0\0\0\0", looked) + 4)
+        if end <= looked + 3:
+            looked = max(looked, len(held) - 3)
+            continue
+        yield bytes(held[:end])
+        del held[: max(0, end - OVERLAP)]
+        looked = 0
+    if held:
+        yield bytes(held)
+
+
+def _texts(raw: bytes):
+    """The bytes as text: UTF-8, or else Latin-1 as all patterns are ASCII; and without NULs if many are in it, as in UTF-16."""
     try:
-        if raw[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-        elif raw[:1] == b"\x78" and len(raw) > 6 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            d = zlib.decompressobj(15)
-        elif raw[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                out = reader.read(LAYER_BYTES + 1)
-            return out[:LAYER_BYTES], len(out) > LAYER_BYTES
-        else:
-            return None, False
-        out = d.decompress(raw, LAYER_BYTES + 1)
-        return out[:LAYER_BYTES], len(out) > LAYER_BYTES
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None, False
-    except Exception as broken:  # zstandard's own error class
-        if type(broken).__name__ == "ZstdError":
-            return None, False
-        raise
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        text = raw.decode("latin-1")
+    yield text
+    if 4 * text.count("\0") >= len(text):
+        yield text.replace("\0", "")
 
 
 def _readable(raw: bytes) -> str | None:
@@ -148,57 +248,94 @@ def _readable(raw: bytes) -> str | None:
     return text if text and good >= 0.95 * min(len(text), 4096) else None
 
 
+def _plain(raw: bytes) -> bool:
+    """Whether all bytes are printable text, so that they were meant to be read whole."""
+    try:
+        text = raw.decode("utf-16-le" if raw[1::2].count(0) * 2 > 0.9 * len(raw) else "utf-8")
+    except UnicodeDecodeError:
+        return False
+    return all(c.isprintable() or c in "\t\r\n" for c in text)
+
+
 def _unbase64(layer: Layer, m: re.Match):
-    """Layers in one run of base64 characters: read whole, or else in its parts between slashes, dashes and underscores."""
+    """Layers in one run of base64 characters: read whole, and unless that is a stream or printable, in its parts between
+    slashes, dashes and underscores as well."""
     pieces = [(m.start(), m.end())]
-    tried_parts = False
+    tried = set()
     while pieces:
         a, b = pieces.pop()
+        if (a, b) in tried:
+            continue
+        tried.add((a, b))
         body = "".join(layer.text[a:b].split()).rstrip("=").translate(URLSAFE)
         body = body[: len(body) - (len(body) % 4 == 1)]
-        raw = None
         try:
             raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
         except (binascii.Error, ValueError):
-            pass
-        found = None
-        if raw and (_readable(raw) is not None or _inflate(raw)[0] is not None):
-            found = _from_bytes(layer, raw, [i for i in range(a, b) if not layer.text[i].isspace()])
-        if found:
-            yield found
-        elif not tried_parts:
-            tried_parts = True
+            raw = b""
+        if raw and (_stream(raw) or _readable(raw) is not None):
+            yield from _from_bytes(layer, raw, a, b)
+        if not raw or not (_stream(raw) or _plain(raw)):
             pieces += [(a + p.start(), a + p.end()) for p in re.finditer(r"[A-Za-z0-9+=\s]{16,}", layer.text[a:b]) if p.end() - p.start() < b - a]
 
 
-def _from_bytes(layer: Layer, raw: bytes, chars: list[int]):
+def _from_bytes(layer: Layer, raw: bytes, a: int, b: int):
+    """Layers of decoded bytes: at their places as they are, at the place of the whole run what compressed streams in them hold."""
     begin, end = layer.maps()
-    steps, cut, exact = ("base64",), False, True
-    seen = set()
-    while raw is not None:
-        inner, over = _inflate(raw)
-        if inner is None or inner in seen:
+    path = (*layer.path, "base64")
+    low, high = begin[a:b].min(), end[a:b].max()
+
+    def whole(text: str, path: tuple[str, ...]) -> Layer:
+        return Layer(text, np.broadcast_to(low, len(text)), np.broadcast_to(high, len(text)), path)
+
+    if not _stream(raw):
+        for text in _texts(raw):
+            if len(text) == len(raw):
+                chars = np.array([i for i in range(a, b) if not layer.text[i].isspace()])
+                i = np.arange(len(text))
+                first = chars[np.minimum(i * 4 // 3, len(chars) - 1)]
+                last = chars[np.minimum((i * 8 + 7) // 6, len(chars) - 1)]
+                yield Layer(text, begin[first], end[last], path)
+            else:
+                yield whole(text, path)
+        return
+    pieces, seen = _cut(raw), set()
+    while True:
+        # As much as a window is looked at; if that is all, it is inflated again without a chain of readers.
+        head, size = [], 0
+        while size < WINDOW and (piece := next(pieces, b"")):
+            head.append(piece)
+            size += len(piece)
+        start = b"".join(head)
+        mark = hashlib.sha1(start).digest()
+        if _decompressor(start) is None or mark in seen:  # a stream that holds itself
             break
-        seen.add(inner)
-        raw, exact, cut, steps = inner, False, cut or over, (*steps, "inflate")
-    text = _readable(raw)
-    if text is None:
-        return None
-    if exact and len(raw) == len(text):
-        i = np.arange(len(text))
-        first = np.array(chars)[np.minimum(i * 4 // 3, len(chars) - 1)]
-        last = np.array(chars)[np.minimum((i * 8 + 7) // 6, len(chars) - 1)]
-        return Layer(text, begin[first], end[last], (*layer.path, *steps)), cut
-    n = len(text)
-    whole = slice(chars[0], chars[-1] + 1)
-    return Layer(text, np.full(n, begin[whole].min()), np.full(n, end[whole].max()), (*layer.path, *steps)), cut
-
-
-def find_secrets(text: str) -> tuple[list[dict], int, bool]:
-    """All spans with the decoding path of each, the number of layers read, and whether a layer was cut."""
-    work, seen, spans, layers, cut = [Layer(text, None, None, ())], set(), {}, 0, False
+        seen.add(mark)
+        pieces, path = _inflated(itertools.chain(_cut(start), pieces)), (*path, "inflate")
+    for window in _windows(itertools.chain([start], pieces)):
+        for text in _texts(window):
+            yield whole(text, path)
+
+
+def _inner(layer: Layer):
+    """The layers that one step of decoding gives."""
+    if "%" in layer.text:
+        yield _replaced(layer, PERCENT, _percent, "url")
+    if "\\" in layer.text or "&#" in layer.text:
+        yield _replaced(layer, ESCAPE, _escape, "unicode")
+    for m in BASE64.finditer(layer.text):
+        yield from _unbase64(layer, m)
+
+
+def find_secrets(text: str) -> tuple[list[dict], int]:
+    """All spans with the decoding path of each, and the number of layers read."""
+    work, seen, spans, layers = [iter([Layer(text, None, None, ())])], set(), {}, 0
     while work:
-        layer = work.pop()
+        layer = next(work[-1], False)
+        if layer is False:
+            work.pop()
+        if not layer:
+            continue
         key = (hashlib.sha1(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.place(0, len(layer.text)) if layer.text else None)
         if key in seen:  # a cycle, or a layer reached in two ways
             continue
@@ -206,48 +343,39 @@ def find_secrets(text: str) -> tuple[list[dict], int, bool]:
         layers += 1
         for kind, a, b in scan(layer.text):
             spans.setdefault((*layer.place(a, b), kind), layer.path)
-        if "%" in layer.text:
-            work.append(_replaced(layer, PERCENT, _percent, "url"))
-        if "\\" in layer.text or "&#" in layer.text:
-            work.append(_replaced(layer, ESCAPE, _escape, "unicode"))
-        for m in BASE64.finditer(layer.text):
-            for inner, over in _unbase64(layer, m):
-                work.append(inner)
-                cut = cut or over
-        work = [x for x in work if x is not None]
+        work.append(_inner(layer))
     ordered = sorted(spans, key=lambda s: (s[0], s[2], s[1]))
-    return [{"kind": KINDS[k], "start": a, "end": b, "base": not spans[(a, b, k)], "path": "/".join(spans[(a, b, k)])} for a, b, k in ordered], layers, cut
+    return [{"kind": KINDS[k], "start": a, "end": b, "base": not spans[(a, b, k)], "path": "/".join(spans[(a, b, k)])} for a, b, k in ordered], layers
 
 
 def _rows(batches):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("path", pa.string())]))
     for batch in batches:
-        found, layers, cut = [], [], []
+        found, layers = [], []
         for text in batch.column(1):
-            spans, n, over = find_secrets(text.as_py() or "")
+            spans, n = find_secrets(text.as_py() or "")
             found.append(spans)
             layers.append(n)
-            cut.append(over)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(found, kind), pa.array(layers, pa.int32()), pa.array(cut, pa.bool_())], names=["row", "secrets", "layers", "cut"]
+            [batch.column(0), pa.array(found, kind), pa.array(layers, pa.int32())], names=["row", "secrets", "layers"]
         )
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` but text, with secrets (array of kind, start, end, base, path), layers and cut.
+    """The columns of ``docs`` but text, with secrets (array of kind, start, end, base, path) and layers.
 
     Every text is scanned as it is (base spans) and again in each layer that decoding gives: percent escapes
     and Unicode escapes are decoded in the whole layer, base64 runs and the compressed streams in them become
     layers of their own. New layers are decoded again until none is new; a layer equal to one already read at the same
     place is skipped, so cycles end. Spans are in code points of the original text, end exclusive, sorted by start, kind and end;
-    a span in a compressed layer is the whole encoded run. ``layers`` counts those read (1: nothing encoded), ``cut`` tells that a
-    compressed layer was longer than LAYER_BYTES and was read up to there.
+    a span in a compressed layer is the whole encoded run. Compressed streams are read to their end, all members, in overlapping windows, each a layer.
+    ``layers`` counts those read (1: nothing encoded).
     NULL and empty texts have no secrets; repeated rows each get their own result; no shuffle is needed.
     """
-    docs = without(docs, "secrets", "layers", "cut")
+    docs = without(docs, "secrets", "layers")
     names = [c for c in docs.columns if c != "text"]
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row") if names else F.struct(F.lit(0).alias("none")).alias("row")
     columns = docs.select(row, F.col("text").cast("string").alias("text"))
     kind = columns.schema["row"].dataType.simpleString()
-    out = columns.mapInArrow(_rows, f"row {kind}, secrets {FOUND}, layers int, cut boolean")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in names], "secrets", "layers", "cut")
+    out = columns.mapInArrow(_rows, f"row {kind}, secrets {FOUND}, layers int")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names], "secrets", "layers")
