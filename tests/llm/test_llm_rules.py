@@ -4,8 +4,11 @@ import base64
 import bz2
 import gzip
 import hashlib
+import io
 import lzma
 import random
+import tarfile
+import textwrap
 import zlib
 
 import brute
@@ -169,6 +172,24 @@ def test_compressed_layers_to_their_end():
         assert any(s["kind"] == "assign" and (s["start"], s["end"]) == (2, len(text) - 2) for s in spans), k
 
 
+def test_every_decoded_layer_is_scanned():
+    secret = b"password=abcdefghijkl"
+    coded = lambda raw: base64.b64encode(raw).decode()
+    packed = io.BytesIO()
+    with tarfile.open(fileobj=packed, mode="w:gz") as tar:
+        entry = tarfile.TarInfo("a.txt")
+        entry.size = 5000
+        tar.addfile(entry, io.BytesIO(secret + b"\n" + b"x" * (4999 - len(secret))))
+    layers = [packed.getvalue(), gzip.compress(bytes(range(128, 256)) * 40 + secret), bytes(range(256)) * 20 + secret, b"caf\xe9 " + secret,
+              ("caf\xe9 " + secret.decode()).encode("utf-16-le")]
+    assert all(any(s["kind"] == "assign" for s in secrets.find_secrets(coded(raw))[0]) for raw in layers)
+    wrapped = "\n".join(textwrap.wrap(coded(b"x" * 40 + b" " + secret), 76))
+    spans = secrets.find_secrets(wrapped + " and text")[0]
+    assert len(wrapped.split("\n")[-1]) < 16 and [s["end"] for s in spans] == [len(wrapped) - 1]
+    alone = coded(b"x" * 24 + secret)  # 60 characters, no padding; the line behind is prose
+    assert (32, 60) in {(s["start"], s["end"]) for s in secrets.find_secrets(alone + "\nprose follows")[0]}
+
+
 def test_warc_round_trip(spark, tmp_path):
     tricky = "a\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\né\n"
     pages = spark.createDataFrame(

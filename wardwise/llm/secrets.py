@@ -26,7 +26,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/]{16,})*={0,2}")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/]{16,})*(\r?\n[A-Za-z0-9+/]+)?={0,2}")
 URLSAFE = str.maketrans("-_", "+/")
 #: Compressed streams are inflated in pieces of at most this many bytes.
 PIECE = 1 << 20
@@ -237,17 +237,6 @@ def _texts(raw: bytes):
         yield text.replace("\0", "")
 
 
-def _readable(raw: bytes) -> str | None:
-    """Text, if the bytes are mostly printable UTF-8 or UTF-16."""
-    wide = len(raw) >= 8 and raw[1::2].count(0) * 2 > 0.9 * len(raw)
-    try:
-        text = raw.decode("utf-16-le" if wide else "utf-8")
-    except UnicodeDecodeError:
-        return None
-    good = sum(c.isprintable() or c in "\t\r\n" for c in text[:4096])
-    return text if text and good >= 0.95 * min(len(text), 4096) else None
-
-
 def _plain(raw: bytes) -> bool:
     """Whether all bytes are printable text, so that they were meant to be read whole."""
     try:
@@ -259,7 +248,7 @@ def _plain(raw: bytes) -> bool:
 
 def _unbase64(layer: Layer, m: re.Match):
     """Layers in one run of base64 characters: read whole, and unless that is a stream or printable, in its parts between
-    slashes, dashes and underscores as well."""
+    slashes, dashes and underscores as well. A short last line may be prose after the run, so the lines before it are also read alone."""
     pieces = [(m.start(), m.end())]
     tried = set()
     while pieces:
@@ -273,9 +262,11 @@ def _unbase64(layer: Layer, m: re.Match):
             raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
         except (binascii.Error, ValueError):
             raw = b""
-        if raw and (_stream(raw) or _readable(raw) is not None):
+        if raw:
             yield from _from_bytes(layer, raw, a, b)
         if not raw or not (_stream(raw) or _plain(raw)):
+            if m[1]:
+                pieces.append((m.start(), m.start(1)))
             pieces += [(a + p.start(), a + p.end()) for p in re.finditer(r"[A-Za-z0-9+=\s]{16,}", layer.text[a:b]) if p.end() - p.start() < b - a]
 
 
@@ -369,7 +360,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     layers of their own. New layers are decoded again until none is new; a layer equal to one already read at the same
     place is skipped, so cycles end. Spans are in code points of the original text, end exclusive, sorted by start, kind and end;
     a span in a compressed layer is the whole encoded run. Compressed streams are read to their end, all members, in overlapping windows, each a layer.
-    ``layers`` counts those read (1: nothing encoded).
+    Every decoded layer is scanned, whatever its bytes. ``layers`` counts those read (1: nothing encoded).
     NULL and empty texts have no secrets; repeated rows each get their own result; no shuffle is needed.
     """
     docs = without(docs, "secrets", "layers")
