@@ -302,6 +302,16 @@ def test_best_fit_is_tightest(spark, odd):
     assert packing.pack_documents(odd.limit(0)).collect() == []
 
 
+def test_near_copies_in_different_bins(spark):
+    base = words(21, 60)
+    rows = [(i, f"{base} end{i}", f"s{i}") for i in range(4)] + [(None, f"{base} end0", "s8"), (9, None, "s9"), (10, "", "s10"), (11, words(22, 60), "s11")]
+    rows = packing.pack_documents(docs_of(spark, rows), near_copies=True).collect()
+    bins = [[r.doc_id for r in rows if r.bin_id == b] for b in {r.bin_id for r in rows}]
+    near = {0, 1, 2, 3, None}  # the row without id is a copy of one of them
+    assert len(rows) == 8 and all(len(near & set(own)) <= 1 and not {9, 10} <= set(own) for own in bins)
+    assert packing.pack_documents(docs_of(spark, rows[:0]), near_copies=True).collect() == []
+
+
 def test_pipeline_on_odd_rows(spark, odd, labels, tmp_path):
     bench = spark.createDataFrame([(1, words(9, 20))], "item_id long, text string")
     for name, df in (("documents", odd), ("labels", labels.limit(0)), ("benchmark", bench)):

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardwise.llm import tokens
+from wardwise.llm import ngram_join, tokens
 from wardwise.llm.common import Steps
 
 #: Words of a sequence.
@@ -26,12 +26,23 @@ def _count(batches):
         )
 
 
+def _text():
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def near_copy_clusters(docs: DataFrame, steps: Steps) -> DataFrame:
+    """(cluster, component) of every text that has a document with id: ``cluster`` is its MD5, ``component`` the smallest id among its near copies, linked over others."""
+    marks = ngram_join.join_near_copies(docs.select("doc_id", _text().alias("text")))
+    own = marks.groupBy(F.col("digest").alias("cluster")).agg(F.min("component_id").cast("string").alias("component"))
+    return steps.write(own.where("component is not null"), "clusters")
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, source, cluster, piece, first_word and n_words: whole documents, or consecutive pieces of at most ``capacity`` words.
 
     ``cluster`` is a column of ``docs`` if it has one, else a hash of the text, equal for copies.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = _text()
     cluster = F.col("cluster").cast("string") if "cluster" in docs.columns else F.xxhash64(text).cast("string")
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"), text.alias("text"))
     counted = columns.mapInArrow(_count, "doc_id long, source string, cluster string, n long")
@@ -104,7 +115,7 @@ def _pack(capacity: int):
     return pack
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, near_copies: bool = False) -> DataFrame:
     """doc_id, piece, first_word, n_words, bin_id, bin_words and bin_pieces: every piece of every document in one bin.
 
     A bin holds at most ``capacity`` words, and no two pieces of one source, of one duplicate cluster or of one document. Documents longer than a
@@ -113,10 +124,17 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int
     Bins carry bitmaps of the shard's sources, clusters and documents.
     A NULL source conflicts with nothing; NULL and empty texts have one piece without words, which conflicts as any other; repeated rows are
     documents of one cluster; an empty table gives an empty result. Other columns are ignored.
+    With ``near_copies`` a cluster is a component of near copies (``ngram_join``) instead of one text; of the texts, only those of its candidates are shuffled.
     """
     spark = docs.sparkSession
     steps = Steps(spark, "packing")
-    own = steps.write(pieces(docs, capacity), "pieces")
+    if near_copies:
+        clusters = near_copy_clusters(docs, steps)
+        docs = docs.withColumn("cluster", F.md5(_text()))
+    own = pieces(docs, capacity)
+    if near_copies:
+        own = own.join(clusters, "cluster", "left").withColumn("cluster", F.coalesce("component", "cluster")).select(*own.columns)
+    own = steps.write(own, "pieces")
     shards = max(1, -(-own.count() // shard_pieces))
     dealt = own.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(_pack(capacity), PACKED)

@@ -192,7 +192,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), near_copies=True)
 
 
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
