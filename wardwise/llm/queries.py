@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wardwise.llm import decontaminate, embed_dedup, ngram_join, packing, pii, quality, secrets, substring, toxicity, warc
+from wardwise.llm import decontaminate, embed_dedup, ngram_join, packing, pii, quality, resample, secrets, substring, toxicity, warc
 from wardwise.llm.common import Steps, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,6 +195,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), near_copies=True)
 
 
+@query("op13_resample")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
