@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wardwise.llm import decontaminate, embed_dedup, ngram_join, packing, pii, quality, resample, secrets, substring, toxicity, warc
+from wardwise.llm import decontaminate, embed_dedup, licenses, ngram_join, packing, pii, quality, resample, secrets, spelling, substring, toxicity, warc
 from wardwise.llm.common import Steps, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,6 +195,102 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), near_copies=True)
 
 
+def license_templates() -> str:
+    """The templates as rows of a VALUES list."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ",\n".join(f"({i}, {quoted(t.label)}, {t.base}, {quoted(t.text)})" for i, t in enumerate(licenses.TEMPLATES))
+
+
+ALNUM_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@query(
+    "op11_license_scan",
+    f"""
+WITH d AS (SELECT doc_id, {ALNUM_WORDS} AS w FROM documents),
+t(template, label, base, text) AS (VALUES {license_templates()}),
+tw AS (SELECT template, label, base, {ALNUM_WORDS} AS w FROM t),
+tk AS (SELECT *, CASE WHEN base THEN len(w) ELSE least(len(w), {licenses.GRAM}) END AS k FROM tw),
+tg AS (SELECT template, label, base, k, len(w) AS words, i - 1 AS place, array_to_string(list_slice(w, i, i + k - 1), ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM tk) q),
+dp AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+dg AS (SELECT doc_id, i - 1 AS pos, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS gram
+  FROM dp, (SELECT DISTINCT k FROM tg) s WHERE i + k - 1 <= len(w)),
+hit AS (SELECT doc_id, template, label, base, k, words, place, pos, pos - place AS diagonal FROM dg JOIN tg USING (k, gram)),
+far AS (SELECT doc_id, template, diagonal,
+    CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {licenses.SLACK} THEN 0 ELSE 1 END AS far
+  FROM (SELECT DISTINCT doc_id, template, diagonal FROM hit) q),
+own AS (SELECT doc_id, template, diagonal, sum(far) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS spot FROM far),
+placed AS (SELECT hit.*, spot FROM hit JOIN own USING (doc_id, template, diagonal)),
+found AS (SELECT doc_id, template, label, base, words, spot, count(*) AS votes, min(pos) AS start, max(pos) AS last, max(pos) + k AS stop
+  FROM placed GROUP BY doc_id, template, label, base, words, k, spot),
+cover AS (SELECT doc_id, template, spot, count(DISTINCT place + j) AS covered FROM placed, (SELECT unnest(range(0, 16)) AS j) s WHERE j < k
+  GROUP BY doc_id, template, spot),
+f AS (SELECT *, CAST(covered AS DOUBLE) / words AS coverage,
+    base OR (CAST(covered AS DOUBLE) / words >= {licenses.LEAST} AND covered >= {licenses.DENSE} * (stop - start)) AS verified
+  FROM found JOIN cover USING (doc_id, template, spot)),
+r AS (SELECT doc_id, sum(votes) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(last) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified) AS labels, max(coverage) AS score FROM f GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, CAST(0 AS DOUBLE)) AS score
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("license_spans", lambda s: s["base"])
+    labels = F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda s: s["label"]))), ",")
+    return found.select(
+        "doc_id", "n_words", F.aggregate(base, F.lit(0).cast("long"), lambda n, s: n + s["votes"]).alias("n_base"),
+        F.array_min(F.transform(base, lambda s: s["start"])).alias("first_word"), F.array_max(F.transform(base, lambda s: s["last"])).alias("last_word"),
+        labels.alias("base_labels"), F.array_join("licenses", ",").alias("labels"), F.col("license_score").alias("score"))
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of ``text``, whose letters are below U+0800 or so read; ``crc`` is the view of ``CRC_TABLE``."""
+    return (
+        f"xor(list_reduce(list_concat([4294967295], CAST(flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] "
+        "WHEN ord(c) < 2048 THEN [192 + (ord(c) >> 6), 128 + (ord(c) & 63)] WHEN ord(c) < 65536 THEN [224 + (ord(c) >> 12), 128 + ((ord(c) >> 6) & 63), "
+        "128 + (ord(c) & 63)] ELSE [240 + (ord(c) >> 18), 128 + ((ord(c) >> 12) & 63), 128 + ((ord(c) >> 6) & 63), 128 + (ord(c) & 63)] END)) AS BIGINT[])), "
+        "lambda x, y: xor(x >> 8, steps[(xor(x, y) & 255) + 1])), 4294967295)"
+    )
+
+
+CRC_TABLE = """crc AS (SELECT list(x ORDER BY i) AS steps FROM (SELECT i, list_reduce(list_concat([i], range(8)),
+  lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS x FROM (SELECT unnest(range(256)) AS i) q) r)"""
+
+
+@query(
+    "op12_spelling_variants",
+    f"""
+WITH RECURSIVE {CRC_TABLE},
+o AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run
+  FROM documents),
+p AS (SELECT doc_id, run, count(*) AS n FROM o WHERE length(run) >= 7 GROUP BY doc_id, run),
+h AS (SELECT run, n, {crc32_sql("concat(doc_id, ':', run)")} AS h FROM p, crc),
+t AS (SELECT CASE WHEN h % 31 = 0 THEN concat(substr(run, 1, CAST(h % length(run) AS BIGINT)), substr(run, CAST(h % length(run) AS BIGINT) + 2)) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM t WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+i AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+g AS (SELECT word, n, concat(substr(word, 1, i - 1), '_', substr(word, i + 1)) AS one, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS less FROM i),
+e AS (SELECT x.word AS a, y.word AS b, y.n FROM g x JOIN g y ON x.one = y.one AND x.word <> y.word
+  UNION SELECT x.word, v.word, v.n FROM g x JOIN v ON x.less = v.word UNION SELECT v.word, x.word, x.n FROM g x JOIN v ON x.less = v.word),
+k AS (SELECT a, count(*) AS n_near, min([lpad(CAST(1000000000 - n AS VARCHAR), 12, '0'), b]) AS best, max(n) AS near_n FROM e GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN best[2] END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+  FROM v LEFT JOIN k ON k.a = v.word),
+walk(word, root) AS (SELECT word, word FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form, f.form_n, walk.root FROM f JOIN walk ON walk.word = f.word
+JOIN f last ON last.word = walk.root AND last.form IS NULL
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op13_resample")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
