@@ -291,7 +291,26 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("op13_resample")
+@query(
+    "op13_resample",
+    f"""
+WITH {CRC_TABLE},
+t AS (SELECT doc_id, 0 AS target, {ALNUM_WORDS} AS w FROM documents UNION ALL SELECT item_id, 1, {ALNUM_WORDS} FROM benchmark),
+p AS (SELECT doc_id, target, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+f AS (SELECT doc_id, target, array_to_string(list_slice(w, i, i + k - 1), ' ') AS feature FROM p, (SELECT unnest(range(1, 4)) AS k) s WHERE i + k - 1 <= len(w)),
+b AS (SELECT feature, CAST({crc32_sql("feature")} % 10000 AS BIGINT) AS bucket FROM (SELECT DISTINCT feature FROM f) q, crc),
+c AS (SELECT doc_id, target, bucket, count(*) AS n FROM f JOIN b USING (feature) GROUP BY doc_id, target, bucket),
+s AS (SELECT bucket, CAST(sum(n) FILTER (target = 0) AS DOUBLE) AS s, CAST(sum(n) FILTER (target = 1) AS DOUBLE) AS t FROM c GROUP BY bucket),
+a AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM s),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (all_s + 10000) / ((coalesce(s, 0) + 1) * (all_t + 10000)))) AS gain FROM s, a),
+w AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM c JOIN g USING (bucket) WHERE target = 0 GROUP BY doc_id),
+h AS (SELECT doc_id, len(w) AS n_words, CAST(concat('0x', substr(sha256(concat('42:', doc_id)), 1, 8)) AS BIGINT) AS h FROM t WHERE target = 0),
+r AS (SELECT h.doc_id, n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM h LEFT JOIN w ON w.doc_id = h.doc_id),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM r WHERE n_words >= 20)
+SELECT r.doc_id, n_features, weight, score, CASE WHEN o.rank <= 5 * o.n // 100 THEN CAST(o.rank AS BIGINT) END AS rank FROM r LEFT JOIN o ON o.doc_id = r.doc_id
+""",
+)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return resample.resample(docs, table(spark, sf_dir, "benchmark")).drop("n_words")
