@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wardwise import fixtures as fx
 from wardwise.catalog.order import turn
-from wardwise.catalog.registry import R, query, rounded
+from wardwise.catalog.registry import R, query, rounded, view
 from wardwise.functions import clamp
 from wardwise.operators import census, ordered
 
@@ -73,6 +73,41 @@ def r04(spark, sf):
         ["cvap_min", "cvap_maj", "population"], ["state"], min_tail=60, target=target)
 
 
+# One block in each of the three target ranges below, by the fixtures' sizes of one to seven lines.
+_RANGES = [(2, 90, 180), (4, 60, 120), (6, 45, 90), (None, 24, 60)]
+view("fx_goals", f"""
+SELECT state, cvap_min, cvap_maj, population, row_number() OVER w AS rn, sum(population) OVER (w ROWS UNBOUNDED PRECEDING) - population AS before,
+  CASE {' '.join(f"WHEN population < {n} THEN {lo}e0 + u * {hi - lo}e0" for n, lo, hi in _RANGES[:-1])} ELSE 24e0 + u * 36e0 END AS goal
+FROM fx_turn WINDOW w AS (PARTITION BY state ORDER BY per_minority, population, block_id)
+""")
+
+
+@query("r04_pack_sequential", """
+SELECT state, unit, CAST(sum(cvap_min) AS BIGINT) AS cvap_min, CAST(sum(cvap_maj) AS BIGINT) AS cvap_maj,
+  CAST(sum(population) AS BIGINT) AS population, count(*) AS n_blocks_aggregated
+FROM (SELECT state, cvap_min, cvap_maj, population, CASE WHEN own = last AND size < 20 AND last > 1 THEN last - 1 ELSE own END AS unit FROM (
+    SELECT g.state, cvap_min, cvap_maj, population, w.unit AS own, max(w.unit) OVER (PARTITION BY g.state) AS last,
+      sum(population) OVER (PARTITION BY g.state, w.unit) AS size
+    FROM fx_goals g JOIN fx_walk w ON w.state = g.state AND w.rn = g.rn) a) b
+GROUP BY state, unit
+""")
+def r04s(spark, sf):
+    target = census.random_target("population", turn(), _RANGES)
+    return census.pack_sequential(
+        fx.blocks(spark, sf), ["per_minority", "population", "block_id"], "population",
+        ["cvap_min", "cvap_maj", "population"], ["state"], target, min_tail=20)
+
+
+# The walk itself: block by block, with the total and the goal of the unit that is open.
+view("fx_walk", """
+SELECT state, rn, CAST(1 AS BIGINT) AS unit, CAST(population AS DOUBLE) AS total, goal FROM fx_goals WHERE rn = 1
+UNION ALL
+SELECT g.state, g.rn, CASE WHEN w.total >= w.goal THEN w.unit + 1 ELSE w.unit END,
+  CASE WHEN w.total >= w.goal THEN CAST(g.population AS DOUBLE) ELSE w.total + g.population END, CASE WHEN w.total >= w.goal THEN g.goal ELSE w.goal END
+FROM fx_walk w JOIN fx_goals g ON g.state = w.state AND g.rn = w.rn + 1
+""")
+
+
 _UNITS = {"low": 40, "medium": 60, "high": 25}
 
 

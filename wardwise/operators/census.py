@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardwise.functions import clamp, try_div
-from wardwise.operators.ordered import running
+from wardwise.operators.ordered import join_same, running
+from wardwise.session import Scratch
 
 # Seed states by segregation category.
 STATE_CATEGORIES = {
@@ -16,6 +17,8 @@ STATE_CATEGORIES = {
     "medium": ["or", "ut", "mi", "oh", "in", "pa"],
     "high": ["al", "ca", "fl", "ga", "il", "la", "md", "ms", "nc", "ny", "sc", "tx"],
 }
+# Least and greatest target of a packed unit by the size of its first block (upper limit, least, greatest).
+TARGET_RANGES = [(50, 3000, 6000), (200, 2000, 4000), (500, 1500, 3000), (None, 800, 2000)]
 # Target size of a packed unit by the size of its blocks (upper limit, target).
 SIZE_TARGETS = [(50, 2000), (200, 1500), (500, 1000), (None, 800)]
 
@@ -97,6 +100,84 @@ def pack_variable(
     )
 
 
+def random_target(size: str, noise: Column, ranges: Sequence[tuple] = TARGET_RANGES) -> Column:
+    """A target between the limits that a block's size sets, as far up as ``noise`` (in [0, 1)) says. A NULL size counts as zero."""
+    size_of = F.coalesce(F.col(size), F.lit(0))
+    between = [(limit, F.lit(float(lo)) + noise * F.lit(float(hi - lo))) for limit, lo, hi in ranges]
+    chain = F.when(size_of < between[0][0], between[0][1])
+    for limit, value in between[1:-1]:
+        chain = chain.when(size_of < limit, value)
+    return chain.otherwise(between[-1][1])
+
+
+def _next_start(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _rn, _next): the first block behind the unit that would begin at each block; none where the blocks run out.
+
+    That is the first row whose total before it reaches this row's own plus its goal. Rows and probes are laid into one descending order, where the
+    last row before a probe is the wanted one: a running maximum, sorted by range.
+    """
+    row = blocks.select(*keys, F.col("_before").alias("_v"), F.lit(0).alias("_probe"), "_rn", (-F.col("_rn")).alias("_at"))
+    probe = blocks.select(*keys, (F.col("_before") + F.col("_goal")).alias("_v"), F.lit(1), "_rn", F.lit(None).cast("bigint"))
+    found = running(row.union(probe), [F.desc("_v"), "_probe", "_rn"], keys, maxes={"_last": "_at"})
+    # A goal of zero or less still takes its first block.
+    return found.where("_probe = 1 and _last is not null").select(*keys, "_rn", F.greatest(-F.col("_last"), F.col("_rn") + 1).alias("_next"))
+
+
+def _reached(jumps: DataFrame, firsts: DataFrame, keys: Sequence[str], scratch: Scratch) -> DataFrame:
+    """(keys, _rn) of the rows that the first rows reach by any number of jumps.
+
+    Round k knows the first 2^k rows of every chain and the jumps over 2^k units: the known rows, moved by the jump, are the next 2^k. The rounds
+    grow with the logarithm of the number of units, and jumps that pass the end drop out.
+    """
+    known, k = scratch.write(firsts, "known0"), 0
+    while True:
+        moved = join_same(known, jumps, [*keys, "_rn"]).select(*keys, F.col("_next").alias("_rn"))
+        k += 1
+        new = scratch.write(moved, f"new{k}")
+        if new.isEmpty():
+            return known
+        known = scratch.write(known.unionByName(new), f"known{k}")
+        twice = jumps.withColumnsRenamed({"_rn": "_first", "_next": "_rn"})
+        jumps = scratch.write(join_same(twice, jumps, [*keys, "_rn"]).select(*keys, F.col("_first").alias("_rn"), "_next"), f"jumps{k}")
+        scratch.drop(f"new{k}", f"known{k - 1}", f"jumps{k - 1}")
+
+
+def pack_sequential(
+    df: DataFrame, order_by, value: str, sums: Sequence[str], keys: Sequence[str], target: Column, min_tail: float = 500.0,
+) -> DataFrame:
+    """Units of consecutive blocks, each closed when it reaches the target that its own first block sets.
+
+    Returns keys, unit (from 1), the totals of ``sums`` and n_blocks_aggregated. The last unit of a group joins the one before if its
+    ``value`` is below ``min_tail`` and there is one before. The blocks are not walked one by one: where a unit that began at a given block would
+    end depends on that block alone, so every block gets a pointer to the next start (``_next_start``), and
+    the pointers are doubled until the starts reached from the first block are known (``_reached``). Totals are differences of running totals, so no
+    group has to fit into one task. NULL counts as zero; ``order_by`` must be unique within ``keys``; a NULL key is a group of its own.
+    """
+    keys, scratch = list(keys), Scratch(df.sparkSession, "packing")
+    measured = [value, *[c for c in sums if c != value]]
+    totals = {f"_to_{c}": f"_x_{c}" for c in measured}
+    filled = df.withColumns({f"_x_{c}": F.coalesce(F.col(c), F.lit(0)) for c in measured}).withColumn("_goal", target)
+    ranked = running(filled, order_by, keys, sums=totals, row_number="_rn")
+    before = {f"_b_{c}": F.col(f"_to_{c}") - F.col(f"_x_{c}") for c in measured}
+    blocks = scratch.write(ranked.withColumns(before).select(
+        *keys, "_rn", "_goal", *before, *totals, F.col(f"_b_{value}").alias("_before")), "blocks")
+    jumps = scratch.write(_next_start(blocks, keys), "jumps")
+    starts = _reached(scratch.write(jumps, "jumps0"), blocks.where("_rn = 1").select(*keys, "_rn"), keys, scratch)
+    ends = blocks.groupBy(*keys).agg(F.max("_rn").alias("_size"), *[F.max_by(t, "_rn").alias(f"_e_{t}") for t in totals])
+    begun = join_same(starts, blocks.select(*keys, "_rn", *before), [*keys, "_rn"])
+    begun = join_same(begun, jumps, [*keys, "_rn"], "left")
+    following = blocks.select(*keys, F.col("_rn").alias("_next"), *[F.col(b).alias(f"_n{b}") for b in before])
+    bounded = join_same(join_same(begun, following, [*keys, "_next"], "left"), ends, keys)
+    units = bounded.select(
+        *keys, "_rn", (F.coalesce("_next", F.col("_size") + 1) - F.col("_rn")).alias("n_blocks_aggregated"), F.col("_next").isNull().alias("_open"),
+        *[(F.coalesce(f"_n_b_{c}", f"_e__to_{c}") - F.col(f"_b_{c}")).alias(f"_s_{c}") for c in measured])
+    numbered = running(units, ["_rn"], keys, row_number="unit")
+    tail = F.col("_open") & (F.col(f"_s_{value}") < min_tail) & (F.col("unit") > 1)
+    merged = numbered.withColumn("unit", F.when(tail, F.col("unit") - 1).otherwise(F.col("unit")))
+    return merged.groupBy(*keys, "unit").agg(
+        *[F.sum(f"_s_{c}").alias(c) for c in sums], F.sum("n_blocks_aggregated").alias("n_blocks_aggregated"))
+
+
 def pack_by_class(
     df: DataFrame, class_col: str, n_units: dict[str, int], order_by, sums: Sequence[str]
 ) -> DataFrame:

@@ -59,6 +59,23 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The step tables of one iterative operator, in the shared folder. ``drop`` deletes a table that no later step reads."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark)}/wardwise/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def slices(spark: SparkSession) -> int:
     """How many range slices to cut an ordered table into: the shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
