@@ -49,18 +49,23 @@ JOIN (SELECT variable, sum(z * z) AS zz, count(*) * sum(power(z, 4)) / power(sum
 """)
 
 
+#: Upper normal tail: the density summed by Simpson's rule.
+_UPPER_P = """0.5e0 - z / 1000 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 1001),
+  lambda i: CASE WHEN i IN (0, 1000) THEN 1e0 WHEN i % 2 = 1 THEN 4e0 ELSE 2e0 END / 3 * exp(-power(z * i / 1000, 2) / 2)))"""
+
+
 @query("g17_morans_i", f"""
-SELECT variable, {R('i', 'morans_i')}, {R('e', 'expected')}, {R('v', 'variance', 9)}, {R('(i - e) / sqrt(v)', 'z', 5)}
-FROM (SELECT *, (n * (s1 * (n * n - 3 * n + 3) - n * s2 + 3 * s0 * s0) - k * (s1 * (n * n - n) - 2 * n * s2 + 6 * s0 * s0))
+SELECT variable, {R('i', 'morans_i')}, {R('e', 'expected')}, {R('v', 'variance', 9)}, {R('z', None, 5)}, {R(_UPPER_P, 'p_value', 5)}
+FROM (SELECT *, (i - e) / sqrt(v) AS z FROM (SELECT *, (n * (s1 * (n * n - 3 * n + 3) - n * s2 + 3 * s0 * s0) - k * (s1 * (n * n - n) - 2 * n * s2 + 6 * s0 * s0))
     / ((n - 1) * (n - 2) * (n - 3) * s0 * s0) - e * e AS v
-  FROM (SELECT *, n / s0 * cross_sum / zz AS i, -1e0 / (n - 1) AS e FROM fx_moran) a) b
+  FROM (SELECT *, n / s0 * cross_sum / zz AS i, -1e0 / (n - 1) AS e FROM fx_moran) a) b) c
 """)
 def g17(spark, sf):
     units = fx.precincts(spark, sf).select("precinct_id", "per_minority", "dem_voteshare").unpivot(
         ["precinct_id"], ["per_minority", "dem_voteshare"], "variable", "value")
     out = space.morans_i(units, fx.edges(spark, sf), "value", ["variable"])
     return out.select("variable", r("morans_i").alias("morans_i"), r("expected").alias("expected"),
-                      r("variance", 9).alias("variance"), r("z", 5).alias("z"))
+                      r("variance", 9).alias("variance"), r("z", 5).alias("z"), r("p_value", 5).alias("p_value"))
 
 
 @query("g18_repair_isolated_cells")

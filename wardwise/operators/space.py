@@ -5,31 +5,56 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from wardwise.functions import euclid, try_div
-from wardwise.session import materialise
+from wardwise.session import Scratch, materialise
 
 
-def contiguity(vertices: DataFrame, snap: float = 0.001, min_shared: int = 1) -> DataFrame:
-    """Pairs of units that share at least ``min_shared`` snapped vertices.
+#: Rows of one key that a task gets from the side that is dealt out; the other side is copied to each of the parts.
+CHUNK = 4096
 
-    One shared vertex is queen contiguity, two are a shared border.
-    """
-    snapped = vertices.select(
+
+def spread_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], unit: str, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join with a column ``_part``: keys with over ``chunk`` rows on the left are dealt into parts by the hash of ``unit``, and their
+    rows on the right copied to every part. Joined on keys and part, every pair still meets once."""
+    sizes = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("_parts")).where("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(sizes, list(keys), "left").withColumn("_part", F.pmod(F.xxhash64(unit), parts).cast("int")).drop("_parts")
+    copied = right.join(sizes, list(keys), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt, copied
+
+
+def _snapped(vertices: DataFrame, snap: float) -> DataFrame:
+    return vertices.select(
         "precinct_id", F.bround(F.col("x") / F.lit(snap)).cast("bigint").alias("_x"),
         F.bround(F.col("y") / F.lit(snap)).cast("bigint").alias("_y"),
     ).distinct()
-    left = snapped.withColumnRenamed("precinct_id", "src")
-    right = snapped.withColumnRenamed("precinct_id", "dst")
-    pairs = left.join(right, ["_x", "_y"]).where(F.col("src") < F.col("dst")).groupBy("src", "dst").agg(
+
+
+def contiguity(vertices: DataFrame, snap: float = 0.001, min_shared: int = 1, chunk: int = CHUNK) -> DataFrame:
+    """Pairs of units that share at least ``min_shared`` snapped vertices.
+
+    One shared vertex is queen contiguity, two are a shared border. A vertex of over ``chunk`` units is dealt over several tasks (``spread_keys``);
+    it still gives all its pairs, which ``heavy_vertices`` tells of beforehand.
+    """
+    snapped = _snapped(vertices, snap)
+    left, right = spread_keys(
+        snapped.withColumnRenamed("precinct_id", "src"), snapped.withColumnRenamed("precinct_id", "dst"), ["_x", "_y"], "src", chunk)
+    pairs = left.join(right, ["_x", "_y", "_part"]).where(F.col("src") < F.col("dst")).groupBy("src", "dst").agg(
         F.count(F.lit(1)).alias("shared"))
     return pairs.where(F.col("shared") >= min_shared).select("src", "dst")
 
 
+def heavy_vertices(vertices: DataFrame, limit: int = 12, snap: float = 0.001) -> DataFrame:
+    """Snapped places where more than ``limit`` units meet, with their number and that of their pairs: mostly a default coordinate or a wrong snap."""
+    n = F.col("n_units")
+    counts = _snapped(vertices, snap).groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("n_units")).where(n > limit)
+    return counts.select(
+        (F.col("_x") * F.lit(float(snap))).alias("x"), (F.col("_y") * F.lit(float(snap))).alias("y"), n, (n * (n - 1) / 2).cast("bigint").alias("n_pairs"))
+
+
 def both_directions(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
@@ -41,10 +66,17 @@ def row_weights(edges: DataFrame) -> DataFrame:
     return links.join(degree, "src").select("src", "dst", (F.lit(1.0) / F.col("_n")).alias("weight"))
 
 
-@F.pandas_udf(DoubleType())
-def upper_tail(z: pd.Series) -> pd.Series:
-    """Upper tail of the standard normal (Spark has no error function)."""
-    return z.map(lambda v: None if v is None or math.isnan(v) else 0.5 * math.erfc(v / math.sqrt(2.0)))
+def upper_tail(z) -> Column:
+    """Upper tail of the standard normal: by the series of its integral near zero, by the continued fraction of the tail from four on."""
+    z = F.col(z) if isinstance(z, str) else z
+    a = F.abs(z)
+    density = F.exp(-a * a / 2) / F.lit(math.sqrt(2 * math.pi))
+    series = F.aggregate(
+        F.array(*[F.lit(2.0 * k + 1) for k in range(1, 60)]), F.struct(a.alias("term"), a.alias("sum")),
+        lambda s, odd: F.struct((s["term"] * a * a / odd).alias("term"), (s["sum"] + s["term"] * a * a / odd).alias("sum")))
+    fraction = F.aggregate(F.array(*[F.lit(float(k)) for k in range(60, 0, -1)]), a, lambda below, k: a + k / below)
+    tail = F.when(a < 4, F.lit(0.5) - density * series["sum"]).otherwise(density / fraction)
+    return F.when(z < 0, 1 - tail).when(~F.isnan(z), tail)
 
 
 def morans_i(units: DataFrame, edges: DataFrame, value: str, by: Sequence[str] = (), id_col: str = "precinct_id") -> DataFrame:
@@ -103,37 +135,112 @@ def neighbour_counts(cells: DataFrame, row: str = "row_no", col: str = "col", id
         "edge_cell", F.col("n_neighbours") < 8)
 
 
-def _with_centres(points: DataFrame, centres: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The list of centres, one row of parameters, beside every point."""
-    listed = centres.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("c")).scalar()
-    return points.withColumn("_centres", listed)
+#: Centres of a leaf cell at most, before the pyramid is made deeper, and the depth at which it ends.
+LEAF = 32
+DEEPEST = 26
+
+
+def _box_distance(x, y, near: bool):
+    """Least or greatest distance of (x, y) to the box of a cell's centres. For a box of one centre both are its distance."""
+    outside = lambda v, lo, hi: F.greatest(F.col(lo) - v, v - F.col(hi), F.lit(0.0))
+    across = lambda v, lo, hi: F.greatest(v - F.col(lo), F.col(hi) - v)
+    side = outside if near else across
+    dx, dy = side(x, "_x0", "_x1"), side(y, "_y0", "_y1")
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def _pyramid(places: DataFrame, corner, width: float, n: int) -> int:
+    """Levels (halvings of the width) at which no cell holds over LEAF places, or DEEPEST."""
+    level = 2
+    while 4**level * LEAF < n:
+        level += 2
+    while level < DEEPEST:
+        cells = places.groupBy(*_cell(corner, width, level)).agg(F.count(F.lit(1)).alias("n"))
+        if cells.agg(F.max("n")).first()[0] <= LEAF:
+            break
+        level += 2
+    return level
+
+
+def _cell(corner, width: float, level: int) -> list:
+    """Column and row of a centre's cell."""
+    side = 1 << level
+    at = lambda v, lo: F.least(F.floor((F.col(v) - F.lit(lo)) / F.lit(width) * F.lit(float(side))), F.lit(side - 1)).cast("bigint")
+    return [at("cx", corner[0]).alias("_i"), at("cy", corner[1]).alias("_j")]
 
 
 def nearest_centre(points: DataFrame, centres: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Closest centre of each point and the distance to it (ties by id).
 
-    ``centres`` (center_id, x, y) is a parameter table, such as a state's cities: it
-    travels as one array and is searched inside the row.
+    ``centres`` (center_id, x, y) may be of any size. Its places form a pyramid of grid cells, 16 below each, down to cells of few centres. The points go down
+    level by level, by equi-joins on the cell: of the cells below those kept, a point keeps those whose nearest corner is no farther than the
+    farthest corner of some cell, so that the nearest centre's cell is always among them. Cells are few for each point, whatever the number
+    of centres. Centres without a place are left out; points without a place, and all points if there is no centre, get NULL.
     """
-    near = F.array_min(F.transform("_centres", lambda c: F.struct(
-        euclid(x, y, c["x"], c["y"]).alias("d"), c["center_id"].alias("id"))))
-    return _with_centres(points, centres, ["center_id", "x", "y"]).withColumn("_near", near).withColumns({
-        "nearest_center": F.col("_near.id"), "dist_to_center": F.col("_near.d")}).drop("_near", "_centres")
+    scratch = Scratch(points.sparkSession, "nearest")
+    own = scratch.write(points.withColumn("_pid", F.monotonically_increasing_id()), "points")
+    placed = centres.select(F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"), "center_id").dropna()
+    placed = scratch.write(placed.groupBy("cx", "cy").agg(F.min("center_id").alias("center_id")), "places")
+    x0, y0, x1, y1, n = placed.agg(F.min("cx"), F.min("cy"), F.max("cx"), F.max("cy"), F.count(F.lit(1))).first()
+    if not n:
+        return points.withColumns({"nearest_center": F.lit(None).cast(centres.schema["center_id"].dataType), "dist_to_center": F.lit(None).cast("double")})
+    corner, width = (x0, y0), max(x1 - x0, y1 - y0) or 1.0
+    depth = _pyramid(placed, corner, width, n)
+    px, py = F.col("_px"), F.col("_py")
+    search = own.select("_pid", F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).dropna()
+    kept = search.withColumns({"_up_i": F.lit(0).cast("bigint"), "_up_j": F.lit(0).cast("bigint")})
+    for level in range(2, depth + 1, 2):
+        boxes = placed.groupBy(*_cell(corner, width, level)).agg(
+            F.min("cx").alias("_x0"), F.max("cx").alias("_x1"), F.min("cy").alias("_y0"), F.max("cy").alias("_y1"))
+        boxes = scratch.write(boxes.withColumns({"_up_i": F.shiftright("_i", 2), "_up_j": F.shiftright("_j", 2)}), f"cells{level}")
+        seen = kept.join(boxes, ["_up_i", "_up_j"]).groupBy("_pid", "_px", "_py").agg(
+            F.min(_box_distance(px, py, near=False)).alias("_reach"),
+            F.collect_list(F.struct(_box_distance(px, py, near=True).alias("d"), F.col("_i").alias("i"), F.col("_j").alias("j"))).alias("_cells"))
+        # The margin covers the last bit of the two distances.
+        near = F.filter("_cells", lambda c: c["d"] <= F.col("_reach") * F.lit(1 + 1e-12))
+        kept = seen.select("_pid", "_px", "_py", F.explode(near).alias("_c")).select(
+            "_pid", "_px", "_py", F.col("_c.i").alias("_up_i"), F.col("_c.j").alias("_up_j"))
+    leaves = placed.select("*", *_cell(corner, width, depth)).withColumnsRenamed({"_i": "_up_i", "_j": "_up_j"})
+    best = kept.join(leaves, ["_up_i", "_up_j"]).groupBy("_pid").agg(
+        F.min(F.struct(euclid("_px", "_py", "cx", "cy").alias("d"), F.col("center_id").alias("id"))).alias("_best"))
+    out = own.join(best, "_pid", "left")
+    return out.select(*points.columns, F.col("_best.id").alias("nearest_center"), F.col("_best.d").alias("dist_to_center"))
+
+
+#: exp(-x) is zero in double precision from here on.
+VANISHES = 746.0
 
 
 def distance_decay(
     points: DataFrame, centres: DataFrame, rate: float = 15.0, power: float = 4.0, radius: float = 1.0,
-    base: float = 0.02, peak: float = 5.0, x: str = "x", y: str = "y", name: str = "density",
+    base: float = 0.02, peak: float = 5.0, x: str = "x", y: str = "y", name: str = "density", chunk: int = CHUNK,
 ) -> DataFrame:
-    """Intensity around centres: flat inside a radius, falling off beyond it, summed."""
+    """Intensity around centres: flat inside a radius, falling off beyond it, summed.
 
-    def add(acc, c):
-        d = euclid(x, y, c["x"], c["y"])
-        fall = F.exp(-F.pow(d - F.lit(radius), F.lit(power)) / F.lit(rate**power))
-        return acc + c["intensity"] * F.lit(peak) * F.when(d < radius, F.lit(1.0)).otherwise(fall)
-
-    return _with_centres(points, centres, ["center_id", "x", "y", "intensity"]).withColumn(
-        name, F.aggregate("_centres", F.lit(float(base)), add)).drop("_centres")
+    Beyond a distance that ``rate`` and ``power`` set, the fall underflows to exactly zero. Centres are copied to the tiles of that
+    width around them and joined to the points of each tile, so the sum is the full one and far centres cost nothing; tiles of many points are
+    dealt over several tasks (``spread_keys``). Centres without a place or an intensity are left out; points without a place get NULL.
+    """
+    if rate <= 0 or power <= 0:
+        raise ValueError("rate and power must be positive")
+    scratch = Scratch(points.sparkSession, "decay")
+    own = scratch.write(points.withColumn("_pid", F.monotonically_increasing_id()), "points")
+    width = F.lit(float(max(radius, 0.0) + rate * VANISHES ** (1 / power)))
+    tile = lambda v: F.floor(v / width).cast("bigint")
+    places = own.select("_pid", F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).dropna().withColumns({
+        "_i": tile(F.col("_px")), "_j": tile(F.col("_py"))})
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    sources = centres.select(F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"), "intensity").dropna()
+    sources = sources.withColumn("_o", around).select(
+        "cx", "cy", "intensity", (tile(F.col("cx")) + F.col("_o.i")).alias("_i"), (tile(F.col("cy")) + F.col("_o.j")).alias("_j"))
+    left, right = spread_keys(places, sources, ["_i", "_j"], "_pid", chunk)
+    d = euclid("_px", "_py", "cx", "cy")
+    fall = F.exp(-F.pow(d - F.lit(radius), F.lit(power)) / F.lit(rate**power))
+    part = F.col("intensity") * F.lit(peak) * F.when(d < radius, F.lit(1.0)).otherwise(fall)
+    sums = left.join(right, ["_i", "_j", "_part"]).groupBy("_pid").agg(F.sum(part).alias("_sum"))
+    placed = F.col(x).isNotNull() & F.col(y).isNotNull()
+    total = F.when(placed, F.coalesce("_sum", F.lit(0.0)) + F.lit(float(base)))
+    return own.join(sums, "_pid", "left").select(*[c for c in points.columns if c != name], total.alias(name))
 
 
 def repair_isolated(units: DataFrame, edges: DataFrame, region: str, rounds: int = 10, id_col: str = "precinct_id") -> DataFrame:
