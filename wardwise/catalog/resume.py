@@ -9,7 +9,7 @@ from wardwise.catalog.base import DK
 from wardwise.catalog.registry import R, query, rounded, rs, view
 from wardwise.catalog.scans import fresh
 from wardwise.catalog.tables import MK, G
-from wardwise.schemas import DISTRICT
+from wardwise.schemas import DISTRICT, PLAN
 from wardwise.streaming import incremental
 
 EST = ["er_minority_dem_share", "er_majority_dem_share", "er_minority_se", "er_majority_se"]
@@ -68,6 +68,40 @@ def c04s(spark, sf):
     return rounded(incremental.load_results(spark, path).select(*DISTRICT, *EST))
 
 
+@query("c04_plans_in_pieces", f"SELECT {DK}, {rs(*EST)} FROM fx_er WHERE map_id <> 4")
+def c04p(spark, sf):
+    """Every plan comes in two deliveries, but for the second half of plan 4, which is still out."""
+    plans, precincts = inputs(spark, sf)
+    source, path, state = fresh(spark, "incoming"), fresh(spark, "progress"), fresh(spark, "stream")
+    first = F.col("precinct_id") % 2 == 0
+    for part in (plans.where(first), plans.where(~first & (F.col("map_id") != 4))):
+        part.repartition("map_id").write.mode("append").parquet(source)
+        incremental.process_stream(spark, source, precincts, path, state)
+    return rounded(incremental.load_results(spark, path).select(*DISTRICT, *EST))
+
+
+def with_bad_plan(spark, sf) -> str:
+    """Plan 7 fails by itself; all others are estimated."""
+    path = fresh(spark, "progress")
+
+    def estimator(plans, precincts):
+        checked = F.when(F.col("map_id") == 7, F.raise_error(F.lit("no such district")).cast("bigint")).otherwise(F.col("er_rpv"))
+        return incremental.regress(plans, precincts).withColumn("er_rpv", checked)
+
+    incremental.process_remaining(*inputs(spark, sf), path, estimator=estimator)
+    return path
+
+
+@query("c04_failed_plans", f"SELECT {MK}, true AS told FROM fx_plan_list WHERE map_id = 7")
+def c04f(spark, sf):
+    return incremental.failed_plans(spark, with_bad_plan(spark, sf)).select(*PLAN, F.contains("reason", F.lit("no such district")).alias("told"))
+
+
+@query("c04_results_beside_failures", f"SELECT {DK}, {rs(*EST)} FROM fx_er WHERE map_id <> 7")
+def c04b(spark, sf):
+    return rounded(incremental.load_results(spark, with_bad_plan(spark, sf)).select(*DISTRICT, *EST))
+
+
 @query("c05_progress_table", f"""
 SELECT coalesce(seg_level, 'total') AS seg_level, coalesce(redist_level, 'total') AS redist_level, CAST(sum(n_plans) AS BIGINT) AS n_plans,
   CAST(sum(n_processed) AS BIGINT) AS n_processed, {R('sum(n_processed) * 100e0 / sum(n_plans)', 'percent')} FROM fx_progress GROUP BY ROLLUP (seg_level, redist_level)
