@@ -9,6 +9,8 @@ from wardwise.catalog.registry import R, query, rounded, rs, view
 from wardwise.operators import inference, regression
 from wardwise.schemas import DISTRICT
 
+#: Where the compared fits stop: most districts come to rest within so many rounds, the others must be told as not converged.
+TOLERANCE, ROUNDS = 1e-5, 60
 SHARES = ["true_minority_dem_share", "true_majority_dem_share"]
 
 
@@ -56,47 +58,83 @@ SELECT {DK}, greatest(0.05e0, least(0.95e0, coalesce(er_minority_dem_share, over
 FROM (SELECT {DK}, CAST(sum(dem_votes) AS DOUBLE) / nullif(sum(population), 0) AS overall
   FROM fx_units GROUP BY {DK} HAVING count(*) >= 3) u LEFT JOIN fx_er USING ({DK})
 """)
-ROUNDS = 5
-for _i in range(ROUNDS + 1):
-    view(f"fx_em_e{_i}", f"""
-SELECT {DK}, precinct_id, n_minority, n_majority,
-  CASE WHEN lo IS NULL THEN CASE WHEN x = 1 THEN t END ELSE b END AS e_b,
-  CASE WHEN lo IS NULL THEN CASE WHEN x = 0 THEN t END ELSE w END AS e_w,
-  CASE WHEN lo IS NULL THEN CASE WHEN x = 1 THEN t * t END ELSE bb END AS e_bb,
-  CASE WHEN lo IS NULL THEN CASE WHEN x = 0 THEN t * t END ELSE ww END AS e_ww,
-  CASE WHEN lo IS NULL THEN NULL ELSE bw END AS e_bw
-FROM fx_em_base JOIN (SELECT {DK} FROM fx_em_p{_i}) k USING ({DK}) LEFT JOIN (
-  SELECT {DK}, precinct_id, sum(v * b) / sum(v) AS b, sum(v * w) / sum(v) AS w, sum(v * b * b) / sum(v) AS bb,
-    sum(v * w * w) / sum(v) AS ww, sum(v * b * w) / sum(v) AS bw
-  FROM (SELECT *, exp(-0.5e0 * (s_ww * power(b - mu_b, 2) - 2 * s_bw * (b - mu_b) * (w - mu_w) + s_bb * power(w - mu_w, 2))
-          / (s_bb * s_ww - s_bw * s_bw)) AS v
-    FROM (SELECT *, (t - x * b) / (1 - x) AS w
-      FROM (SELECT *, lo + (hi - lo) * CAST(k AS DOUBLE) / 20 AS b FROM fx_em_base, range(0, 21) AS g(k) WHERE lo IS NOT NULL) a) c
-    JOIN fx_em_p{_i} USING ({DK})) d
-  GROUP BY {DK}, precinct_id) m USING ({DK}, precinct_id)
-""")
-    if _i < ROUNDS:
-        view(f"fx_em_p{_i + 1}", f"""
-SELECT {DK}, mu_b, mu_w, s_bb, s_ww,
-  greatest(least(coalesce(cov, 0e0), 0.99e0 * sqrt(s_bb * s_ww)), -0.99e0 * sqrt(s_bb * s_ww)) AS s_bw
-FROM (SELECT {DK}, avg(e_b) AS mu_b, avg(e_w) AS mu_w, avg(e_bb) - avg(e_b) * avg(e_b) + 1e-4 AS s_bb,
-    avg(e_ww) - avg(e_w) * avg(e_w) + 1e-4 AS s_ww,
-    avg(e_bw) - avg(e_b) FILTER (WHERE e_bw IS NOT NULL) * avg(e_w) FILTER (WHERE e_bw IS NOT NULL) AS cov
-  FROM fx_em_e{_i} GROUP BY {DK}) q
+# Grid points as lists, so that a precinct is one row of every round.
+view("fx_em_grid", f"""
+SELECT {DK}, precinct_id, n_minority, n_majority, x, t, lo IS NOT NULL AS mixed,
+  CASE WHEN lo IS NOT NULL THEN list_transform(range(0, 21), lambda k: lo + (hi - lo) * CAST(k AS DOUBLE) / 20) END AS bs,
+  CASE WHEN lo IS NOT NULL THEN list_transform(range(0, 21), lambda k: (t - x * (lo + (hi - lo) * CAST(k AS DOUBLE) / 20)) / (1 - x)) END AS ws FROM fx_em_base
 """)
 
 
-@query("d10_grid_inference", f"""
-SELECT {DK}, {rs('ei_minority_dem_share', 'ei_majority_dem_share', 'ei_minority_sd', 'ei_majority_sd', digits=5)},
-  {_flag('ei_minority_dem_share', 'ei_majority_dem_share')} AS ei_rpv
-FROM (SELECT {DK}, sum(n_minority * e_b) / nullif(sum(CASE WHEN e_b IS NOT NULL THEN n_minority END), 0) AS ei_minority_dem_share,
+def _expect(params: str, more: str = "") -> str:
+    """The E step on ``params``: every precinct's moments, with weights relative to the largest."""
+    return f"""
+SELECT {more}{DK}, precinct_id, n_minority, n_majority, mixed, mu_b, mu_w, s_bb, s_ww, s_bw,
+  CASE WHEN mixed THEN list_inner_product(v, bs) / list_sum(v) WHEN x = 1 THEN t END AS e_b,
+  CASE WHEN mixed THEN list_inner_product(v, ws) / list_sum(v) WHEN x = 0 THEN t END AS e_w,
+  CASE WHEN mixed THEN list_inner_product(v, list_transform(bs, lambda b: b * b)) / list_sum(v) WHEN x = 1 THEN t * t END AS e_bb,
+  CASE WHEN mixed THEN list_inner_product(v, list_transform(ws, lambda w: w * w)) / list_sum(v) WHEN x = 0 THEN t * t END AS e_ww,
+  CASE WHEN mixed THEN list_inner_product(v, list_transform(bs, lambda b, i: b * ws[i])) / list_sum(v) END AS e_bw
+FROM (SELECT *, list_transform(q, lambda z: exp(z - list_max(q))) AS v FROM (
+  SELECT g.*, {more}mu_b, mu_w, s_bb, s_ww, s_bw,
+    list_transform(bs, lambda b, i: -0.5e0 * (s_ww * power(b - mu_b, 2) - 2 * s_bw * (b - mu_b) * (ws[i] - mu_w) + s_bb * power(ws[i] - mu_w, 2))
+      / (s_bb * s_ww - s_bw * s_bw)) AS q
+  FROM {params} JOIN fx_em_grid g USING ({DK})) a) c"""
+
+
+_P = ("b", "w", "bb", "ww", "bw")
+_SUM = lambda e: " + ".join(f"coalesce(power({e.replace('#', c)}, 2), 0)" for c in _P)
+# The same leaps as in ``inference._advance``: n_* are updated parameters, p_* those before, q_* where the two plain updates began.
+view("fx_em_p", f"""
+SELECT CAST(0 AS BIGINT) AS round, 0 AS phase, false AS rest, {DK}, mu_b AS q_b, mu_w AS q_w, s_bb AS q_bb, s_ww AS q_ww, s_bw AS q_bw, mu_b, mu_w, s_bb, s_ww, s_bw FROM fx_em_p0
+UNION ALL
+SELECT round + 1, CASE WHEN rest THEN 0 WHEN phase = 0 THEN 1 WHEN leap THEN 2 ELSE 0 END, rest, {DK},
+  {', '.join(f'CASE WHEN phase = 0 THEN p_{c} ELSE q_{c} END' for c in _P)}, {', '.join(f'CASE WHEN leap AND NOT rest THEN z_{c} ELSE n_{c} END' for c in _P)}
+FROM (SELECT *, greatest({', '.join(f'coalesce(abs(n_{c} - p_{c}), 0)' for c in _P)}) < {TOLERANCE!r} AS rest,
+    phase = 1 AND curve > 0 AND NOT (z_bb <= 1e-5 OR z_ww <= 1e-5) AND abs(z_bw) <= 0.99e0 * sqrt(greatest(z_bb, 0e0) * greatest(z_ww, 0e0)) AS leap
+  FROM (SELECT *, {', '.join(f'q_{c} - 2 * far * (p_{c} - q_{c}) + far * far * (n_{c} - 2 * p_{c} + q_{c}) AS z_{c}' for c in _P)}
+    FROM (SELECT *, least(-sqrt(({_SUM('(p_# - q_#)')}) / nullif(curve, 0)), -1e0) AS far
+      FROM (SELECT *, {_SUM('(n_# - 2 * p_# + q_#)')} AS curve
+        FROM (SELECT round, phase, {DK}, {', '.join(f'q_{c}' for c in _P)}, p_b, p_w, p_bb, p_ww, p_bw, n_b, n_w, n_bb, n_ww,
+            greatest(least(coalesce(cov, 0e0), 0.99e0 * sqrt(n_bb * n_ww)), -0.99e0 * sqrt(n_bb * n_ww)) AS n_bw
+          FROM (SELECT round, {DK}, max(phase) AS phase, {', '.join(f'max(q_{c}) AS q_{c}' for c in _P)},
+              max(mu_b) AS p_b, max(mu_w) AS p_w, max(s_bb) AS p_bb, max(s_ww) AS p_ww, max(s_bw) AS p_bw,
+              avg(e_b) AS n_b, avg(e_w) AS n_w, avg(e_bb) - avg(e_b) * avg(e_b) + 1e-4 AS n_bb, avg(e_ww) - avg(e_w) * avg(e_w) + 1e-4 AS n_ww,
+              avg(e_bw) - avg(e_b) FILTER (mixed) * avg(e_w) FILTER (mixed) AS cov
+            FROM ({_expect('(SELECT * FROM fx_em_p WHERE NOT rest) p', 'round, phase, q_b, q_w, q_bb, q_ww, q_bw, ')}) e WHERE round < {ROUNDS} GROUP BY round, {DK}) m) a) b) c) d) s
+""")
+view("fx_em_last", f"SELECT * FROM fx_em_p WHERE rest OR round = {ROUNDS}")
+view("fx_em_e", _expect("fx_em_last", "round, rest, "))
+view("fx_em", f"""
+SELECT {DK}, round AS rounds, rest AS converged, sum(n_minority * e_b) / nullif(sum(CASE WHEN e_b IS NOT NULL THEN n_minority END), 0) AS ei_minority_dem_share,
   sum(n_majority * e_w) / nullif(sum(CASE WHEN e_w IS NOT NULL THEN n_majority END), 0) AS ei_majority_dem_share,
   sqrt(sum(n_minority * n_minority * greatest(e_bb - e_b * e_b, 0e0))) / nullif(sum(CASE WHEN e_b IS NOT NULL THEN n_minority END), 0) AS ei_minority_sd,
   sqrt(sum(n_majority * n_majority * greatest(e_ww - e_w * e_w, 0e0))) / nullif(sum(CASE WHEN e_w IS NOT NULL THEN n_majority END), 0) AS ei_majority_sd
-FROM fx_em_e{ROUNDS} GROUP BY {DK}) z
+FROM fx_em_e GROUP BY {DK}, round, rest
+""")
+
+
+@query("d10_grid_inference", f"""
+SELECT {DK}, {rs('ei_minority_dem_share', 'ei_majority_dem_share', 'ei_minority_sd', 'ei_majority_sd', digits=5)},
+  {_flag('ei_minority_dem_share', 'ei_majority_dem_share')} AS ei_rpv, rounds, converged FROM fx_em
 """)
 def d10(spark, sf):
-    return rounded(inference.grid_inference(base.units(spark, sf), rounds=ROUNDS, grid=20), 5)
+    return rounded(inference.grid_inference(base.units(spark, sf), tolerance=TOLERANCE, max_rounds=ROUNDS), 5)
+
+
+@query("d10_grid_with_truth", f"""
+SELECT {DK}, {rs('ei_minority_dem_share', 'ei_majority_dem_share', *SHARES, digits=4)},
+  ei_rpv, true_rpv, {R('ei_minority_dem_share - true_minority_dem_share', 'ei_minority_resid', 4)},
+  {R('ei_majority_dem_share - true_majority_dem_share', 'ei_majority_resid', 4)}, ei_rpv - true_rpv AS ei_rpv_error, n_precincts, total_population,
+  {R('CAST(total_minority AS DOUBLE) / total_population', 'prop_minority', 4)},
+  {R('CAST(total_dem_votes AS DOUBLE) / (total_dem_votes + total_rep_votes)', 'prop_dem', 4)}
+FROM (SELECT *, {_flag('ei_minority_dem_share', 'ei_majority_dem_share')} AS ei_rpv FROM fx_em) e JOIN fx_truth USING ({DK})
+""")
+def d10t(spark, sf):
+    out = inference.inference_on_grid(base.units(spark, sf), tolerance=TOLERANCE, max_rounds=ROUNDS)
+    return rounded(out.select(
+        *DISTRICT, "ei_minority_dem_share", "ei_majority_dem_share", *SHARES, "ei_rpv", "true_rpv", "ei_minority_resid", "ei_majority_resid",
+        "ei_rpv_error", "n_precincts", "total_population", "prop_minority", "prop_dem"), 4)
 
 
 @query("d11_residuals", f"""
