@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardwise.functions import add_stars, fixed, indicator
+from wardwise.operators.fits import fit_logits, moments, solve_linear, t_quantile, with_interactions  # noqa: F401
 from wardwise.operators.report import context_gap
+from wardwise.operators.space import upper_tail
 from wardwise.operators.waste import dem_margin
+from wardwise.session import Scratch
 
 BASE = ["seg_medium", "seg_high", "redis_dem", "redis_rep", "dem_margin", "white_pop_diff"]
 CROSSED = ["seg_medium:redis_dem", "seg_medium:redis_rep", "seg_high:redis_dem", "seg_high:redis_rep"]
@@ -47,12 +46,6 @@ def scenario_dummies() -> dict[str, Column]:
     }
 
 
-def with_interactions(df: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """Product columns for terms written ``a:b``."""
-    new = {t: F.col(t.split(":")[0]) * F.col(t.split(":")[1]) for t in terms if ":" in t and t not in df.columns}
-    return df.withColumns(new)
-
-
 def model_frame(results: DataFrame, precincts: DataFrame, statewide: float | None = None) -> DataFrame:
     """Absolute errors in points, dummies, margin and context gap of every district."""
     errors = {f"error_{g}_{m}": F.abs(F.col(f"{m}_{g}_resid")) * 100 for m in ("er", "ei") for g in ("minority", "majority")}
@@ -60,14 +53,6 @@ def model_frame(results: DataFrame, precincts: DataFrame, statewide: float | Non
         {**errors, **scenario_dummies(), "dem_margin": dem_margin() * 100})
 
 
-def _assembled(df: DataFrame, response: str, terms: Sequence[str]) -> DataFrame:
-    rows = with_interactions(df, terms).select(*[F.col(f"`{t}`").cast("double").alias(t) for t in terms],
-                                               F.col(response).cast("double").alias("_y")).dropna()
-    names = {t: t.replace(":", "__") for t in terms}
-    rows = rows.withColumnsRenamed(names)
-    return VectorAssembler(inputCols=list(names.values()), outputCol="_x").transform(rows).select("_x", "_y")
-
-
 def _varying(df: DataFrame, terms: Sequence[str]) -> list[str]:
     """Terms that take more than one value; a constant one cannot be told from the intercept."""
     rows = with_interactions(df, terms)
@@ -75,56 +60,33 @@ def _varying(df: DataFrame, terms: Sequence[str]) -> list[str]:
     return [t for i, t in enumerate(terms) if spread[i]]
 
 
-def ols(df: DataFrame, response: str, terms: Sequence[str]) -> tuple[DataFrame, dict[str, float]]:
-    """Tidy coefficients (intercept last) with t-based intervals, and fit statistics.
+def ols_all(df: DataFrame, models: dict[str, tuple[str, Sequence[str]]]) -> dict[str, tuple[DataFrame, dict[str, float]]]:
+    """Tidy coefficients (intercept last) with t-based intervals, and fit statistics, of several models (response, terms).
 
-    The normal equations are summed on the executors; only the coefficient-sized
-    matrix reaches the driver.
+    The rows are read once: one aggregate sums the products of all terms and responses, and only that matrix reaches the driver.
+    Each model takes the rows that are complete for it.
     """
+    names = [c for response, terms in models.values() for c in (*terms, response)]
+    sums, out = moments(df, names), {}
+    for name, (response, terms) in models.items():
+        rows, fit = solve_linear(sums, response, terms)
+        out[name] = df.sparkSession.createDataFrame(rows, TIDY), fit
+    return out
+
+
+def ols(df: DataFrame, response: str, terms: Sequence[str]) -> tuple[DataFrame, dict[str, float]]:
+    """One model of ``ols_all``."""
+    return ols_all(df, {"model": (response, terms)})["model"]
+
+
+def logit(df: DataFrame, response: str, terms: Sequence[str], profile: bool = False) -> tuple[DataFrame, dict[str, float]]:
+    """Tidy logit coefficients (intercept last), with Wald intervals or profile-likelihood ones."""
     terms = _varying(df, terms)
-    model = LinearRegression(featuresCol="_x", labelCol="_y", solver="normal").fit(_assembled(df, response, terms))
-    s = model.summary
-    names = [*terms, "(Intercept)"]
-    est = [*map(float, model.coefficients), float(model.intercept)]
-    dof = s.degreesOfFreedom
-    q = t_quantile(0.975, dof)
-    rows = [(n, b, float(e), float(t), float(p), b - q * e, b + q * e)
-            for n, b, e, t, p in zip(names, est, s.coefficientStandardErrors, s.tValues, s.pValues, strict=True)]
-    fit = {"r2": float(s.r2), "adj_r2": float(s.r2adj), "n": float(s.numInstances), "dof": float(dof)}
-    return df.sparkSession.createDataFrame(rows, TIDY), fit
-
-
-def logit(df: DataFrame, response: str, terms: Sequence[str]) -> tuple[DataFrame, dict[str, float]]:
-    """Tidy logit coefficients (intercept last) with Wald intervals."""
-    terms = _varying(df, terms)
-    glm = GeneralizedLinearRegression(featuresCol="_x", labelCol="_y", family="binomial", link="logit")
-    model = glm.fit(_assembled(df, response, terms))
-    s = model.summary
-    names = [*terms, "(Intercept)"]
-    est = [*map(float, model.coefficients), float(model.intercept)]
-    rows = [(n, b, float(e), float(t), float(p), b - 1.959963984540054 * e, b + 1.959963984540054 * e)
-            for n, b, e, t, p in zip(names, est, s.coefficientStandardErrors, s.tValues, s.pValues, strict=True)]
-    return df.sparkSession.createDataFrame(rows, TIDY), {"aic": float(s.aic), "deviance": float(s.deviance), "n": float(s.numInstances)}
-
-
-def t_quantile(p: float, dof: float) -> float:
-    """Student t quantile: with t = sqrt(dof) tan(a), the density is a power of cos(a), summed by Simpson's rule and bisected."""
-    if p < 0.5:
-        return -t_quantile(1 - p, dof)
-    scale = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(math.pi)
-    weights = np.array([1.0, *[4.0, 2.0] * 499, 4.0, 1.0]) / 3
-
-    def below(t: float) -> float:
-        end = math.atan(t / math.sqrt(dof))
-        return 0.5 + scale * float(weights @ np.cos(np.linspace(0, end, 1001)) ** (dof - 1)) * end / 1000
-
-    low, high = 0.0, 1.0
-    while below(high) < p:
-        low, high = high, 2 * high
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if below(mid) < p else (low, mid)
-    return (low + high) / 2
+    fitted = fit_logits(df, response, terms, profile=profile)
+    rows = fitted.withColumn("p_value", 2 * upper_tail(F.abs("statistic"))).orderBy(F.col("place") == 0, "place").collect()  # one a term
+    tidy = [tuple(r[c] for c in ("term", "estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high")) for r in rows]
+    stats = {"aic": 2 * len(rows) - 2 * rows[0].loglik, "deviance": -2 * rows[0].loglik, "n": float(rows[0].n)} if rows else {}
+    return df.sparkSession.createDataFrame(tidy, TIDY), stats
 
 
 def coefficient_table(tables: dict[str, DataFrame]) -> DataFrame:
@@ -188,19 +150,13 @@ def marginal_effects(df: DataFrame, response: str, terms: Sequence[str]) -> Data
     return df.sparkSession.createDataFrame(out, "term string, ame double, std_error double, z double")
 
 
-def logit_by_scenario(df: DataFrame, response: str, value: str, keys: Sequence[str] = ("seg_level", "redist_level")) -> DataFrame:
-    """One-variable logit per scenario: a small fit for each of the few scenarios."""
-    out = None
-    for row in df.select(*keys).distinct().collect():
-        own = reduce(and_, [F.col(k).eqNullSafe(F.lit(row[k])) for k in keys])
-        part = df.where(own & F.col(response).isNotNull())
-        ends = part.agg(F.min(response), F.max(response)).first()
-        if ends[0] == ends[1]:
-            continue  # one outcome only: no slope exists
-        tidy, _ = logit(part, response, [value])
-        tidy = tidy.withColumns({k: F.lit(row[k]) for k in keys})
-        out = tidy if out is None else out.unionByName(tidy)
-    return out
+def logit_by_scenario(
+    df: DataFrame, response: str, value: str, keys: Sequence[str] = ("seg_level", "redist_level"), profile: bool = False,
+) -> DataFrame:
+    """One-variable logit per scenario, of all scenarios together: every round is one sum over the rows."""
+    fitted = fit_logits(df, response, [value], keys, profile)
+    tidy = fitted.withColumn("p_value", 2 * upper_tail(F.abs("statistic")))
+    return tidy.select("term", "estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high", *keys)
 
 
 def linear_trend(df: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFrame:
@@ -209,12 +165,114 @@ def linear_trend(df: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFram
         F.count(F.lit(1)).alias("n"))
 
 
-def cluster(df: DataFrame, columns: Sequence[str], k: int, seed: int = 123, name: str = "geog_id") -> DataFrame:
-    """k-means on z-scored columns; the cluster number starts from 1."""
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="_raw").transform(df)
-    scaled = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(vectors).transform(vectors)
-    model = KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="_p").fit(scaled)
-    return model.transform(scaled).withColumn(name, (F.col("_p") + 1).cast("bigint")).drop("_raw", "_x", "_p")
+def _nearest(shared):
+    """Squared distance and number of each row's nearest centre, for every start: (rows, starts)."""
+    centres = shared.value
+
+    def of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = ((x[:, None, None, :] - centres[None, :, :, :]) ** 2).sum(axis=3)
+        return d.min(axis=2), d.argmin(axis=2)
+
+    return of
+
+
+def _vectors(batch) -> np.ndarray:
+    return np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1)
+
+
+#: Rows whose distances are held at once.
+HELD = 4096
+
+
+def _cluster_sums(shared):
+    """Count, sums and squared distances of every cluster of every start, over the rows of a task."""
+
+    def rows(batches):
+        centres = shared.value
+        starts, k, d = centres.shape
+        n, s, cost = np.zeros((starts, k)), np.zeros((starts, k, d)), np.zeros((starts, k))
+        nearest = _nearest(shared)
+        for batch in batches:
+            whole = _vectors(batch)
+            for first in range(0, len(whole), HELD):
+                x = whole[first : first + HELD]
+                best, own = nearest(x)
+                for i in range(starts):
+                    n[i] += np.bincount(own[:, i], minlength=k)
+                    cost[i] += np.bincount(own[:, i], best[:, i], k)
+                    for j in range(d):
+                        s[i, :, j] += np.bincount(own[:, i], x[:, j], k)
+        at = np.indices((starts, k)).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at[0]), pa.array(at[1]), pa.array(n.ravel()), pa.array(list(s.reshape(-1, d)), pa.list_(pa.float64())), pa.array(cost.ravel())],
+            names=["start", "cluster", "n", "s", "cost"])
+
+    return rows
+
+
+def lloyd(rows: DataFrame, centres: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lloyd's rounds for several starts at once, from ``centres`` (starts, k, columns): the last centres, each start's sum of squares, and the rounds it took.
+
+    Every task sums its rows under all starts, and one aggregate a round adds up starts x k rows. A start whose centres no longer move is left as it is;
+    a cluster that loses all rows keeps its centre; a row between two centres goes to the first.
+    """
+    spark, centres = rows.sparkSession, np.array(centres, dtype=float)
+    taken, cost = np.zeros(len(centres), dtype=int), np.full(len(centres), np.inf)
+    moving = np.arange(len(centres))
+    schema = "start long, cluster long, n double, s array<double>, cost double"
+    for k in range(1, rounds + 1):
+        shared = spark.sparkContext.broadcast(centres[moving])
+        size = centres.shape[2]
+        sums = rows.mapInArrow(_cluster_sums(shared), schema).groupBy("start", "cluster").agg(
+            F.sum("n").alias("n"), F.array(*[F.sum(F.get("s", F.lit(j))) for j in range(size)]).alias("s"), F.sum("cost").alias("cost")).collect()
+        new, total = centres[moving].copy(), np.zeros(len(moving))
+        for r in sums:
+            total[r.start] += r.cost
+            if r.n:
+                new[r.start, r.cluster] = np.array(r.s) / r.n
+        cost[moving], taken[moving] = total, k
+        # Centres one bit apart are the same: sums come in any order.
+        still = (np.abs(new - centres[moving]) <= 1e-12 * (1 + np.abs(new))).all(axis=(1, 2))
+        centres[moving] = np.where(still[:, None, None], centres[moving], new)
+        moving = moving[~still]
+        if not len(moving):
+            break
+    return centres, cost, taken
+
+
+def z_scored(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columns`` as z0, z1, ...: less their mean, in sample standard deviations; a constant column is zero. Rows that lack one are left out."""
+    values = df.select("*", *[F.col(f"`{c}`").cast("double").alias(f"z{i}") for i, c in enumerate(columns)]).dropna(subset=[f"z{i}" for i in range(len(columns))])
+    stats = values.agg(*[f(f"z{i}").alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    return values.withColumns({
+        f"z{i}": (F.col(f"z{i}") - F.lit(stats[f"m{i}"])) / F.lit(stats[f"s{i}"]) if stats[f"s{i}"] else F.lit(0.0) for i in range(len(columns))})
+
+
+def cluster(
+    df: DataFrame, columns: Sequence[str], k: int, seed: int = 123, name: str = "geog_id", starts: int = 25, rounds: int = 100,
+    centres: Sequence[Sequence[Sequence[float]]] | None = None,
+) -> DataFrame:
+    """k-means on z-scored columns, the best of ``starts`` starts; the cluster number starts from 1, in the order of the centres.
+
+    All starts are advanced together (``lloyd``). Each begins at k rows picked by a seeded hash, or at ``centres`` (starts, k, columns; z-scored) where they are given.
+    With fewer than k different rows there are fewer clusters. Rows that lack a column are left out.
+    """
+    scratch, z = Scratch(df.sparkSession, "clusters"), [f"z{i}" for i in range(len(columns))]
+    rows = scratch.write(z_scored(df, columns), "rows")
+    if centres is None:
+        # The k x starts different rows of smallest hash: few, whatever the table holds.
+        picked = rows.select(*z).distinct().orderBy(F.xxhash64(F.lit(seed), *z), *z).limit(k * starts).collect()
+        if not picked:
+            return rows.select(*df.columns, F.lit(None).cast("bigint").alias(name))
+        size = min(k, len(picked))
+        deal = [[picked[(s * size + j) % len(picked)] for j in range(size)] for s in range(starts)]
+        centres = [[list(r) for r in own] for own in deal]
+    found, cost, _ = lloyd(rows.select(*z), np.array(centres, dtype=float), rounds)
+    best = found[int(np.argmin(cost))]
+    best = best[np.lexsort(best.T[::-1])]
+    square = [sum(((F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip(z, centre, strict=True)), F.lit(0.0)) for centre in best]
+    nearest = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i + 1).cast("bigint").alias("i")) for i, d in enumerate(square)]))
+    return rows.withColumn(name, nearest["i"]).select(*df.columns, name)
 
 
 def assign_voters(voters: DataFrame, precincts: DataFrame, cluster_col: str = "geog_id") -> DataFrame:
