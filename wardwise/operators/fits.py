@@ -240,10 +240,10 @@ def fit_logits(
     Rows that lack the response or a term are left out.
     """
     keys, scratch, size = list(keys), Scratch(df.sparkSession, "logit"), len(terms) + 1
-    own = df if keys else df.withColumn("whole", F.lit(1))
-    by = keys or ["whole"]
-    columns = with_interactions(own, terms).select(
-        *by, F.col(response).cast("double").alias("y"), F.array(F.lit(1.0), *[F.col(f"`{t}`").cast("double") for t in terms]).alias("x"))
+    # Names of its own for the keys: theirs may be those of a column below. Without keys, all rows are one group.
+    by = [f"_key{i}" for i in range(max(len(keys), 1))]
+    columns = with_interactions(df, terms).select(
+        *[(F.col(f"`{keys[i]}`") if keys else F.lit(1)).alias(k) for i, k in enumerate(by)], F.col(response).cast("double").alias("y"), F.array(F.lit(1.0), *[F.col(f"`{t}`").cast("double") for t in terms]).alias("x"))
     whole = F.col("y").isNotNull() & ~F.isnan("y") & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v))
     rows = scratch.write(columns.where(whole), "rows")
     groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo < hi")
@@ -269,4 +269,5 @@ def fit_logits(
     else:
         q = F.lit(NORMAL) * F.col("std_error")
         long = long.withColumns({"conf_low": F.col("estimate") - q, "conf_high": F.col("estimate") + q})
-    return long.select(*keys, "place", "term", "estimate", "std_error", "statistic", "conf_low", "conf_high", "loglik", "n")
+    named_keys = [F.col(b).alias(k) for b, k in zip(by, keys, strict=False)]
+    return long.select(*named_keys, "place", "term", "estimate", "std_error", "statistic", "conf_low", "conf_high", "loglik", "n")
