@@ -16,12 +16,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies stays: the one of smallest id."""
+    """One document of each group of exact and near copies stays: the one of smallest id.
+
+    Rows of equal id and text are one document, of which one row stays; rows without id, or without text, are documents of their own and all stay.
+    """
     marks = Steps(spark, "marks").write(ngram_join.join_near_copies(docs).select("doc_id", "digest", "kept"), "marks")
-    gone = marks.where("not kept and doc_id is not null and digest is not null").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    named = marks.where("doc_id is not null and digest is not null")
+    gone = named.where("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
     left = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.md5("text") == F.col("_digest")), "left_anti")
-    repeated = marks.where("kept").groupBy("doc_id", "digest").count().where("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    # Without a repeated row there is nothing to merge, and no need to shuffle the texts for it.
+    if named.where("kept").groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        return left
+    whole = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    return left.where(whole).dropDuplicates(["doc_id", "text"]).unionByName(left.where(~whole))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
