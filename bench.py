@@ -47,8 +47,8 @@ def main() -> None:
         "a01_district_truth": lambda: frames.district_truth(units),
         "a06_plan_summaries": lambda: frames.summarise_plans(plans, precincts)[1],
         "d05_packed_cracked": lambda: waste.packed_cracked(frames.district_truth(units)),
-        "d06_precinct_waste": lambda: waste.surplus_losing_precincts(units),
-        "d07_precinct_metrics": lambda: results.precinct_results(frames.precinct_stats(fx.assignments(spark, sf_dir), precincts), own),
+        "d06_precinct_waste": lambda: frames.precinct_stats(plans, waste.surplus_losing_precincts(precincts)),
+        "d07_precinct_metrics": lambda: results.plan_precinct_results(fx.assignments(spark, sf_dir), precincts, own),
         "d08_ecological_regression": lambda: regression.ecological_regression(units),
         "d09_inference_from_draws": lambda: inference.summarise_draws(draws, precincts),
         "d10_grid_inference": lambda: inference.grid_inference(frames.precinct_stats(ten, precincts)),

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardwise.operators import census, inference, space
+from wardwise.operators import census, inference, sampling, shapes, space
 
 
 def walk(sizes, goals, least):
@@ -128,3 +128,56 @@ def test_inference_comes_to_rest_and_counts_far_precincts(spark):
     assert not any(r.converged for r in early.values()) and {r.rounds for r in early.values()} == {3}
     truth = inference.inference_on_grid(table).columns
     assert {"ei_minority_resid", "true_rpv", "ei_rpv_error", "prop_dem", "rounds", "converged"} <= set(truth)
+
+
+@pytest.mark.parametrize("n", [0, 1, 499, 500, 4000, 9999, 20_000])
+def test_large_samples_without_a_sort(spark, n):
+    """Equal noise in one bin, NULL noise, values outside [0, 1]: the same rows as a sort gives."""
+    k = F.pmod(F.xxhash64("id"), F.lit(1000))
+    rows = spark.range(10_000).withColumn("u", F.when(k < 400, 0.5).when(k < 450, None).when(k < 500, k - 460.0).otherwise(k / 1000.0))
+    got = sorted(r.id for r in sampling.hash_sample(rows, n, ["id"], noise=F.col("u"), merged=0).collect())
+    assert got == sorted(r.id for r in rows.orderBy("u", "id").limit(n).collect())
+
+
+def test_raked_samples_reach_the_target(spark):
+    rows = spark.range(4000).select("id", (F.pmod(F.xxhash64("id"), F.lit(90)) + 10).alias("population"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(101)) / 100.0 * 0.6).alias("share"))
+    out = sampling.rake_sample(rows, "share", "population", 100_000, 0.4, "id")
+    n, total, mean = out.agg(F.count("*"), F.sum("population"), F.sum(F.col("population") * F.col("share")) / F.sum("population")).first()
+    assert n == -(-100_000 // rows.agg(F.avg("population")).first()[0]) and 80_000 < total < 125_000
+    first = rows.agg(F.sum(F.col("population") * F.col("share")) / F.sum("population")).first()[0]
+    assert abs(mean - 0.4) < abs(first - 0.4) and out.select("draw").distinct().count() == n
+
+
+def test_repair_is_the_loop_in_order(spark):
+    """Random graphs, a checkerboard of isolated units (one long chain), two isolated neighbours, and units without neighbours."""
+    rng = np.random.default_rng(8)
+    edges = {(int(a), int(b)) for a, b in rng.integers(0, 120, (260, 2)) if a < b}
+    edges |= {(200 + 8 * i + j, 200 + 8 * i + j + 1) for i in range(8) for j in range(7)} | {(200 + 8 * i + j, 208 + 8 * i + j) for i in range(7) for j in range(8)}
+    edges |= {(400, 401)}
+    region = {i: int(rng.integers(1, 6)) for i in range(120)} | {200 + 8 * i + j: (i + j) % 2 + 1 for i in range(8) for j in range(8)} | {400: 1, 401: 2, 500: 3}
+    around = {i: [] for i in region}
+    for a, b in edges:
+        around[a].append(b)
+        around[b].append(a)
+    want = dict(region)
+    for _ in range(10):
+        changed = False
+        for i in sorted(want):
+            others = [want[j] for j in around[i]]
+            if others and want[i] not in others:
+                want[i], changed = min(set(others), key=lambda g: (-others.count(g), g)), True
+        if not changed:
+            break
+    units_ = spark.createDataFrame(list(region.items()), "precinct_id bigint, geog_id bigint")
+    links = spark.createDataFrame(list(edges), "src bigint, dst bigint")
+    got = {r.precinct_id: r for r in space.repair_in_order(units_, links, "geog_id").collect()}
+    assert {i: r.geog_id for i, r in got.items()} == want
+    assert all(r.isolated == (bool(around[i]) and want[i] not in [want[j] for j in around[i]]) for i, r in got.items())
+    assert got[400].geog_id == got[401].geog_id == 2 and not got[500].isolated
+
+
+def test_large_units_are_expanded_in_chunks(spark):
+    units_ = spark.createDataFrame([(1, 10_001, 64), (2, 0, 0), (3, 1, 1), (4, 128, 0), (5, None, 1)], "precinct_id bigint, population bigint, n_minority bigint")
+    rows = shapes.expand_counts(units_, "population", "n_minority", "precinct_id", chunk=64)
+    got = rows.groupBy("precinct_id").agg(F.count("*"), F.countDistinct("position"), F.min("position"), F.max("position"), F.sum("race"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 10_001, 10_001, 1, 10_001, 64), (3, 1, 1, 1, 1, 1), (4, 128, 128, 1, 128, 0)]

@@ -20,6 +20,13 @@ def k06(spark, sf):
     return sampling.hash_sample(fx.blocks(spark, sf), 500, ["block_id"], noise=turn()).select("block_id")
 
 
+@query("k06_large_sample", "SELECT block_id FROM fx_turn ORDER BY u, block_id LIMIT (SELECT count(*) // 3 FROM fx_blocks)")
+def k06l(spark, sf):
+    """By counts of the noise and a filter, as samples of any size are."""
+    blocks = fx.blocks(spark, sf)
+    return sampling.hash_sample(blocks, blocks.count() // 3, ["block_id"], noise=turn(), merged=0).select("block_id")
+
+
 @query("k07_sample_per_group", """
 SELECT category, block_id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY u, block_id) AS rn FROM fx_turn) t WHERE rn <= 300
 """)
@@ -209,6 +216,42 @@ def k14(spark, sf):
     return out.select("block_id", r("rake_weight").alias("rake_weight"))
 
 
+def picks_sql(weights: str, sample: int, source: str) -> str:
+    """Draws j with the rows of ``source`` that they fall on, by the weight w."""
+    return f"""
+SELECT d.j, s.* FROM (SELECT j, floor({_U2.format(a=sample)} * t) AS p FROM (SELECT unnest(range(1, 1 + (
+    SELECT CAST(ceil(floor(sum(population) / 2) / avg(population)) AS BIGINT) FROM fx_blocks))) AS j) r, (SELECT CAST(max(wend) AS DOUBLE) AS t FROM {weights}) q) d
+ASOF JOIN (SELECT {source}, CAST(wend - wu AS DOUBLE) AS s0 FROM {weights} WHERE wu > 0) s ON d.p >= s.s0"""
+
+
+def laid_sql(source: str, weight: str, order: str) -> str:
+    return f"""
+SELECT *, sum(wu) OVER (ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS wend FROM (
+  SELECT *, CASE WHEN {weight} > 0 THEN greatest(CAST(round_even({weight} / sum({weight}) OVER () * 1125899906842624e0, 0) AS HUGEINT), 1) END AS wu FROM {source}) a"""
+
+
+view("fx_diverse", laid_sql("(SELECT *, population * (1e0 + abs(per_minority - 0.5e0)) AS dw FROM fx_blocks)", "dw", "block_id"))
+view("fx_first", f"SELECT j AS first_draw, block_id, population, per_minority FROM ({picks_sql('fx_diverse', 1, 'block_id, population, per_minority')}) p")
+view("fx_raked0", "SELECT first_draw, block_id, population, per_minority, 1e0 AS w FROM fx_first")
+for _i in range(RAKES):
+    view(f"fx_raked{_i + 1}", f"""
+SELECT first_draw, block_id, population, per_minority, CASE WHEN abs(m - 0.5e0) < 0.001e0 THEN w
+  ELSE greatest(0.1e0, least(10e0, w * (1 + (0.5e0 / m - 1) * abs(per_minority - 0.5e0)))) END AS w
+FROM fx_raked{_i}, (SELECT sum(population * per_minority * w) / sum(population * w) AS m FROM fx_raked{_i}) q
+""")
+view("fx_raked_units", laid_sql(f"fx_raked{RAKES}", "w", "first_draw"))
+
+
+@query("k14_rake_sample", f"""
+SELECT j AS draw, first_draw, block_id, {R('w', 'rake_weight')} FROM ({picks_sql('fx_raked_units', 2, 'first_draw, block_id, w')}) p
+""")
+def k14s(spark, sf):
+    blocks = fx.blocks(spark, sf)
+    total = blocks.agg(F.floor(F.sum("population") / 2)).first()[0]
+    out = sampling.rake_sample(blocks, "per_minority", "population", total, 0.5, "block_id", noise=u_of_two)
+    return out.select("draw", "first_draw", "block_id", r("rake_weight").alias("rake_weight"))
+
+
 _PROBES = [0.0, 0.05, 0.1, 0.32, 0.5, 0.9, 1.0]
 
 

@@ -68,12 +68,41 @@ def g17(spark, sf):
                       r("variance", 9).alias("variance"), r("z", 5).alias("z"), r("p_value", 5).alias("p_value"))
 
 
+# The loop itself: one cell a step, over the list of all regions, until a sweep changes nothing or ten are done.
+view("fx_patches", """
+SELECT precinct_id, row_number() OVER (ORDER BY precinct_id) AS pos, count(*) OVER () AS n, CAST(precinct_id * precinct_id * 7 % 11 % 4 + 1 AS BIGINT) AS geog_id FROM fx_cells
+""")
+view("fx_around", """
+SELECT a.pos, list(b.pos ORDER BY b.pos) AS nb FROM fx_both e JOIN fx_patches a ON a.precinct_id = e.src JOIN fx_patches b ON b.precinct_id = e.dst GROUP BY a.pos
+""")
+view("fx_repair", """
+SELECT CAST(0 AS BIGINT) AS step, any_value(n) AS n, list(geog_id ORDER BY pos) AS regions, true AS changed FROM fx_patches
+UNION ALL
+SELECT step + 1, n, CASE WHEN move THEN list_concat(regions[:spot - 1], [((best % 1000) + 1000) % 1000], regions[spot + 1:]) ELSE regions END,
+  (spot > 1 AND changed) OR move
+FROM (SELECT *, nb IS NOT NULL AND NOT list_contains(others, regions[spot]) AS move,
+    list_min(list_transform(list_distinct(others), lambda g: g - 1000 * len(list_filter(others, lambda o: o = g)))) AS best
+  FROM (SELECT s.*, nb, list_transform(nb, lambda p: regions[p]) AS others
+    FROM (SELECT *, step % n + 1 AS spot FROM fx_repair WHERE step < 10 * n AND (step % n > 0 OR changed)) s LEFT JOIN fx_around ON fx_around.pos = s.spot) a) b
+""")
+
+
 @query("g18_repair_isolated_cells")
 def g18(spark, sf):
     regions = fx.cells(spark, sf).select("precinct_id", (F.pmod(F.col("precinct_id") * 31, F.lit(5)) + 1).alias("geog_id"))
     return space.repair_isolated(regions, fx.edges(spark, sf), "geog_id")
 
 
+@query("g18_repair_in_order", """
+SELECT precinct_id, regions[pos] AS geog_id, nb IS NOT NULL AND NOT list_contains(list_transform(nb, lambda p: regions[p]), regions[pos]) AS isolated
+FROM fx_patches LEFT JOIN fx_around USING (pos), (SELECT arg_max(regions, step) AS regions FROM fx_repair) r
+""")
+def g18o(spark, sf):
+    i = F.col("precinct_id")
+    regions = fx.cells(spark, sf).select("precinct_id", (i * i * 7 % 11 % 4 + 1).cast("bigint").alias("geog_id"))
+    return space.repair_in_order(regions, fx.edges(spark, sf), "geog_id")
+
+
 @query("j09_edge_cells", """
 SELECT a.precinct_id, a.row_no, a.col, count(b.precinct_id) AS n_neighbours, count(b.precinct_id) < 8 AS edge_cell
 FROM fx_cells a LEFT JOIN fx_cells b ON b.row_no BETWEEN a.row_no - 1 AND a.row_no + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND b.precinct_id <> a.precinct_id

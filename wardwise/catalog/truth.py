@@ -198,7 +198,7 @@ FROM (SELECT *, dem_votes > rep_votes AS precinct_dem_win, need AS precinct_vote
   FROM (SELECT *, CAST(floor(CAST(dem_votes + rep_votes AS DOUBLE) / 2) + 1 AS BIGINT) AS need FROM fx_units) u) v
 """)
 def d06(spark, sf):
-    out = waste.surplus_losing_precincts(base.units(spark, sf))
+    out = frames.precinct_stats(fx.assignments(spark, sf), waste.surplus_losing_precincts(fx.precincts(spark, sf)))
     return rounded(out.select(
         "map_id", "precinct_id", "precinct_dem_win", "precinct_votes_to_win", "precinct_dem_wasted",
         "precinct_rep_wasted", "precinct_total_wasted", *PW, "minority_wasted_total_precinct",
@@ -215,7 +215,7 @@ METRICS = ["true_minority_dem_share_precinct", "true_majority_dem_share_precinct
 SELECT unique_id, map_id, seg_level, redist_level, district_id, precinct_id, true_rpv_precinct, {rs(*METRICS)} FROM fx_rows
 """)
 def d07(spark, sf):
-    rows = res.precinct_results(base.units(spark, sf), base.unlabelled(spark, sf))
+    rows = res.plan_precinct_results(fx.assignments(spark, sf), fx.precincts(spark, sf), base.unlabelled(spark, sf))
     return rounded(rows.select("unique_id", *DISTRICT, "precinct_id", "true_rpv_precinct", *METRICS))
 
 

@@ -6,6 +6,7 @@ it exactly. Every function takes its noise as a column, by default a hash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import accumulate
 
@@ -20,13 +21,35 @@ from wardwise.session import materialise
 UNITS = float(2**50)
 
 
+#: Up to this many rows, a sample is merged in one task. Beyond it, BINS counts of the noise tell where the sample ends.
+MERGED, BINS = 10_000, 4096
+
+
 def hash_sample(
-    df: DataFrame, n: int, id_cols: Sequence[str], seed: int = 123, by: Sequence[str] = (), noise: Column | None = None
+    df: DataFrame, n: int, id_cols: Sequence[str], seed: int = 123, by: Sequence[str] = (), noise: Column | None = None, merged: int = MERGED,
 ) -> DataFrame:
-    """n rows (per group, if ``by`` is given), or all when there are fewer."""
-    order = [noise if noise is not None else hash_noise(seed, *id_cols), *[F.col(c) for c in id_cols]]
-    if not by:
+    """n rows (per group, if ``by`` is given), or all when there are fewer: those of the smallest noise, ties by the id.
+
+    A large sample of the whole table is not sorted: the noise is counted in bins, rows of the bins that lie inside are
+    filtered, and only the rows of the one bin in which the sample ends are ranked, by range. NULL noise comes first.
+    """
+    u = noise if noise is not None else hash_noise(seed, *id_cols)
+    order = [u, *[F.col(c) for c in id_cols]]
+    if not by and n <= merged:
         return df.orderBy(*order).limit(n)
+    if not by:
+        at = F.floor(F.greatest(F.least(u, F.lit(1.0)), F.lit(0.0)) * F.lit(BINS))
+        binned = df.withColumn("_bin", F.when(u.isNull(), -1).otherwise(at).cast("int"))
+        last, inside = None, 0
+        for b, size in sorted(binned.groupBy("_bin").count().collect()):  # BINS + 2 rows
+            if inside + size > n:
+                last = b
+                break
+            inside += size
+        if last is None:
+            return df
+        edge = running(binned.where(F.col("_bin") == last).withColumn("_u", u), ["_u", *id_cols], row_number="_rn")
+        return binned.where(F.col("_bin") < last).drop("_bin").unionByName(edge.where(F.col("_rn") <= n - inside).drop("_bin", "_u", "_rn"))
     # The rank limit is applied in every map task before the rows are shuffled.
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn("_rn", rank).where(F.col("_rn") <= n).drop("_rn")
@@ -211,6 +234,30 @@ def rake(
     return df.withColumn(name, F.when(x.isNotNull(), w))
 
 
+def diversity_weight(share: str, weight: str) -> Column:
+    """Size, raised by the distance of the share from one half."""
+    return F.col(weight) * (F.lit(1.0) + F.abs(F.col(share) - F.lit(0.5)))
+
+
+def rake_sample(
+    df: DataFrame, share: str, weight: str, total: float, target: float, id_col: str, seed: int = 123, noise=None, max_iter: int = 20,
+    tol: float = 0.001, bounds: tuple[float, float] = (0.1, 10.0),
+) -> DataFrame:
+    """Rows drawn with some preference for extreme shares, raked to the target share, and drawn again by the raked weights.
+
+    As many draws as bring the sum of ``weight`` to ``total`` at the mean. Every row carries ``draw``, ``first_draw`` (its place in the first sample)
+    and ``rake_weight``. ``noise`` takes the number of the sample (1 or 2) and of the draw. The first sample is stored, since the
+    raking reads it once a round.
+    """
+    noise = noise or (lambda sample, j: hash_noise(seed, sample, j))
+    n = math.ceil(total / df.agg(F.avg(weight)).first()[0])
+    draws = lambda sample: df.sparkSession.range(1, n + 1).select(F.col("id").alias("draw"), noise(F.lit(sample), F.col("id")).alias("u"))
+    laid = lay_weights(df.withColumn("_diverse", diversity_weight(share, weight)), "_diverse", id_col)
+    first = materialise(pick_weighted(laid, draws(1)).drop("u", "_diverse").withColumnRenamed("draw", "first_draw"), "first")
+    raked = rake(first, share, weight, target, max_iter, tol, bounds)
+    return pick_weighted(lay_weights(raked, "rake_weight", "first_draw"), draws(2)).drop("u")
+
+
 def bootstrap_until(
     df: DataFrame, share: str, weight: str, n: int, target: float, id_col: str, tol: float = 0.02,
     attempts: int = 1000, wave: int = 20, seed: int = 123, noise=None,

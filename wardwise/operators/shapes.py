@@ -106,10 +106,25 @@ def grid(spark: SparkSession, rows: int, cols: int) -> DataFrame:
     return each.withColumn("col", F.explode(columns))
 
 
-def expand_counts(df: DataFrame, total: str, ones: str, id_col: str) -> DataFrame:
-    """One row per member: ``total`` rows per unit, of which the first ``ones`` carry 1."""
-    members = df.where(F.col(total) > 0).select(
-        id_col, F.col(ones).alias("_ones"),
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(total).cast("bigint"))).alias("position"),
-    )
-    return members.select(id_col, "position", (F.col("position") <= F.col("_ones")).cast("bigint").alias("race"))
+#: Members that one row of the first step stands for.
+CHUNK = 4096
+
+
+def expand_counts(df: DataFrame, total: str, ones: str, id_col: str, chunk: int = CHUNK) -> DataFrame:
+    """One row per member: ``total`` rows per unit, of which the first ``ones`` carry 1.
+
+    A unit first becomes one row for each ``chunk`` members, and these, spread over the tasks if there are many, become the members: no array
+    holds a large unit, and no task has to write all of it.
+    """
+    size = F.col(total).cast("bigint")
+    step = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    parts = df.where(size > 0).select(
+        id_col, F.col(ones).alias("_ones"), size.alias("_total"), F.explode(step(F.ceil(size / F.lit(chunk)).cast("bigint"))).alias("_part"))
+    many = df.agg(F.max(size)).first()[0] or 0
+    if many > chunk:
+        parts = parts.repartition(F.xxhash64(id_col, "_part"))
+    first = F.col("_part") * F.lit(chunk)
+    each = F.explode(step(F.least(F.col("_total") - first, F.lit(chunk).cast("bigint"))))
+    members = parts.select(id_col, "_ones", first.alias("_first"), each.alias("_at"))
+    position = F.col("_first") + F.col("_at") + 1
+    return members.select(id_col, position.alias("position"), (position <= F.col("_ones")).cast("bigint").alias("race"))

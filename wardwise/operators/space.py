@@ -273,3 +273,53 @@ def repair_isolated(units: DataFrame, edges: DataFrame, region: str, rounds: int
         moves = to_move()
     left = moves.select(id_col, F.lit(True).alias("isolated"))
     return units.drop(region).join(now, id_col).join(left, id_col, "left").withColumn("isolated", F.coalesce("isolated", F.lit(False)))
+
+
+def _verdicts(links: DataFrame, state: DataFrame) -> DataFrame:
+    """For every undecided unit with neighbours: whether one that cannot change before it shares its region, whether one must be decided first, and the
+    most common region around it (ties: the lowest)."""
+    mine = state.where(~F.col("_done")).select(F.col("_id").alias("src"), F.col("_region").alias("_own"))
+    theirs = state.select(F.col("_id").alias("dst"), F.col("_region").alias("_other"), F.col("_done").alias("_fixed"))
+    before = F.col("dst") < F.col("src")
+    seen = links.join(mine, "src").join(theirs, "dst").groupBy("src", "_own", "_other").agg(
+        F.count(F.lit(1)).alias("_n"), F.max(~before | F.col("_fixed")).alias("_sure"), F.max(before & ~F.col("_fixed")).alias("_waits"))
+    same = F.coalesce((F.col("_own") == F.col("_other")) & F.col("_sure"), F.lit(False))
+    return seen.groupBy("src").agg(
+        F.max(same).alias("_kept"), F.max("_waits").alias("_waits"),
+        F.min(F.struct((-F.col("_n")).alias("n"), F.col("_other").alias("r"))).alias("_best")).withColumnRenamed("src", "_id")
+
+
+def repair_in_order(units: DataFrame, edges: DataFrame, region: str, rounds: int = 10, id_col: str = "precinct_id") -> DataFrame:
+    """Units without a neighbour in their region take the most common neighbouring region, one after another by id, in at most ``rounds`` sweeps.
+
+    The result is that of a loop over the units in which every unit sees the moves before it, so neighbours never swap. The units of a sweep
+    are not walked: one is decided as soon as a neighbour that cannot change before it shares its region, or all its neighbours of smaller id are
+    decided. The first step decides nearly all; only chains of isolated neighbours take more. ``isolated`` marks
+    the units that still have neighbours, but none in their region. Ids must be unique.
+    """
+    scratch, k = Scratch(units.sparkSession, "repair"), 0
+    links = scratch.write(both_directions(edges).where("src <> dst").distinct(), "links")
+    state = scratch.write(units.select(F.col(id_col).alias("_id"), F.col(region).alias("_region"), F.lit(False).alias("_done")), "state0")
+    for _ in range(rounds):
+        moved, open_ = 0, None
+        while open_ != 0:
+            free = ~F.col("_done") & ~F.coalesce("_kept", F.lit(True)) & ~F.coalesce("_waits", F.lit(False))
+            judged = state.join(_verdicts(links, state), "_id", "left")
+            # A unit without neighbours has no verdict and stays.
+            waits = ~F.col("_done") & F.coalesce("_waits", F.lit(False)) & ~F.coalesce("_kept", F.lit(False))
+            k += 1
+            state = scratch.write(judged.select(
+                "_id", F.when(free, F.col("_best.r")).otherwise(F.col("_region")).alias("_region"), (~waits).alias("_done"), free.alias("_moved")), f"state{k}")
+            n, open_ = state.agg(F.count_if("_moved"), F.count_if(~F.col("_done"))).first()
+            moved += n
+            scratch.drop(f"state{k - 1}")
+            state = state.drop("_moved")
+        if not moved:
+            break
+        state = state.withColumn("_done", F.lit(False))
+    around = links.join(state.select(F.col("_id").alias("src"), F.col("_region").alias("_own")), "src").join(
+        state.select(F.col("_id").alias("dst"), F.col("_region").alias("_other")), "dst")
+    left = around.groupBy(F.col("src").alias("_id")).agg(F.max(F.coalesce(F.col("_own") == F.col("_other"), F.lit(False))).alias("_shared"))
+    out = units.drop(region).join(state.select(F.col("_id").alias(id_col), F.col("_region").alias(region)), id_col)
+    out = out.join(left.withColumnRenamed("_id", id_col), id_col, "left")
+    return out.withColumn("isolated", ~F.coalesce("_shared", F.lit(True))).drop("_shared")

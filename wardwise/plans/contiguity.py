@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardwise.plans.metrics import pair_districts
 from wardwise.schemas import PLAN
-from wardwise.session import materialise
+from wardwise.session import Scratch
 
 
 def components(nodes: DataFrame, links: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -20,25 +20,33 @@ def components(nodes: DataFrame, links: DataFrame, keys: Sequence[str]) -> DataF
     vanish. Links shrink each round, a hub costs one aggregated row, and the loop
     ends by itself when none are left.
     """
-    keys = list(keys)
+    keys, scratch = list(keys), Scratch(links.sparkSession, "components")
     both = links.unionByName(links.select(*keys, F.col("a").alias("b"), F.col("b").alias("a")))
-    live = materialise(both.where(F.col("a") != F.col("b")).select(*keys, "a", "b").distinct(), "links")
-    labels = nodes.select(*keys, "node", F.col("node").alias("root"))
+    live = scratch.write(both.where(F.col("a") != F.col("b")).select(*keys, "a", "b").distinct(), "links0")
+    jumps: list[DataFrame] = []
     while not live.isEmpty():
+        k = len(jumps)
         up = live.groupBy(*keys, "a").agg(F.min("b").alias("_b")).select(
             *keys, F.col("a").alias("root"), F.least("a", "_b").alias("up"))
         above = up.select(*keys, F.col("root").alias("up"), F.col("up").alias("_top"))
-        jump = materialise(up.join(above, [*keys, "up"], "left").select(
-            *keys, "root", F.coalesce("_top", "up").alias("top")), "jumps")
-        # Few rounds are needed, so the nodes' own chain of joins is left to run once, at the end.
-        labels = labels.join(jump, [*keys, "root"], "left").select(
-            *keys, "node", F.coalesce("top", "root").alias("root"))
+        jump = scratch.write(up.join(above, [*keys, "up"], "left").select(
+            *keys, "root", F.coalesce("_top", "up").alias("top")), f"jumps{k}")
+        jumps.append(jump)
         left = jump.select(*keys, F.col("root").alias("a"), F.col("top").alias("_ta"))
         right = jump.select(*keys, F.col("root").alias("b"), F.col("top").alias("_tb"))
         moved = live.join(left, [*keys, "a"]).join(right, [*keys, "b"])
-        live = materialise(moved.where(F.col("_ta") != F.col("_tb")).select(
-            *keys, F.col("_ta").alias("a"), F.col("_tb").alias("b")).distinct(), "links")
-    return labels
+        live = scratch.write(moved.where(F.col("_ta") != F.col("_tb")).select(
+            *keys, F.col("_ta").alias("a"), F.col("_tb").alias("b")).distinct(), f"links{k + 1}")
+        scratch.drop(f"links{k}")
+    if not jumps:
+        return nodes.select(*keys, "node", F.col("node").alias("root"))
+    # Composed from the last: each round's jumps, which are fewer from round to round, are joined once, and the nodes once.
+    composed = jumps[-1]
+    for jump in reversed(jumps[:-1]):
+        further = composed.select(*keys, F.col("root").alias("top"), F.col("top").alias("_further"))
+        composed = jump.join(further, [*keys, "top"], "left").select(*keys, "root", F.coalesce("_further", "top").alias("top"))
+    own = composed.withColumnRenamed("root", "node")
+    return nodes.join(own, [*keys, "node"], "left").select(*keys, "node", F.coalesce("top", "node").alias("root"))
 
 
 def district_components(assignments: DataFrame, edges: DataFrame, keys: Sequence[str] = PLAN) -> DataFrame:

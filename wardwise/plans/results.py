@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardwise.functions import ifelse, indicator, try_div
-from wardwise.operators.frames import attach_districts, district_sums, truth_columns, unique_id
+from wardwise.operators.frames import attach_districts, district_sums, precinct_stats, truth_columns, unique_id
 from wardwise.operators.inference import summarise_draws
 from wardwise.operators.regression import add_regression
 from wardwise.operators.rpv import correctness_columns, residual_columns, rpv_agreement, rpv_flag
@@ -93,20 +93,26 @@ CARRIED = [
 ]
 
 
-def precinct_metrics(rows: DataFrame) -> DataFrame:
-    """True and predicted shares, flags and errors of each precinct in its district."""
+def precinct_truth(rows: DataFrame) -> DataFrame:
+    """True shares and flag of each precinct: what depends on the precinct alone, whatever the plan."""
     out = rows.withColumns({
         "true_minority_dem_share_precinct": try_div("dem_votes_minority", "n_minority"),
         "true_majority_dem_share_precinct": try_div("dem_votes_majority", "n_majority"),
         "true_overall_dem_share_precinct": try_div("dem_votes", "population"),
-        **{f"{m}_pred_{g}_share_precinct": F.col(f"{m}_{g}_dem_share")
-           for m in ("er", "ei") for g in ("minority", "majority")},
         "prop_minority_precinct": try_div("n_minority", "population"),
         "prop_dem_precinct": try_div("dem_votes", F.col("dem_votes") + F.col("rep_votes")),
+    })
+    return out.withColumn("true_rpv_precinct", rpv_flag("true_minority_dem_share_precinct", "true_majority_dem_share_precinct"))
+
+
+def precinct_predictions(rows: DataFrame) -> DataFrame:
+    """Predicted shares, flags and errors of each precinct in its district, beside ``precinct_truth``."""
+    out = rows.withColumns({
+        **{f"{m}_pred_{g}_share_precinct": F.col(f"{m}_{g}_dem_share")
+           for m in ("er", "ei") for g in ("minority", "majority")},
         "unique_id": unique_id("map_id", "district_id", "precinct_id", "seg_level", "redist_level"),
     })
     out = out.withColumns({
-        "true_rpv_precinct": rpv_flag("true_minority_dem_share_precinct", "true_majority_dem_share_precinct"),
         **{f"{m}_rpv_precinct": rpv_flag(f"{m}_pred_minority_share_precinct", f"{m}_pred_majority_share_precinct")
            for m in ("er", "ei")},
         **{f"{m}_{g}_error_precinct": F.abs(
@@ -118,14 +124,27 @@ def precinct_metrics(rows: DataFrame) -> DataFrame:
     })
 
 
+def precinct_metrics(rows: DataFrame) -> DataFrame:
+    """True and predicted shares, flags and errors of each precinct in its district."""
+    return precinct_predictions(precinct_truth(rows))
+
+
 def precinct_results(units: DataFrame, results: DataFrame) -> DataFrame:
-    """Metrics and wasted votes of every precinct of every plan that has results."""
+    """Metrics and wasted votes of every precinct of every plan that has results, from joined rows."""
     plans = results.select("map_id", "seg_level").distinct()
     kept = units.join(plans, ["map_id", "seg_level"], "left_semi")
     joined = attach_districts(kept, results, CARRIED)
     return surplus_losing_precincts(precinct_metrics(joined))
 
 
+def plan_precinct_results(assignments: DataFrame, precincts: DataFrame, results: DataFrame) -> DataFrame:
+    """``precinct_results`` from plan rows and precincts: shares, flags and wasted votes of a precinct are computed once, and joined to its plans."""
+    prepared = surplus_losing_precincts(precinct_truth(precincts))
+    plans = results.select("map_id", "seg_level").distinct()
+    kept = assignments.join(plans, ["map_id", "seg_level"], "left_semi")
+    return precinct_predictions(attach_districts(precinct_stats(kept, prepared), results, CARRIED))
+
+
 def plan_seat_counts(rows: DataFrame) -> DataFrame:
     """Districts won and majority-minority districts per plan, from precinct rows."""
     flags = {"n_dem_seats": F.col("prop_dem") > 0.5, "n_rep_seats": F.col("prop_dem") <= 0.5, "n_maj_min": F.col("prop_minority") > 0.5}
