@@ -320,3 +320,24 @@ def test_pipeline_on_odd_rows(spark, odd, labels, tmp_path):
     left = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
     assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "3", "4", "6", "7", "None"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_secrets_in_escaped_streams_and_deep_nesting():
+    """Compressed streams written as percent or hex escapes, and escapes nested thousands deep without a layer kept for each."""
+    import tracemalloc
+    from urllib.parse import quote
+
+    secret = "password = abcdefghijkl12345 and more words"
+    for raw in (gzip.compress(secret.encode()), zlib.compress(secret.encode()), lzma.compress(secret.encode())):
+        every = "".join(f"%{b:02X}" for b in raw), "".join(f"\\x{b:02x}" for b in raw), quote(raw)
+        for text in every:
+            spans, _ = secrets.find_secrets(f"see {text} end")
+            # xz stores short texts as they are, so decoding the escapes alone shows the secret in place, too.
+            assert {(s["kind"], s["base"]) for s in spans if s["kind"] == "assign"} == {("assign", False)}, text
+    nested = "%" + "25" * 800 + "70assword=abcdefghijkl12345"
+    tracemalloc.start()
+    spans, layers = secrets.find_secrets(nested)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert layers > 800 and peak < 2 << 20
+    assert any(s["kind"] == "assign" and s["start"] == 0 and not s["base"] for s in spans)

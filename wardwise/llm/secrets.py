@@ -26,6 +26,8 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+# Bytes written as escapes, with printable ones left as they are.
+ESCAPED = (("%", re.compile(r"x?%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[!#-$&-~])*"), "url"), ("\\x", re.compile(r"x?\\x[0-9A-Fa-f]{2}(?:\\x[0-9A-Fa-f]{2}|[!#-\[\]-~])*"), "unicode"))
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/]{16,})*(\r?\n[A-Za-z0-9+/]+)?={0,2}")
 URLSAFE = str.maketrans("-_", "+/")
 #: Compressed streams are inflated in pieces of at most this many bytes.
@@ -36,6 +38,8 @@ OVERLAP = 1 << 16
 #: Bytes that no encoding spans: a window ends after one, or after four NULs (single ones are within UTF-16).
 BREAK = np.ones(256, dtype=bool)
 BREAK[[0x00, 0x0A, 0x0D, *range(0x21, 0x7F)]] = False
+#: Steps in a row that a path spells out.
+LONG = 8
 FOUND = "array<struct<kind:string,start:int,end:int,base:boolean,path:string>>"
 
 
@@ -50,10 +54,22 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return out + [(2, m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def _longer(path: tuple, step: str) -> tuple:
+    """A decoding path with one more step: steps with how often each is taken in a row, so that deep nesting has a short path."""
+    if path and path[-1][0] == step:
+        return (*path[:-1], (step, path[-1][1] + 1))
+    return (*path, (step, 1))
+
+
+def _written(path: tuple) -> str:
+    """The steps one after another; a step taken over LONG times in a row once, with its number."""
+    return "/".join("/".join([step] * n) if n <= LONG else f"{step}*{n}" for step, n in path)
+
+
 class Layer:
     """Decoded text, and for each of its characters where it begins and ends in the original."""
 
-    def __init__(self, text: str, begin: np.ndarray | None, end: np.ndarray | None, path: tuple[str, ...]):
+    def __init__(self, text: str, begin: np.ndarray | None, end: np.ndarray | None, path: tuple):
         self.text, self.begin, self.end, self.path = text, begin, end, path
 
     def place(self, a: int, b: int) -> tuple[int, int]:
@@ -89,7 +105,7 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, step: str) -> Layer | N
     texts.append(layer.text[last:])
     begins.append(begin[last:])
     ends.append(end[last:])
-    return Layer("".join(texts), np.concatenate(begins), np.concatenate(ends), (*layer.path, step))
+    return Layer("".join(texts), np.concatenate(begins), np.concatenate(ends), _longer(layer.path, step))
 
 
 def _percent(m: re.Match):
@@ -263,20 +279,20 @@ def _unbase64(layer: Layer, m: re.Match):
         except (binascii.Error, ValueError):
             raw = b""
         if raw:
-            yield from _from_bytes(layer, raw, a, b)
+            yield from _from_bytes(layer, raw, a, b, "base64")
         if not raw or not (_stream(raw) or _plain(raw)):
             if m[1]:
                 pieces.append((m.start(), m.start(1)))
             pieces += [(a + p.start(), a + p.end()) for p in re.finditer(r"[A-Za-z0-9+=\s]{16,}", layer.text[a:b]) if p.end() - p.start() < b - a]
 
 
-def _from_bytes(layer: Layer, raw: bytes, a: int, b: int):
+def _from_bytes(layer: Layer, raw: bytes, a: int, b: int, step: str):
     """Layers of decoded bytes: at their places as they are, at the place of the whole run what compressed streams in them hold."""
     begin, end = layer.maps()
-    path = (*layer.path, "base64")
+    path = _longer(layer.path, step)
     low, high = begin[a:b].min(), end[a:b].max()
 
-    def whole(text: str, path: tuple[str, ...]) -> Layer:
+    def whole(text: str, path: tuple) -> Layer:
         return Layer(text, np.broadcast_to(low, len(text)), np.broadcast_to(high, len(text)), path)
 
     if not _stream(raw):
@@ -302,22 +318,48 @@ def _from_bytes(layer: Layer, raw: bytes, a: int, b: int):
         if _decompressor(start) is None or mark in seen:  # a stream that holds itself
             break
         seen.add(mark)
-        pieces, path = _inflated(itertools.chain(_cut(start), pieces)), (*path, "inflate")
+        pieces, path = _inflated(itertools.chain(_cut(start), pieces)), _longer(path, "inflate")
     for window in _windows(itertools.chain([start], pieces)):
         for text in _texts(window):
             yield whole(text, path)
 
 
-def _inner(layer: Layer):
-    """The layers that one step of decoding gives."""
-    if "%" in layer.text:
-        yield _replaced(layer, PERCENT, _percent, "url")
-    if "\\" in layer.text or "&#" in layer.text:
-        yield _replaced(layer, ESCAPE, _escape, "unicode")
+def _escaped_streams(layer: Layer):
+    """What compressed streams hold that are written as runs of percent or hex escapes."""
+    for mark, pattern, step in ESCAPED:
+        if mark not in layer.text:
+            continue
+        for m in pattern.finditer(layer.text):
+            raw = re.sub(re.escape(mark).encode() + rb"([0-9A-Fa-f]{2})", lambda h: bytes.fromhex(h[1].decode()), m[0].encode())
+            # A zlib stream begins with an x, which may be written as it is, or belong to the word before another stream.
+            for skip in (0, 1) if raw[:1] == b"x" else (0,):
+                if _stream(raw[skip:]):
+                    yield from _from_bytes(layer, raw[skip:], m.start() + skip, m.end(), step)
+
+
+def _runs(layer: Layer):
+    """Layers of encoded runs within a layer."""
+    yield from _escaped_streams(layer)
     for m in BASE64.finditer(layer.text):
         yield from _unbase64(layer, m)
 
 
+def _whole(layer: Layer) -> list[Layer]:
+    """The layer with all escapes of one sort decoded in place."""
+    out = []
+    if "%" in layer.text:
+        out.append(_replaced(layer, PERCENT, _percent, "url"))
+    if "\\" in layer.text or "&#" in layer.text:
+        out.append(_replaced(layer, ESCAPE, _escape, "unicode"))
+    return [x for x in out if x]
+
+
+def _taken(layers: list[Layer]):
+    """The layers one by one, each let go of when it is handed on."""
+    while layers:
+        yield layers.pop(0)
+
+
 def find_secrets(text: str) -> tuple[list[dict], int]:
     """All spans with the decoding path of each, and the number of layers read."""
     work, seen, spans, layers = [iter([Layer(text, None, None, ())])], set(), {}, 0
@@ -334,9 +376,12 @@ def find_secrets(text: str) -> tuple[list[dict], int]:
         layers += 1
         for kind, a, b in scan(layer.text):
             spans.setdefault((*layer.place(a, b), kind), layer.path)
-        work.append(_inner(layer))
+        # The runs first: when they have been read, the layer is let go, and layers decoded as a whole do not pile up however deep they are nested.
+        work.append(_taken(_whole(layer)))
+        work.append(_runs(layer))
+        del layer
     ordered = sorted(spans, key=lambda s: (s[0], s[2], s[1]))
-    return [{"kind": KINDS[k], "start": a, "end": b, "base": not spans[(a, b, k)], "path": "/".join(spans[(a, b, k)])} for a, b, k in ordered], layers
+    return [{"kind": KINDS[k], "start": a, "end": b, "base": not spans[(a, b, k)], "path": _written(spans[(a, b, k)])} for a, b, k in ordered], layers
 
 
 def _rows(batches):
