@@ -9,8 +9,8 @@ from wardwise.catalog.registry import R, query, rounded, rs, view
 from wardwise.operators import inference, regression
 from wardwise.schemas import DISTRICT
 
-#: Where the compared fits stop: most districts come to rest within so many rounds, the others must be told as not converged.
-TOLERANCE, ROUNDS = 1e-5, 60
+#: Where the compared fits stop, so that the SQL ends soon: some districts have come to rest by then, the others must be told as not converged.
+TOLERANCE, ROUNDS = 1e-3, 8
 SHARES = ["true_minority_dem_share", "true_majority_dem_share"]
 
 
