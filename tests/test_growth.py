@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from wardwise.operators import sampling
+from wardwise import catalog
+from wardwise import fixtures as fx
+from wardwise.operators import inference, sampling
 
 
 def test_bootstrap_places_each_value_of_the_noise_once(spark, monkeypatch):
@@ -22,3 +24,30 @@ def test_bootstrap_places_each_value_of_the_noise_once(spark, monkeypatch):
     assert len(got) == 120 and sum(placed) <= 101 + 120
     monkeypatch.setattr(sampling, "REPEATS", 10**9)
     assert run() == got
+
+
+def test_no_stored_input_holds_draws_or_wide_plan_rows(spark, sf_dir, monkeypatch):
+    """What the reports read is stored as plan rows of few columns at most: draws and precinct rows are made where they are used."""
+    written, write = {}, fx.materialise
+
+    def recording(df, name):
+        out = write(df, name)
+        written[name] = (out.count(), len(out.columns))
+        return out
+
+    monkeypatch.setattr(fx, "_stored", {})
+    monkeypatch.setattr(fx, "materialise", recording)
+    catalog.load()
+    for name in ("d09_inference_from_draws", "a23_plans_per_scenario", "a24_null_audit"):
+        assert catalog.QUERIES[name](spark, sf_dir).count() > 0
+    rows = fx.N_PLANS * written["precincts"][0]
+    assert written["assignments"] == (rows, 5)
+    assert max(n for n, _ in written.values()) == rows and all(width == 5 for n, width in written.values() if n == rows)
+
+
+def test_draws_with_group_sizes_are_not_joined_again(spark):
+    draws = spark.range(60).selectExpr("id % 4 AS district_id", "id % 12 AS precinct_id", "id div 12 AS draw", "id / 60 AS beta_min", "1 - id / 60 AS beta_maj")
+    precincts = spark.range(12).selectExpr("id AS precinct_id", "id + 1 AS n_minority", "20 - id AS n_majority")
+    sized = draws.join(precincts, "precinct_id")
+    run = lambda d, p: sorted(map(tuple, inference.district_draws(d, p, ["district_id"]).collect()))
+    assert run(sized, precincts.limit(0)) == run(draws, precincts) != []

@@ -25,8 +25,8 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def precinct_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.stored(spark, sf, "precinct_rows", lambda: res.precinct_results(
-        units(spark, sf), unlabelled(spark, sf)))
+    """Not stored, so that a query makes only the columns that it reads."""
+    return res.plan_precinct_results(fx.assignments(spark, sf), fx.precincts(spark, sf), unlabelled(spark, sf))
 
 
 def unlabelled(spark: SparkSession, sf: str) -> DataFrame:

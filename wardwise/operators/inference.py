@@ -20,8 +20,12 @@ MAX_CORRELATION = 0.99
 
 
 def district_draws(draws: DataFrame, precincts: DataFrame, keys: Sequence[str] = DISTRICT) -> DataFrame:
-    """District rate of each group per draw: precinct rates weighted by group size."""
-    sized = draws.join(precincts.select("precinct_id", "n_minority", "n_majority"), "precinct_id")
+    """District rate of each group per draw: precinct rates weighted by group size.
+
+    Draws that carry the group sizes already are not joined: a plan row has many draws, and its sizes are cheaper to join before.
+    """
+    sizes = ["n_minority", "n_majority"]
+    sized = draws if set(sizes) <= set(draws.columns) else draws.join(precincts.select("precinct_id", *sizes), "precinct_id")
     return sized.groupBy(*keys, "draw").agg(
         try_div(F.sum(F.col("beta_min") * F.col("n_minority")), F.sum("n_minority")).alias("minority_rate"),
         try_div(F.sum(F.col("beta_maj") * F.col("n_majority")), F.sum("n_majority")).alias("majority_rate"),
