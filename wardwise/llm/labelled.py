@@ -1,4 +1,4 @@
-"""Labels for the classifiers: a bounded sample of them, and the rows they belong to."""
+"""Labels for the classifiers: all of them or a bounded sample, and the rows they belong to."""
 
 from __future__ import annotations
 
@@ -17,18 +17,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 0, F.lit(False))
 
 
-def sample(labels: DataFrame, column: str, per_class: int) -> DataFrame:
-    """(doc_id, label, fold): at most ``per_class`` labelled rows of each class that are not held out.
+def taught(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label, fold): every labelled row that is not held out.
 
-    The rows of the smallest hash are taken. NULL ids and labels are left out; of repeated labels the smallest counts.
+    NULL ids and labels are left out; of repeated labels the smallest counts.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).dropna()
     own = own.where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
-    own = own.withColumn("fold", fold(F.col("doc_id")).cast("int")).where("fold <> 0")
+    return own.withColumn("fold", fold(F.col("doc_id")).cast("int")).where("fold <> 0")
+
+
+def sample(labels: DataFrame, column: str, per_class: int) -> DataFrame:
+    """At most ``per_class`` rows of each class of ``taught``, those of the smallest hash."""
+    own = taught(labels, column)
     take = lambda c: own.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     return take(0).union(take(1))
 
 
+def taught_rows(docs: DataFrame, own: DataFrame, folds: list[int]) -> DataFrame:
+    """doc_id, text and label of all labelled rows of some folds. No hint: labels may be as many as documents."""
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    mine = own.where(F.col("fold").isin(folds)).select("doc_id", "label")
+    return columns.where(fold(F.col("doc_id")).isin(folds)).join(mine, "doc_id")
+
+
 def labelled_rows(docs: DataFrame, picked: DataFrame) -> DataFrame:
     """doc_id, text, label and fold of the picked rows. The picked ids are few by construction, so they go to every task."""
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from wardwise.llm import tokens
 from wardwise.llm.common import Steps, without
-from wardwise.llm.labelled import held_out, labelled_rows, sample
+from wardwise.llm.labelled import held_out, taught, taught_rows
 
-#: Labelled rows of each class that teach the models.
-PER_CLASS = 6_000
+#: The models know at most so many words one by one, those of the most contexts; the others are counted by so many bits of their hash.
+WORDS, BITS = 2**18, 18
 DISCOUNT = 0.75
 #: Lengths of the windows whose most toxic one counts.
 WINDOWS = (1, 4, 12)
@@ -31,6 +31,11 @@ def _words(run: tokens.Run) -> tuple[np.ndarray, np.ndarray]:
     return run.word_hashes(begin, end, fold=tokens.LOWER), of
 
 
+def bucket(h: np.ndarray) -> np.ndarray:
+    """The part of a word's hash by which the models know it when it is not one of the WORDS."""
+    return tokens.mix(h) >> np.uint64(64 - BITS)
+
+
 def _before(h: np.ndarray, of: np.ndarray) -> np.ndarray:
     """The word before each word, 0 at the start of a text."""
     v = np.zeros_like(h)
@@ -39,7 +44,7 @@ def _before(h: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def _contexts(batches):
-    """Different (word before, word) pairs of labelled texts, for each class and run."""
+    """Different (word before, word) pairs of labelled texts, for each class and run; 32 bits tell a word's contexts apart."""
     with np.errstate(over="ignore"):
         for batch in batches:
             toxic = batch.column(0).to_numpy(zero_copy_only=False) == 1
@@ -49,7 +54,7 @@ def _contexts(batches):
                 pair = tokens.mix(v * np.uint64(0x9E3779B97F4A7C15) + h) ^ mine
                 _, at = np.unique(pair, return_index=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v[at].view(np.int64)), pa.array(h[at].view(np.int64)), pa.array(mine[at])], names=["v", "h", "toxic"]
+                    [pa.array((v[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(h[at].view(np.int64)), pa.array(mine[at])], names=["v", "h", "toxic"]
                 )
 
 
@@ -109,16 +114,29 @@ class Models:
     A class's probability of a word is the discounted share of its different contexts, and what the discount frees goes to
     the backoff that both classes share. ``shared`` holds the words' contexts in all documents, ``of_all`` the sum and the number of
     those of every word there. A word of neither class has one ratio whatever its backoff, so only words of the classes are kept.
+    Words not among ``words`` have the ratio of their ``bucket``, that of the mean of its words (``buckets``, with sums of contexts by class, numbers of
+    words of each class, and of words in ``tail``).
     """
 
-    def __init__(self, words: np.ndarray, contexts: np.ndarray, totals: np.ndarray, shared: np.ndarray, of_all: tuple[float, int]):
+    def __init__(self, words: np.ndarray, contexts: np.ndarray, totals: np.ndarray, shared: np.ndarray, of_all: tuple[float, int],
+                 buckets: np.ndarray, tail: np.ndarray, tail_shared: np.ndarray):
         self.words = words
         totals = np.maximum(totals.astype(float), 1)
-        high = np.maximum(contexts - DISCOUNT, 0)
-        free = np.maximum(1 - high.sum(0) / totals, 1e-6)
-        rare = (shared + 1) / (of_all[0] + of_all[1] + 1)
-        p = high / totals + free * rare[:, None]
-        self.ratio = np.append(np.log(p[:, 1]) - np.log(p[:, 0]), np.log(free[1]) - np.log(free[0]))  # the last for all other words
+        # What the discount frees: DISCOUNT for every word of a class, in a bucket as many times as it has such words.
+        head, rare_words = np.maximum(contexts - DISCOUNT, 0), np.maximum(tail[:, :2] - DISCOUNT * tail[:, 2:4], 0)
+        free = np.maximum(1 - (head.sum(0) + rare_words.sum(0)) / totals, 1e-6)
+        rare = lambda n: ((n + 1) / (of_all[0] + of_all[1] + 1))[:, None]
+        ratio = lambda p: np.log(p[:, 1]) - np.log(p[:, 0])
+        self.ratio = ratio(head / totals + free * rare(shared))
+        self.tail = np.full(1 << BITS if len(buckets) else 0, np.log(free[1]) - np.log(free[0]))
+        self.tail[buckets] = ratio(rare_words / totals / tail[:, 4:] + free * rare(tail_shared))
+        self.other = np.log(free[1]) - np.log(free[0])  # of a word of neither class
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The ratios of words."""
+        at = _find(self.words, h)
+        others = self.tail[bucket(h).view(np.int64)] if len(self.tail) else self.other
+        return np.where(at >= 0, self.ratio[at], others) if len(self.ratio) else np.zeros(len(h)) + others
 
     def features(self, run: tokens.Run) -> np.ndarray:
         """Per text: length-normalised log-likelihood ratio of the whole and of its most toxic windows, and log length."""
@@ -127,7 +145,7 @@ class Models:
         n = np.bincount(of, minlength=n_texts)
         out = np.zeros((n_texts, SHAPE))
         if len(h):
-            total = np.concatenate([[0], np.cumsum(self.ratio[_find(self.words, h)])])
+            total = np.concatenate([[0], np.cumsum(self.of(h))])
             first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
             last = np.append(first[1:], len(h))
             out[of[first], 0] = (total[last] - total[first]) / (last - first)
@@ -140,31 +158,70 @@ class Models:
 
 
 def train_models(docs: DataFrame, lessons: DataFrame) -> Models:
-    """Contexts of every word of the labelled texts by class, joined to the backoff table, which counts every word of all documents."""
+    """Contexts of every word of all labelled texts by class, joined to the backoff table, which counts every word of all documents."""
     spark = docs.sparkSession
     steps = Steps(spark, "toxicity")
     texts = docs.select(F.col("text").cast("string").alias("text"))
     backoff = steps.write(context_counts(texts.mapInArrow(_continuations(), "i long, level int, map long")), "backoff")
     of_all = backoff.agg(F.sum("n"), F.count("*")).first()
-    pairs = lessons.select("label", "text").mapInArrow(_contexts, "v long, h long, toxic boolean").distinct()
+    pairs = lessons.select("label", "text").mapInArrow(_contexts, "v int, h long, toxic boolean").distinct()
     count = lambda flag: F.count_if(F.col("toxic") == flag)
     counts = pairs.groupBy("h").agg(count(False).alias("n0"), count(True).alias("n1"))
     joined = counts.join(backoff.withColumnRenamed("i", "h"), "h", "left").select("h", "n0", "n1", F.coalesce("n", F.lit(0.0)).alias("n"))
-    words = steps.write(joined, "words").toPandas()
+    every = steps.write(joined, "words")
+    # The least number of contexts at which no more than WORDS words remain.
+    least, kept = 1, 0
+    sizes = every.groupBy(F.least(F.col("n0") + F.col("n1"), F.lit(WORDS)).alias("c")).agg(F.count("*").alias("k")).orderBy(F.desc("c"))
+    for r in sizes.collect():  # different numbers of contexts
+        if kept + r.k > WORDS:
+            least = r.c + 1
+            break
+        kept += r.k
+    totals = every.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
+    words = every.where(F.col("n0") + F.col("n1") >= least).toPandas()  # WORDS rows at most
+    rare = every.where(F.col("n0") + F.col("n1") < least).mapInArrow(_buckets, "b int, n0 long, n1 long, n double")
+    some = lambda c: F.count_if(F.col(c) > 0).alias(f"w_{c}")
+    tail = rare.groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), some("n0"), some("n1"), F.count("*").alias("k"), F.avg("n").alias("n")).toPandas()  # 2^BITS rows at most
     steps.drop("backoff", "words")
     keys = words["h"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
     contexts = words[["n0", "n1"]].to_numpy(dtype=np.int64)[order]
-    return Models(keys[order], contexts, contexts.sum(0), words["n"].to_numpy(dtype=float)[order], (of_all[0] or 0.0, of_all[1]))
+    counts = tail[["n0", "n1", "w_n0", "w_n1", "k"]].to_numpy(dtype=float)
+    return Models(keys[order], contexts, np.array(totals, dtype=np.int64), words["n"].to_numpy(dtype=float)[order], (of_all[0] or 0.0, of_all[1]),
+                  tail["b"].to_numpy(dtype=np.int64), counts, tail["n"].to_numpy(dtype=float))
+
+
+def _buckets(batches):
+    for batch in batches:
+        b = bucket(batch.column(0).to_numpy().view(np.uint64)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(b), *batch.columns[1:]], names=["b", "n0", "n1", "n"])
+
+
+def _newton_sums(b: np.ndarray):
+    """Gradient and curvature of the logistic loss at ``b``, one row of sums a batch."""
+
+    def sums(batches):
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            x = np.asarray(batch.column(1).flatten()).reshape(len(y), SHAPE)
+            z = np.hstack([x, np.ones((len(y), 1))])
+            p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+            row = np.concatenate([z.T @ (p - y), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(row), dtype=np.int32)), pa.array(row)], names=["k", "s"])
+
+    return sums
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights by Newton's method with a small ridge, both classes weighted as they come."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    b = np.zeros(z.shape[1])
+def _fit(rows: DataFrame) -> np.ndarray:
+    """Logistic weights by Newton's method with a small ridge, both classes weighted as they come: one sum over the rows (label, x) a round."""
+    b = np.zeros(SHAPE + 1)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        b -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(len(b)), z.T @ (p - y) + 1e-3 * b)
+        sums = {r.k: r.s for r in rows.mapInArrow(_newton_sums(b), "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
+        flat = np.array([sums[k] for k in range(len(b) * (len(b) + 1))])
+        step = np.linalg.solve(flat[len(b):].reshape(len(b), len(b)) + 1e-3 * np.eye(len(b)), flat[: len(b)] + 1e-3 * b)
+        b = b - step
+        if np.abs(step).max() < 1e-10:
+            break
     return b
 
 
@@ -179,34 +236,35 @@ def _feature_rows(shared):
     return rows
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The columns of ``docs`` but text, with held_out, score (0 to 1, higher: more toxic), predicted and ratio.
 
     The toxic and the ordinary model are Kneser-Ney continuation models: a word counts by its different contexts in the class's
     labelled texts, and what the discount frees goes to one backoff that both share, the words' contexts in all documents. ``ratio`` is the
     difference of the two log-likelihoods per word; the score is a logistic function of it, of the ratios of the most toxic
-    windows of WINDOWS words, and of the log length. At most ``per_class`` labelled rows of each class teach, none of them held out: three folds
-    the models, the fourth the logistic function. A pair order above the continuation model is left out: pairs of the sample are
+    windows of WINDOWS words, and of the log length. All labelled rows that are not held out teach: three folds
+    the models, the fourth the logistic function. A pair order above the continuation model is left out: pairs are
     so sparse that it lowered the held-out area under the curve (README).
     NULL and empty texts have ratio 0; repeated rows get equal scores; without labels of both classes the score is their smoothed share.
     """
     docs = without(docs, "held_out", "score", "predicted", "ratio")
     spark = docs.sparkSession
-    picked = sample(labels, "toxic", per_class)
-    own = labelled_rows(docs, picked)
-    models = spark.sparkContext.broadcast(train_models(docs, own.where("fold <> 4")))
-    check = own.where("fold = 4").select(F.struct("doc_id", "label").alias("row"), "text")
+    own = taught(labels, "toxic")
+    models = spark.sparkContext.broadcast(train_models(docs, taught_rows(docs, own, [1, 2, 3])))
+    steps = Steps(spark, "toxicity-fit")
+    check = taught_rows(docs, own, [4]).select(F.struct("doc_id", "label").alias("row"), "text")
     rows = check.mapInArrow(_feature_rows(models), "row struct<doc_id:long,label:int>, x array<double>").select("row.*", "x")
-    rows = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-    x, y = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), SHAPE), rows["label"].to_numpy(dtype=float)
+    rows = steps.write(rows.dropDuplicates(["doc_id"]).select("label", "x"), "rows")
+    n, n_yes = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     shares = {r["label"]: r["n"] for r in labels.where(~held_out(F.col("doc_id"))).groupBy(F.col("toxic").alias("label")).agg(F.count("*").alias("n")).collect()}
     yes, no = shares.get(1, 0), shares.get(0, 0)
-    if len(y) and 0 < y.sum() < len(y):
-        weights = _fit(x, y)
-        weights[-1] += np.log(yes / no) - np.log(y.sum() / (len(y) - y.sum()))  # from the sample's shares to the labels'
+    if 0 < n_yes < n:
+        weights = _fit(rows)
+        weights[-1] += np.log(yes / no) - np.log(n_yes / (n - n_yes))  # from the fold's shares to the labels'
     else:
         weights = np.zeros(SHAPE + 1)
         weights[-1] = np.log((yes + 1) / (no + 1))
+    steps.drop("rows")
     names = [c for c in docs.columns if c != "text"]
     columns = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
     out = columns.mapInArrow(_feature_rows(models), columns.select("row", F.array(F.lit(0.0)).alias("x")).schema)
