@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from wardwise import catalog
 from wardwise import fixtures as fx
-from wardwise.operators import inference, sampling
+from wardwise.catalog import base
+from wardwise.operators import inference, ordered, sampling
+from wardwise.plans import results
 
 
 def test_bootstrap_places_each_value_of_the_noise_once(spark, monkeypatch):
@@ -51,3 +53,61 @@ def test_draws_with_group_sizes_are_not_joined_again(spark):
     sized = draws.join(precincts, "precinct_id")
     run = lambda d, p: sorted(map(tuple, inference.district_draws(d, p, ["district_id"]).collect()))
     assert run(sized, precincts.limit(0)) == run(draws, precincts) != []
+
+
+def test_dealing_by_score_sorts_only_the_bins_that_a_bucket_ends_in(spark, monkeypatch):
+    """The same buckets as with_ntile, whatever the scores: NULL, NaN, beyond the bounds, or a third of them equal."""
+    i = F.col("id")
+    odd = F.when(i % 100 == 7, None).when(i % 100 == 8, F.lit(float("nan"))).when(i % 100 == 9, F.lit(-3.0)).when(i % 100 == 10, F.lit(float("inf")))
+    score = odd.when(i % 3 == 0, F.lit(0.25)).otherwise(F.pmod(i * 7919, F.lit(9973)) / 9973.0)
+    df = spark.range(12000).select("id", F.when(i % 5 == 0, None).otherwise(i % 2).alias("k"), score.alias("x"))
+    sorted_rows, cut = [], ordered.cut_into_slices
+
+    def counting(rows, order_by, keys=()):
+        out = cut(rows, order_by, keys)
+        sorted_rows.append(out.count())
+        return out
+
+    bag = lambda d: sorted(d.select("id", "t").collect())
+    for n, keys in ((1, []), (14, []), (14, ["k"]), (20000, ["k"])):
+        assert bag(ordered.deal_by_score(df, "x", "id", n, "t", keys)) == bag(ordered.with_ntile(df, ["x", "id"], n, "t", keys))
+    even = df.withColumn("x", F.pmod(i * 7919, F.lit(9973)) / 9973.0)
+    monkeypatch.setattr(ordered, "cut_into_slices", counting)
+    got = bag(ordered.deal_by_score(even, "x", "id", 14, "t", ["k"]))
+    assert sum(sorted_rows) < 1000
+    monkeypatch.undo()
+    assert got == bag(ordered.with_ntile(even, ["x", "id"], 14, "t", ["k"]))
+
+
+def test_plans_are_dealt_without_sorting_all_rows(spark, sf_dir, monkeypatch):
+    sorted_rows, cut = [], ordered.cut_into_slices
+
+    def counting(rows, order_by, keys=()):
+        out = cut(rows, order_by, keys)
+        sorted_rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(fx, "_stored", {})
+    monkeypatch.setattr(ordered, "cut_into_slices", counting)
+    rows = fx.assignments(spark, sf_dir).count()
+    assert rows == fx.N_PLANS * fx.precincts(spark, sf_dir).count() and sum(sorted_rows) < rows / 4
+
+
+def test_peer_ranks_reads_its_input_once(spark):
+    """Group totals come with the running sums; the input is not read again for them."""
+    df = spark.range(500).select((F.col("id") % 7).alias("k"), (F.col("id") % 13).alias("x"))
+    for keys in ([], ["k"]):
+        assert "Range (" not in ordered.peer_ranks(df, "x", keys)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_draws_beside_each_other_give_the_rates_of_draws_in_rows(spark, sf_dir):
+    """One row per plan row carries all its draws, and no row is made for a draw before the sums."""
+    precincts = fx.precincts(spark, sf_dir)
+    beside = inference.district_draws(fx.draw_columns(spark, sf_dir), precincts)
+    got, want = ({(r.map_id, r.district_id, r.draw): (r.minority_rate, r.majority_rate) for r in d.collect()}
+                 for d in (beside, inference.district_draws(fx.draws(spark, sf_dir), precincts)))
+    assert got.keys() == want.keys() and len(got) == fx.N_PLANS * fx.N_DISTRICTS * fx.N_DRAWS
+    assert all(abs(a - b) < 1e-12 for k in got for a, b in zip(got[k], want[k], strict=True))
+    plan = results.district_results(
+        base.units(spark, sf_dir), fx.draw_columns(spark, sf_dir), precincts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Aggregate" in plan[plan.index("Generate"):]

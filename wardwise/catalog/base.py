@@ -17,7 +17,7 @@ def units(spark: SparkSession, sf: str) -> DataFrame:
 def results_all(spark: SparkSession, sf: str) -> DataFrame:
     """District results before a plan listed twice is reduced to one scenario."""
     return fx.stored(spark, sf, "results_all", lambda: res.district_results(
-        units(spark, sf), fx.draws(spark, sf), fx.precincts(spark, sf), fx.labels(spark, sf)))
+        units(spark, sf), fx.draw_columns(spark, sf), fx.precincts(spark, sf), fx.labels(spark, sf)))
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,7 +32,7 @@ def precinct_rows(spark: SparkSession, sf: str) -> DataFrame:
 def unlabelled(spark: SparkSession, sf: str) -> DataFrame:
     """District results under each plan's own scenario only."""
     return fx.stored(spark, sf, "results_own", lambda: res.district_results(
-        units(spark, sf), fx.draws(spark, sf), fx.precincts(spark, sf)))
+        units(spark, sf), fx.draw_columns(spark, sf), fx.precincts(spark, sf)))
 
 
 DK = "map_id, seg_level, redist_level, district_id"

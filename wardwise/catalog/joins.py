@@ -38,7 +38,7 @@ FROM fx_units u LEFT JOIN fx_er e ON e.map_id = u.map_id AND e.district_id = u.d
 def j03(spark, sf):
     units = base.units(spark, sf)
     er = regression.ecological_regression(units)
-    ei = inference.summarise_draws(fx.draws(spark, sf), fx.precincts(spark, sf))
+    ei = inference.summarise_draws(fx.draw_columns(spark, sf), fx.precincts(spark, sf))
     shares = ["minority_dem_share", "majority_dem_share"]
     rows = frames.attach_districts(units, er, [f"er_{s}" for s in shares])
     rows = frames.attach_districts(rows, ei, [f"ei_{s}" for s in shares])
@@ -50,7 +50,7 @@ SELECT concat_ws('_', map_id, district_id, seg_level, redist_level) AS unique_id
 """)
 def j04(spark, sf):
     er = regression.ecological_regression(base.units(spark, sf))
-    ei = inference.summarise_draws(fx.draws(spark, sf), fx.precincts(spark, sf))
+    ei = inference.summarise_draws(fx.draw_columns(spark, sf), fx.precincts(spark, sf))
     out = er.join(ei, DISTRICT, "left").withColumn("unique_id", frames.unique_id("map_id", "district_id", "seg_level", "redist_level"))
     return rounded(out.select("unique_id", "er_minority_dem_share", "ei_minority_dem_share"))
 
@@ -114,7 +114,7 @@ def j13(spark, sf):
 
 @query("j14_estimate_with_truth", f"SELECT {DK}, {rs('ei_minority_dem_share', 'true_minority_dem_share')} FROM fx_ei JOIN fx_truth USING ({DK})")
 def j14(spark, sf):
-    ei = inference.summarise_draws(fx.draws(spark, sf), fx.precincts(spark, sf))
+    ei = inference.summarise_draws(fx.draw_columns(spark, sf), fx.precincts(spark, sf))
     out = inference.with_truth(ei, frames.district_truth(base.units(spark, sf)))
     return rounded(out.select(*DISTRICT, "ei_minority_dem_share", "true_minority_dem_share"))
 

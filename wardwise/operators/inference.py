@@ -23,13 +23,26 @@ def district_draws(draws: DataFrame, precincts: DataFrame, keys: Sequence[str] =
     """District rate of each group per draw: precinct rates weighted by group size.
 
     Draws that carry the group sizes already are not joined: a plan row has many draws, and its sizes are cheaper to join before.
+    Draws come with one row each (``draw``, ``beta_min``, ``beta_maj``), or with one row per plan row and a pair of columns for each draw
+    (``beta_min_0``, ``beta_maj_0``, ...), which are summed where they are read, without a row for each.
     """
     sizes = ["n_minority", "n_majority"]
     sized = draws if set(sizes) <= set(draws.columns) else draws.join(precincts.select("precinct_id", *sizes), "precinct_id")
-    return sized.groupBy(*keys, "draw").agg(
-        try_div(F.sum(F.col("beta_min") * F.col("n_minority")), F.sum("n_minority")).alias("minority_rate"),
-        try_div(F.sum(F.col("beta_maj") * F.col("n_majority")), F.sum("n_majority")).alias("majority_rate"),
+    beside = [int(c.removeprefix("beta_min_")) for c in draws.columns if c.startswith("beta_min_")]
+    weighted = lambda rate, size: F.sum(F.col(rate) * F.col(size))
+    if not beside:
+        return sized.groupBy(*keys, "draw").agg(
+            try_div(weighted("beta_min", "n_minority"), F.sum("n_minority")).alias("minority_rate"),
+            try_div(weighted("beta_maj", "n_majority"), F.sum("n_majority")).alias("majority_rate"),
+        )
+    sums = sized.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in sizes],
+        *[weighted(f"beta_{g}_{k}", f"n_{g}ority").alias(f"_{g}_{k}") for k in beside for g in ("min", "maj")],
     )
+    rates = [F.struct(
+        F.lit(k).cast("bigint").alias("draw"), *[try_div(f"_{g}_{k}", f"n_{g}ority").alias(f"{g}ority_rate") for g in ("min", "maj")],
+    ) for k in beside]
+    return sums.select(*keys, F.inline(F.array(*rates)))
 
 
 def summarise_draws(draws: DataFrame, precincts: DataFrame, keys: Sequence[str] = DISTRICT) -> DataFrame:

@@ -50,14 +50,15 @@ def running(
     maxes: dict[str, str] | None = None,
     row_number: str | None = None,
     count: str | None = None,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Adds running sums, running maxima, a row number and the group size.
 
     ``order_by`` must order rows uniquely within ``keys`` (add the id as the last
-    item). ``sums`` and ``maxes`` map output names to input columns. NULL keys form
-    groups of their own.
+    item). ``sums`` and ``maxes`` map output names to input columns, ``totals`` maps output names to running sums
+    of which it gives the group's last. NULL keys form groups of their own.
     """
-    keys, sums, maxes = list(keys), dict(sums or {}), dict(maxes or {})
+    keys, sums, maxes, whole_sums = list(keys), dict(sums or {}), dict(maxes or {}), dict(totals or {})
     cut = cut_into_slices(df, order_by, keys)
     combine = {o: (F.sum, c) for o, c in sums.items()} | {o: (F.max, c) for o, c in maxes.items()}
 
@@ -74,6 +75,7 @@ def running(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
         F.sum("_n").over(whole).alias("_size"),
         *[f(f"_t_{o}").over(before).alias(f"_s_{o}") for o, (f, _) in combine.items()],
+        *[F.sum(f"_t_{s}").over(whole).alias(f"_w_{o}") for o, s in whole_sums.items()],
     )
     if not keys:
         starts = F.broadcast(starts)  # as many rows as slices
@@ -91,6 +93,7 @@ def running(
         added[row_number] = F.col("_n0") + F.row_number().over(inside).cast("bigint")
     if count:
         added[count] = F.col("_size")
+    added |= {o: F.col(f"_w_{o}") for o in whole_sums}
     return joined.withColumns(added).select(*df.columns, *added)
 
 
@@ -113,6 +116,32 @@ def with_ntile(df: DataFrame, order_by, n: int, name: str, keys: Sequence[str] =
     return ranked.withColumn(name, ntile_of("_rn", "_cnt", n)).drop("_rn", "_cnt")
 
 
+def deal_by_score(
+    df: DataFrame, score: str, id_col: str, n: int, name: str, keys: Sequence[str] = (), lo: float = 0.0, hi: float = 1.0, bins: int = 2048
+) -> DataFrame:
+    """``with_ntile`` by a score and an id, for few keys of many rows: rows are counted by bins of the score, and only bins that a bucket's end cuts are sorted.
+
+    ``lo`` and ``hi`` are where most scores lie: scores beyond, NULL and NaN have end bins of their own. A bin may hold any number of rows.
+    ``df`` is read three times and should be cheap to read.
+    """
+    keys, x = list(keys), F.col(score).cast("double")
+    place = F.floor(F.greatest(F.lit(0.0), F.least((x - lo) * (bins / (hi - lo)), F.lit(bins - 1.0)))).cast("int")
+    binned = df.withColumn("_bin", F.when(x.isNull(), -1).when(F.isnan(x), bins).otherwise(place))
+    counts = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per key and bin.
+    by_bin = Window.partitionBy(*keys).orderBy("_bin")
+    before, whole = by_bin.rowsBetween(Window.unboundedPreceding, -1), by_bin.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = counts.withColumns({"_below": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(whole)})
+    ends = placed.withColumns({"_first": F.col("_below") + 1, "_last": F.col("_below") + F.col("_n")}).withColumns(
+        {"_lowest": ntile_of("_first", "_all", n), "_highest": ntile_of("_last", "_all", n)})
+    bounds = materialise(ends.select(*keys, "_bin", "_below", "_all", "_lowest", (F.col("_lowest") < F.col("_highest")).alias("_cut")), "bounds")
+    whole_bins = join_same(binned, bounds.where(~F.col("_cut")).select(*keys, "_bin", F.col("_lowest").alias(name)), [*keys, "_bin"])
+    cut = join_same(binned, bounds.where("_cut").select(*keys, "_bin", "_below", "_all"), [*keys, "_bin"])
+    ranked = running(cut, [score, id_col], [*keys, "_bin"], row_number="_place").withColumn("_place", F.col("_below") + F.col("_place"))
+    out = [*df.columns, name]
+    return whole_bins.select(*out).unionByName(ranked.withColumn(name, ntile_of("_place", "_all", n)).select(*out))
+
+
 def peer_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Each distinct value with the number of rows below it, up to it, and in all.
 
@@ -120,12 +149,10 @@ def peer_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame
     that ties of any number cost one row.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = running(counts, [value], keys, sums={"n_upto": "_c"})
-    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("n_all"))
-    with_size = upto.join(sizes, list(keys)) if keys else upto.withColumn(
-        "n_all", counts.agg(F.sum("_c").alias("n_all")).scalar()
-    )
-    return with_size.withColumn("n_below", F.col("n_upto") - F.col("_c")).drop("_c")
+    upto = running(counts, [value], keys, sums={"n_upto": "_c"}, totals={"n_all": "n_upto"})
+    for key in keys:
+        upto = upto.where(F.col(key).isNotNull())
+    return upto.withColumn("n_below", F.col("n_upto") - F.col("_c")).drop("_c")
 
 
 def exact_quantiles(
