@@ -78,6 +78,20 @@ def test_bad_plans_do_not_hold_up_the_others(spark, sf_dir, tmp_path):
     assert incremental.process_remaining(plans, cast, path, estimator=bad_plans(3, 20)) == 0
 
 
+def test_retries_do_not_broadcast_the_precincts_each_time(spark, sf_dir, tmp_path):
+    """The first attempt joins as the planner likes; its halves would send the precincts through the driver once each."""
+    plans, cast = fx.assignments(spark, sf_dir), fx.precincts(spark, sf_dir)
+    joins = []
+
+    def estimate(part, precincts):
+        joins.append("BroadcastHashJoin" in incremental.precinct_stats(fx.assignments(spark, sf_dir), precincts)._jdf.queryExecution().executedPlan().toString())
+        return bad_plans(3)(part, precincts)
+
+    incremental.process_remaining(plans, cast, str(tmp_path / "out"), estimator=estimate)
+    assert joins[0] and len(joins) > 4 and not any(joins[1:])
+    assert [r.map_id for r in incremental.failed_plans(spark, str(tmp_path / "out")).collect()] == [3]
+
+
 def test_a_fault_of_all_plans_is_no_plans_fault(spark, sf_dir, tmp_path):
     plans, cast = fx.assignments(spark, sf_dir).where("map_id <= 4"), fx.precincts(spark, sf_dir)
     path = str(tmp_path / "out")

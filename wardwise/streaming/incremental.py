@@ -128,6 +128,7 @@ def _estimate(
     """Estimates and saves ``plans``; if that fails, its halves, down to the plans that fail alone.
 
     A good batch is one job. With f failing plans out of n there are some f log n more, and every other plan is saved on the way.
+    These are asked to join the precincts by a shuffle: a broadcast would send the whole table through the driver once for each of them.
     """
     n, name = _fingerprint(plans)
     if not n:
@@ -141,9 +142,10 @@ def _estimate(
             if len(failures) > max_failures:
                 raise
             return
+    beside = precincts if level else precincts.hint("merge")
     for half in (0, 1):
         part = plans.where(_half(level) == half)
-        _estimate(assignments, part, precincts, path, prefix, estimator, failures, max_failures, level + 1)
+        _estimate(assignments, part, beside, path, prefix, estimator, failures, max_failures, level + 1)
 
 
 def _process(
