@@ -1,10 +1,14 @@
 """Which labelled rows teach a classifier."""
 
+import glob
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from wardwise.llm import tokens, toxicity
+from wardwise.llm import labelled, tokens, toxicity
+from wardwise.llm.common import Steps
 from wardwise.llm.labelled import fold
 
 
@@ -44,3 +48,20 @@ def test_rare_words_share_buckets(spark, monkeypatch):
     for word in ("vile", "kind"):
         assert abs(ratio(few, word) - ratio(whole, word)) < 1e-9
     assert np.mean([ratio(few, f"u{i}") for i in range(0, 400, 2)]) > 0 > np.mean([ratio(few, f"u{i}") for i in range(1, 400, 2)])
+
+
+def test_labels_meet_texts_without_a_shuffle_of_texts(spark):
+    """Labels go to the texts as bits of 64 ids; ids below 0 and beyond 32 bits, repeated rows, NULLs and unlabelled ids give the rows of a plain join."""
+    ids = [*range(-200, 300), 2**40 + 63, 2**40 + 64, -(2**63), 2**63 - 1, 7, None]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None if i % 7 == 0 else i % 2) for i in ids if i is not None and i % 3] + [(None, 1)], "doc_id long, toxic int")
+    own = labelled.taught(labels, "toxic")
+    steps = Steps(spark, "test")
+    marked = steps.write(labelled.marks(own), "marks")
+    for folds in ([1, 2, 3], [4]):
+        rows = labelled.taught_rows(docs, marked, folds)
+        plain = docs.join(own.where(F.col("fold").isin(folds)).select("doc_id", "label"), "doc_id")
+        assert sorted(map(tuple, rows.select("doc_id", "text", "label").collect())) == sorted(map(tuple, plain.select("doc_id", "text", "label").collect()))
+    many = spark.range(200_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    many = steps.write(labelled.marks(labelled.taught(many, "toxic")), "many")
+    assert many.count() == 3125 and sum(os.path.getsize(f) for f in glob.glob(f"{steps.folder}/many/*.parquet")) < 200_000

@@ -34,11 +34,25 @@ def sample(labels: DataFrame, column: str, per_class: int) -> DataFrame:
     return take(0).union(take(1))
 
 
-def taught_rows(docs: DataFrame, own: DataFrame, folds: list[int]) -> DataFrame:
-    """doc_id, text and label of all labelled rows of some folds. No hint: labels may be as many as documents."""
+def marks(own: DataFrame) -> DataFrame:
+    """(word, m0, m1): the rows of ``taught`` as bits, one row for 64 consecutive ids: bit k of ``m0`` or ``m1`` says that id 64 * word + k has that label.
+
+    Two bits an id where ids are dense, so that the table is small beside the texts that meet it.
+    """
+    bit = F.expr("shiftleft(1L, CAST(doc_id & 63 AS INT))")
+    some = lambda label: F.bit_or(F.when(F.col("label") == label, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{label}")
+    return own.groupBy(F.shiftright("doc_id", 6).alias("word")).agg(some(0), some(1))
+
+
+def taught_rows(docs: DataFrame, marked: DataFrame, folds: list[int]) -> DataFrame:
+    """doc_id, text and label of all labelled rows of some folds, by the ``marks`` of ``taught``.
+
+    No hint: the planner sends the marks to the texts while they are small, and shuffles both beyond the session's broadcast limit.
+    """
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    mine = own.where(F.col("fold").isin(folds)).select("doc_id", "label")
-    return columns.where(fold(F.col("doc_id")).isin(folds)).join(mine, "doc_id")
+    met = columns.where(fold(F.col("doc_id")).isin(folds)).withColumn("word", F.shiftright("doc_id", 6)).join(marked, "word")
+    has = lambda marks: F.expr(f"(shiftrightunsigned({marks}, CAST(doc_id & 63 AS INT)) & 1) = 1")
+    return met.select("doc_id", "text", F.when(has("m0"), 0).when(has("m1"), 1).alias("label")).where(F.col("label").isNotNull())
 
 
 def labelled_rows(docs: DataFrame, picked: DataFrame) -> DataFrame:

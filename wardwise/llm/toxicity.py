@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardwise.llm import tokens
 from wardwise.llm.common import Steps, without
-from wardwise.llm.labelled import held_out, taught, taught_rows
+from wardwise.llm.labelled import held_out, marks, taught, taught_rows
 
 #: The models know at most so many words one by one, those of the most contexts; the others are counted by so many bits of their hash.
 WORDS, BITS = 2**18, 18
@@ -249,9 +249,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """
     docs = without(docs, "held_out", "score", "predicted", "ratio")
     spark = docs.sparkSession
-    own = taught(labels, "toxic")
-    models = spark.sparkContext.broadcast(train_models(docs, taught_rows(docs, own, [1, 2, 3])))
     steps = Steps(spark, "toxicity-fit")
+    own = steps.write(marks(taught(labels, "toxic")), "marks")
+    models = spark.sparkContext.broadcast(train_models(docs, taught_rows(docs, own, [1, 2, 3])))
     check = taught_rows(docs, own, [4]).select(F.struct("doc_id", "label").alias("row"), "text")
     rows = check.mapInArrow(_feature_rows(models), "row struct<doc_id:long,label:int>, x array<double>").select("row.*", "x")
     rows = steps.write(rows.dropDuplicates(["doc_id"]).select("label", "x"), "rows")
@@ -264,7 +264,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     else:
         weights = np.zeros(SHAPE + 1)
         weights[-1] = np.log((yes + 1) / (no + 1))
-    steps.drop("rows")
+    steps.drop("rows", "marks")
     names = [c for c in docs.columns if c != "text"]
     columns = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
     out = columns.mapInArrow(_feature_rows(models), columns.select("row", F.array(F.lit(0.0)).alias("x")).schema)
