@@ -111,3 +111,21 @@ def test_draws_beside_each_other_give_the_rates_of_draws_in_rows(spark, sf_dir):
     plan = results.district_results(
         base.units(spark, sf_dir), fx.draw_columns(spark, sf_dir), precincts)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 1 and "Aggregate" in plan[plan.index("Generate"):]
+
+
+def test_results_under_all_labels_come_from_the_results_once(spark, sf_dir, monkeypatch):
+    """Reports by own scenario and by all listed ones sum the plan rows and draws once between them, and get the rows of a pass of their own."""
+    passes, summed = [], results.summarise_draws
+
+    def counting(*args):
+        passes.append(1)
+        return summed(*args)
+
+    monkeypatch.setattr(results, "summarise_draws", counting)
+    monkeypatch.setattr(fx, "_stored", {})
+    both = base.results_all(spark, sf_dir)
+    assert base.unlabelled(spark, sf_dir).count() > 0 and len(passes) == 1
+    alone = results.district_results(base.units(spark, sf_dir), fx.draw_columns(spark, sf_dir), fx.precincts(spark, sf_dir), fx.labels(spark, sf_dir))
+    # Draw sums are doubles: their last digits follow the order of the rows.
+    shown = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert both.columns == alone.columns and shown(both) == shown(alone) != []

@@ -16,8 +16,7 @@ def units(spark: SparkSession, sf: str) -> DataFrame:
 
 def results_all(spark: SparkSession, sf: str) -> DataFrame:
     """District results before a plan listed twice is reduced to one scenario."""
-    return fx.stored(spark, sf, "results_all", lambda: res.district_results(
-        units(spark, sf), fx.draw_columns(spark, sf), fx.precincts(spark, sf), fx.labels(spark, sf)))
+    return fx.stored(spark, sf, "results_all", lambda: res.under_labels(unlabelled(spark, sf), fx.labels(spark, sf)))
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:

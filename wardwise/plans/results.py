@@ -50,10 +50,17 @@ def district_results(
         **residual_columns("er"), **residual_columns("ei"), **correctness_columns(),
         "prop_minority": try_div("total_minority", "total_population"),
     })
-    if labels is not None:
-        both = both.drop("redist_level").join(labels, ["map_id", "seg_level"])
+    return under_labels(both, labels) if labels is not None else _with_id(both)
+
+
+def _with_id(rows: DataFrame) -> DataFrame:
     ids = {"unique_id": unique_id("map_id", "district_id", "seg_level", "redist_level")}
-    return both.withColumns(ids).select(*RESULT_COLUMNS)
+    return rows.withColumns(ids).select(*RESULT_COLUMNS)
+
+
+def under_labels(results: DataFrame, labels: DataFrame) -> DataFrame:
+    """District results under each scenario that ``labels`` lists for the plan, instead of the plan's own; the plan rows are not read again."""
+    return _with_id(results.drop("redist_level").join(labels, ["map_id", "seg_level"]))
 
 
 def plans_in_several_scenarios(results: DataFrame) -> DataFrame:
