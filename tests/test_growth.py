@@ -1,5 +1,6 @@
 """Operators whose work must grow no faster than their input: how many rows reach the steps that sort or store them."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from wardwise import catalog
@@ -129,3 +130,50 @@ def test_results_under_all_labels_come_from_the_results_once(spark, sf_dir, monk
     # Draw sums are doubles: their last digits follow the order of the rows.
     shown = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
     assert both.columns == alone.columns and shown(both) == shown(alone) != []
+
+
+def test_truth_and_draws_come_from_one_pass(spark, sf_dir):
+    """Plan rows are joined with the precincts once for totals, regression and draws, and give the rows of two passes."""
+    catalog.load()
+    shown = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    drawn, precincts = fx.drawn_units(spark, sf_dir), fx.precincts(spark, sf_dir)
+    two = inference.inference_from_draws(fx.draw_columns(spark, sf_dir), precincts, base.units(spark, sf_dir))
+    one = inference.inference_from_draws(drawn).select(two.columns)
+    assert shown(one) == shown(two) != []
+    # A district that is not known has no truth to compare with, in one pass as in two.
+    lost = drawn.withColumn("district_id", F.when(F.col("district_id") > 2, F.col("district_id")))
+    assert shown(inference.inference_from_draws(lost).select(two.columns)) == [r for r in shown(two) if r[two.columns.index("district_id")] > 2]
+    both = results.district_results(base.units(spark, sf_dir), fx.draw_columns(spark, sf_dir), precincts)
+    alone = results.district_results(drawn)
+    assert shown(alone) == shown(both) != []
+    named = [catalog.QUERIES[q](spark, sf_dir) for q in ("d09_inference_from_draws", "j04_regression_with_inference", "j14_estimate_with_truth")]
+    assert [df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") for df in (alone, *named)] == [1, 1, 1, 1]
+
+
+def test_totals_are_not_taken_from_draws_in_rows(spark, sf_dir):
+    """A plan row with a row for each draw would be counted once a draw."""
+    with pytest.raises(ValueError):
+        inference.inference_from_draws(fx.draws(spark, sf_dir))
+
+
+def test_dealt_rows_are_not_shuffled_to_the_counts_of_bins(spark, monkeypatch):
+    """Whatever the session's limit; beyond ``FEW_BINS`` the planner chooses, and the buckets are the same."""
+    df = spark.range(12000).select("id", (F.col("id") % 2).alias("k"), (F.pmod(F.col("id") * 7919, F.lit(9973)) / 9973.0).alias("x"))
+    plans, cut = [], ordered.cut_into_slices
+
+    def looking(rows, order_by, keys=()):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return cut(rows, order_by, keys)
+
+    monkeypatch.setattr(ordered, "cut_into_slices", looking)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = ordered.deal_by_score(df, "x", "id", 14, "t", ["k"])
+        monkeypatch.setattr(ordered, "FEW_BINS", 0)
+        many = ordered.deal_by_score(df, "x", "id", 14, "t", ["k"])
+        plans += [d._jdf.queryExecution().executedPlan().toString() for d in (few, many)]
+        assert ["BroadcastHashJoin" in p for p in plans] == [True, False, True, False]
+        assert sorted(few.collect()) == sorted(many.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

@@ -30,8 +30,7 @@ def precinct_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def unlabelled(spark: SparkSession, sf: str) -> DataFrame:
     """District results under each plan's own scenario only."""
-    return fx.stored(spark, sf, "results_own", lambda: res.district_results(
-        units(spark, sf), fx.draw_columns(spark, sf), fx.precincts(spark, sf)))
+    return fx.stored(spark, sf, "results_own", lambda: res.district_results(fx.drawn_units(spark, sf)))
 
 
 DK = "map_id, seg_level, redist_level, district_id"

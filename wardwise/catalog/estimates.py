@@ -37,7 +37,7 @@ SELECT {DK}, {rs('ei_minority_dem_share', 'ei_majority_dem_share', 'ei_minority_
 FROM fx_ei JOIN fx_truth USING ({DK})
 """)
 def d09(spark, sf):
-    out = inference.inference_from_draws(fx.draw_columns(spark, sf), fx.precincts(spark, sf), base.units(spark, sf))
+    out = inference.inference_from_draws(fx.drawn_units(spark, sf))
     return rounded(out.select(
         *DISTRICT, "ei_minority_dem_share", "ei_majority_dem_share", "ei_minority_sd", "ei_majority_sd", *SHARES,
         "ei_rpv", "true_rpv", "ei_minority_resid", "ei_majority_resid", "ei_rpv_error", "n_precincts",

@@ -31,27 +31,28 @@ def j02(spark, sf):
     return frames.precinct_stats(kept, fx.precincts(spark, sf)).select(*DISTRICT, "precinct_id", "population")
 
 
+def both_estimates(spark, sf):
+    """Regression and draw summaries of each district, from one pass over the plan rows."""
+    totals = frames.district_totals(moments=True)
+    return regression.add_regression(inference.summarise_draws(fx.drawn_units(spark, sf), None, DISTRICT, totals))
+
+
 @query("j03_district_results_on_precincts", f"""
 SELECT u.map_id, u.district_id, u.precinct_id, {R('er_minority_dem_share')}, {R('er_majority_dem_share')}, {R('ei_minority_dem_share')}, {R('ei_majority_dem_share')}
 FROM fx_units u LEFT JOIN fx_er e ON e.map_id = u.map_id AND e.district_id = u.district_id LEFT JOIN fx_ei i ON i.map_id = u.map_id AND i.district_id = u.district_id
 """)
 def j03(spark, sf):
-    units = base.units(spark, sf)
-    er = regression.ecological_regression(units)
-    ei = inference.summarise_draws(fx.draw_columns(spark, sf), fx.precincts(spark, sf))
-    shares = ["minority_dem_share", "majority_dem_share"]
-    rows = frames.attach_districts(units, er, [f"er_{s}" for s in shares])
-    rows = frames.attach_districts(rows, ei, [f"ei_{s}" for s in shares])
-    return rounded(rows.select("map_id", "district_id", "precinct_id", *[f"{m}_{s}" for m in ("er", "ei") for s in shares]))
+    shares = [f"{m}_{s}" for m in ("er", "ei") for s in ("minority_dem_share", "majority_dem_share")]
+    rows = frames.attach_districts(base.units(spark, sf), both_estimates(spark, sf), shares)
+    return rounded(rows.select("map_id", "district_id", "precinct_id", *shares))
 
 
 @query("j04_regression_with_inference", f"""
 SELECT concat_ws('_', map_id, district_id, seg_level, redist_level) AS unique_id, {rs('er_minority_dem_share', 'ei_minority_dem_share')} FROM fx_er LEFT JOIN fx_ei USING ({DK})
 """)
 def j04(spark, sf):
-    er = regression.ecological_regression(base.units(spark, sf))
-    ei = inference.summarise_draws(fx.draw_columns(spark, sf), fx.precincts(spark, sf))
-    out = er.join(ei, DISTRICT, "left").withColumn("unique_id", frames.unique_id("map_id", "district_id", "seg_level", "redist_level"))
+    found = both_estimates(spark, sf).where(F.col("er_minority_dem_share").isNotNull())
+    out = found.withColumn("unique_id", frames.unique_id("map_id", "district_id", "seg_level", "redist_level"))
     return rounded(out.select("unique_id", "er_minority_dem_share", "ei_minority_dem_share"))
 
 
@@ -114,8 +115,7 @@ def j13(spark, sf):
 
 @query("j14_estimate_with_truth", f"SELECT {DK}, {rs('ei_minority_dem_share', 'true_minority_dem_share')} FROM fx_ei JOIN fx_truth USING ({DK})")
 def j14(spark, sf):
-    ei = inference.summarise_draws(fx.draw_columns(spark, sf), fx.precincts(spark, sf))
-    out = inference.with_truth(ei, frames.district_truth(base.units(spark, sf)))
+    out = inference.inference_from_draws(fx.drawn_units(spark, sf))
     return rounded(out.select(*DISTRICT, "ei_minority_dem_share", "true_minority_dem_share"))
 
 

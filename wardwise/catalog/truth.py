@@ -272,7 +272,7 @@ _INT = {"n_precincts", "total_population", "true_rpv", "er_rpv", "ei_rpv", "er_r
 SELECT unique_id, {DK}, {', '.join(c for c in _R if c in _INT)}, {rs(*[c for c in _R if c not in _INT])} FROM fx_results
 """)
 def d19(spark, sf):
-    every = res.district_results(base.units(spark, sf), fx.draw_columns(spark, sf), fx.precincts(spark, sf), fx.labels(spark, sf))
+    every = res.district_results(fx.drawn_units(spark, sf), labels=fx.labels(spark, sf))
     return rounded(res.one_scenario_per_plan(every))
 
 

@@ -98,8 +98,8 @@ def regression_moments() -> dict[str, Column]:
     }
 
 
-def district_sums(units: DataFrame, keys: Sequence[str] = DISTRICT, moments: bool = False) -> DataFrame:
-    """All district totals in one pass; with ``moments`` also those of the regression."""
+def district_totals(moments: bool = False) -> list[Column]:
+    """The sums of ``district_sums``, for a pass over the plan rows that takes others too."""
     totals = {
         "total_population": "population", "total_minority": "n_minority", "total_majority": "n_majority",
         "total_dem_votes": "dem_votes", "total_rep_votes": "rep_votes",
@@ -108,7 +108,12 @@ def district_sums(units: DataFrame, keys: Sequence[str] = DISTRICT, moments: boo
     aggs = [F.sum(c).alias(o) for o, c in totals.items()] + [F.count(F.lit(1)).alias("n_precincts")]
     if moments:
         aggs += [e.alias(o) for o, e in regression_moments().items()]
-    return units.groupBy(*keys).agg(*aggs)
+    return aggs
+
+
+def district_sums(units: DataFrame, keys: Sequence[str] = DISTRICT, moments: bool = False) -> DataFrame:
+    """All district totals in one pass; with ``moments`` also those of the regression."""
+    return units.groupBy(*keys).agg(*district_totals(moments))
 
 
 def truth_columns() -> dict[str, Column]:

@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardwise.functions import clamp, try_div
-from wardwise.operators.frames import district_sums, truth_columns
+from wardwise.operators.frames import district_sums, district_totals, truth_columns
 from wardwise.operators.regression import add_regression
 from wardwise.operators.rpv import residual_columns, rpv_flag
 from wardwise.schemas import DISTRICT
@@ -19,18 +19,23 @@ from wardwise.session import Scratch, slices
 MAX_CORRELATION = 0.99
 
 
-def district_draws(draws: DataFrame, precincts: DataFrame, keys: Sequence[str] = DISTRICT) -> DataFrame:
+def district_draws(
+    draws: DataFrame, precincts: DataFrame | None, keys: Sequence[str] = DISTRICT, totals: Sequence[Column] = ()
+) -> DataFrame:
     """District rate of each group per draw: precinct rates weighted by group size.
 
     Draws that carry the group sizes already are not joined: a plan row has many draws, and its sizes are cheaper to join before.
     Draws come with one row each (``draw``, ``beta_min``, ``beta_maj``), or with one row per plan row and a pair of columns for each draw
-    (``beta_min_0``, ``beta_maj_0``, ...), which are summed where they are read, without a row for each.
+    (``beta_min_0``, ``beta_maj_0``, ...), which are summed where they are read, without a row for each. In that form, ``totals`` are further sums over
+    the plan rows, taken in the same pass and given beside the district's every draw.
     """
     sizes = ["n_minority", "n_majority"]
     sized = draws if set(sizes) <= set(draws.columns) else draws.join(precincts.select("precinct_id", *sizes), "precinct_id")
     beside = [int(c.removeprefix("beta_min_")) for c in draws.columns if c.startswith("beta_min_")]
     weighted = lambda rate, size: F.sum(F.col(rate) * F.col(size))
     if not beside:
+        if totals:
+            raise ValueError("totals need one row per plan row, with its draws in columns")
         return sized.groupBy(*keys, "draw").agg(
             try_div(weighted("beta_min", "n_minority"), F.sum("n_minority")).alias("minority_rate"),
             try_div(weighted("beta_maj", "n_majority"), F.sum("n_majority")).alias("majority_rate"),
@@ -38,16 +43,23 @@ def district_draws(draws: DataFrame, precincts: DataFrame, keys: Sequence[str] =
     sums = sized.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in sizes],
         *[weighted(f"beta_{g}_{k}", f"n_{g}ority").alias(f"_{g}_{k}") for k in beside for g in ("min", "maj")],
+        *totals,
     )
+    names = sums.columns[len(keys) + len(sizes) + 2 * len(beside):]
     rates = [F.struct(
         F.lit(k).cast("bigint").alias("draw"), *[try_div(f"_{g}_{k}", f"n_{g}ority").alias(f"{g}ority_rate") for g in ("min", "maj")],
     ) for k in beside]
-    return sums.select(*keys, F.inline(F.array(*rates)))
+    return sums.select(*keys, *names, F.inline(F.array(*rates)))
 
 
-def summarise_draws(draws: DataFrame, precincts: DataFrame, keys: Sequence[str] = DISTRICT) -> DataFrame:
-    """Posterior mean and standard deviation per district, with the flag."""
-    return district_draws(draws, precincts, keys).groupBy(*keys).agg(
+def summarise_draws(
+    draws: DataFrame, precincts: DataFrame | None, keys: Sequence[str] = DISTRICT, totals: Sequence[Column] = ()
+) -> DataFrame:
+    """Posterior mean and standard deviation per district, with the flag, and the ``totals`` of the same pass."""
+    rates = district_draws(draws, precincts, keys, totals)
+    carried = [c for c in rates.columns if c not in (*keys, "draw", "minority_rate", "majority_rate")]
+    return rates.groupBy(*keys).agg(
+        *[F.any_value(c).alias(c) for c in carried],
         F.avg("minority_rate").alias("ei_minority_dem_share"),
         F.avg("majority_rate").alias("ei_majority_dem_share"),
         F.stddev_samp("minority_rate").alias("ei_minority_sd"),
@@ -56,15 +68,25 @@ def summarise_draws(draws: DataFrame, precincts: DataFrame, keys: Sequence[str]
 
 
 def inference_from_draws(
-    draws: DataFrame, precincts: DataFrame, units: DataFrame, keys: Sequence[str] = DISTRICT
+    draws: DataFrame, precincts: DataFrame | None = None, units: DataFrame | None = None, keys: Sequence[str] = DISTRICT
 ) -> DataFrame:
-    """Draw summaries with truth, residuals and the district's group and vote shares."""
+    """Draw summaries with truth, residuals and the district's group and vote shares.
+
+    Without ``units``, ``draws`` are the plan rows with their counts and their draws in columns: one pass over them gives both.
+    """
+    if units is None:
+        both = summarise_draws(draws, precincts, keys, district_totals()).dropna(subset=list(keys))
+        return _compared(both.withColumns(truth_columns()))
     truth = district_sums(units, keys).withColumns(truth_columns())
     return with_truth(summarise_draws(draws, precincts, keys), truth, keys)
 
 
 def with_truth(estimates: DataFrame, truth: DataFrame, keys: Sequence[str] = DISTRICT) -> DataFrame:
-    return estimates.join(truth, list(keys)).withColumns({
+    return _compared(estimates.join(truth, list(keys)))
+
+
+def _compared(both: DataFrame) -> DataFrame:
+    return both.withColumns({
         **residual_columns("ei"),
         "prop_minority": try_div("total_minority", "total_population"),
         "prop_dem": try_div("total_dem_votes", F.col("total_dem_votes") + F.col("total_rep_votes")),

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from wardwise.session import materialise
 
 SLICE = "_slice"
+#: Counts of so few bins go to every task, whatever the session's limit: the counted rows are then not shuffled to them.
+FEW_BINS = 200_000
 
 
 def _sorts(order_by) -> list[Column]:
@@ -122,7 +124,7 @@ def deal_by_score(
     """``with_ntile`` by a score and an id, for few keys of many rows: rows are counted by bins of the score, and only bins that a bucket's end cuts are sorted.
 
     ``lo`` and ``hi`` are where most scores lie: scores beyond, NULL and NaN have end bins of their own. A bin may hold any number of rows.
-    ``df`` is read three times and should be cheap to read.
+    ``df`` is read three times and should be cheap to read. It is not shuffled while keys times bins stay within ``FEW_BINS``.
     """
     keys, x = list(keys), F.col(score).cast("double")
     place = F.floor(F.greatest(F.lit(0.0), F.least((x - lo) * (bins / (hi - lo)), F.lit(bins - 1.0)))).cast("int")
@@ -135,8 +137,9 @@ def deal_by_score(
     ends = placed.withColumns({"_first": F.col("_below") + 1, "_last": F.col("_below") + F.col("_n")}).withColumns(
         {"_lowest": ntile_of("_first", "_all", n), "_highest": ntile_of("_last", "_all", n)})
     bounds = materialise(ends.select(*keys, "_bin", "_below", "_all", "_lowest", (F.col("_lowest") < F.col("_highest")).alias("_cut")), "bounds")
-    whole_bins = join_same(binned, bounds.where(~F.col("_cut")).select(*keys, "_bin", F.col("_lowest").alias(name)), [*keys, "_bin"])
-    cut = join_same(binned, bounds.where("_cut").select(*keys, "_bin", "_below", "_all"), [*keys, "_bin"])
+    send = F.broadcast if bounds.count() <= FEW_BINS else lambda rows: rows
+    whole_bins = join_same(binned, send(bounds.where(~F.col("_cut")).select(*keys, "_bin", F.col("_lowest").alias(name))), [*keys, "_bin"])
+    cut = join_same(binned, send(bounds.where("_cut").select(*keys, "_bin", "_below", "_all")), [*keys, "_bin"])
     ranked = running(cut, [score, id_col], [*keys, "_bin"], row_number="_place").withColumn("_place", F.col("_below") + F.col("_place"))
     out = [*df.columns, name]
     return whole_bins.select(*out).unionByName(ranked.withColumn(name, ntile_of("_place", "_all", n)).select(*out))

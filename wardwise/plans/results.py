@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardwise.functions import ifelse, indicator, try_div
-from wardwise.operators.frames import attach_districts, district_sums, precinct_stats, truth_columns, unique_id
+from wardwise.operators.frames import attach_districts, district_sums, district_totals, precinct_stats, truth_columns, unique_id
 from wardwise.operators.inference import summarise_draws
 from wardwise.operators.regression import add_regression
 from wardwise.operators.rpv import correctness_columns, residual_columns, rpv_agreement, rpv_flag
@@ -32,21 +32,24 @@ RESULT_COLUMNS = [
 
 
 def district_results(
-    units: DataFrame, draws: DataFrame, precincts: DataFrame, labels: DataFrame | None = None
+    units: DataFrame, draws: DataFrame | None = None, precincts: DataFrame | None = None, labels: DataFrame | None = None
 ) -> DataFrame:
     """Estimates, truth and wasted votes of every estimable district.
 
     Totals, regression and waste all come from one aggregation of the plan rows; the
-    draw summaries are joined on (they may be absent for some districts). ``labels``
-    lists the scenarios of each plan; a plan in two scenarios appears under both.
+    draw summaries are joined on (they may be absent for some districts). Without ``draws``, ``units``
+    carry them in columns, and the same pass sums them. ``labels`` lists the scenarios of each plan; a plan in two scenarios appears under both.
     """
-    sums = add_regression(district_sums(units, DISTRICT, moments=True))
-    found = sums.where(F.col("er_minority_dem_share").isNotNull()).withColumns(truth_columns())
+    deviations = {"ei_minority_sd": "ei_minority_se", "ei_majority_sd": "ei_majority_se"}
+    if draws is None:
+        sums = summarise_draws(units, precincts, DISTRICT, district_totals(moments=True)).withColumnsRenamed(deviations)
+    else:
+        sums = district_sums(units, DISTRICT, moments=True)
+    found = add_regression(sums).where(F.col("er_minority_dem_share").isNotNull()).withColumns(truth_columns())
     wasted = surplus_losing_districts(packed_cracked(found))
-    ei = summarise_draws(draws, precincts).withColumnsRenamed(
-        {"ei_minority_sd": "ei_minority_se", "ei_majority_sd": "ei_majority_se"}
-    )
-    both = wasted.join(ei, DISTRICT, "left").withColumns({
+    if draws is not None:
+        wasted = wasted.join(summarise_draws(draws, precincts).withColumnsRenamed(deviations), DISTRICT, "left")
+    both = wasted.withColumns({
         **residual_columns("er"), **residual_columns("ei"), **correctness_columns(),
         "prop_minority": try_div("total_minority", "total_population"),
     })
